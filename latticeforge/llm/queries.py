@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import chat, langid, media, ngram_join, packing, quality, secret_scan, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": token_output.op1_token_output,
+        "op3_language_id": langid.op3_language_id,
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op5_media_columns": media.op5_media_columns,
+        "op6_chat_format": chat.op6_chat_format,
+        "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat.ORACLE}
