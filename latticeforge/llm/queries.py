@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, ngram_join, packing, quality, secret_scan, token_output
+from . import chat, langid, media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": token_output.op1_token_output,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_language_id": langid.op3_language_id,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_media_columns": media.op5_media_columns,
