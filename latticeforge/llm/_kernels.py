@@ -62,15 +62,30 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Splits batches so that each part holds about `size` bytes of whole documents."""
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Joins small batches until their text holds about `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.column(batch.schema.get_field_index(column)).nbytes
+        if total >= size:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in parts that hold about `size` bytes of whole documents each."""
+    for batch in _gathered(batches, column, size):
         raw, off = text_buffers(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+            if at == 0 and off[-1] <= size + size // 2:
+                end = batch.num_rows
             yield batch.slice(at, end - at), raw[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
 
@@ -112,8 +127,12 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of start..start+length for all pairs."""
     total = int(lengths.sum())
-    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return shift + np.arange(total)
+    shift = starts - (np.cumsum(lengths) - lengths)
+    if len(shift) and total < 2**31 and -(2**31) < shift.min() and shift.max() + total < 2**31:
+        out = np.repeat(shift.astype(np.int32), lengths)
+        out += np.arange(total, dtype=np.int32)
+        return out
+    return np.repeat(shift, lengths) + np.arange(total)
 
 
 def segment_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:

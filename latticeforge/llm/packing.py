@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _session
 from ._kernels import text_chunks
-from .wordwise import default_vocabulary, word_tokenizer
+from .wordwise import TOKENIZE_BYTES, default_vocabulary, word_tokenizer
 
 CAPACITY = 2048
 #: Pieces that one shard holds on average.
@@ -43,7 +43,7 @@ def pieces_of(vocabulary: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
-        for batch, raw, off in text_chunks(batches):
+        for batch, raw, off in text_chunks(batches, size=TOKENIZE_BYTES):
             ids, at = tokenizer.ids(raw, off)
             n = np.diff(at) + 1
             count = -(-n // capacity)

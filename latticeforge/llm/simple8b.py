@@ -18,62 +18,61 @@ MAGIC = b"S8B1"
 #: (values in a word, bits of each), most values first; the position is the selector.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+_COUNTS = np.asarray([c for c, _ in PACKINGS] + [0] * (ESCAPE - len(PACKINGS)) + [1])
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
-    out = np.ones(len(values), np.uint8)
-    rest = values >> np.uint64(1)
-    while rest.any():
-        out += rest > 0
-        rest = rest >> np.uint64(1)
-    return out
+    """Bits of each value, 1 for zero."""
+    high = values >> np.uint64(32)
+    low_bits = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low_bits) if high.any() else low_bits
+    return np.maximum(bits, 1).astype(np.uint8)
+
+
+def _all_of_next(ok: np.ndarray, count: int) -> np.ndarray:
+    """Whether ok[i:i+count] are all true."""
+    span = 1
+    while span * 2 <= count:
+        ok = ok[:-span] & ok[span:]
+        span *= 2
+    rest = count - span
+    return ok[:-rest] & ok[rest:] if rest else ok
 
 
 def encode(values: np.ndarray) -> bytes:
     """One block of any number of unsigned integers below 2**64."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
-    width = _widths(values)
-    take = np.zeros(n, np.int32)
+    width = np.concatenate([_widths(values), np.zeros(60, np.uint8)])  # the padding fits any word
     code = np.full(n, ESCAPE, np.int8)
-    at = np.arange(n)
-    low, high = (int(width.min()), int(width.max())) if n else (1, 1)
-    for selector in range(len(PACKINGS) - 1, -1, -1):
+    low = int(width[:n].min()) if n else 1
+    for selector in range(len(PACKINGS) - 1, -1, -1):  # a word of more values wins
         count, bits = PACKINGS[selector]
-        if bits < low:
-            continue
-        if bits >= high:
-            fits = np.minimum(n - at, count)
-        else:
-            stop = np.where(width > bits, at, n)
-            fits = np.minimum(np.minimum.accumulate(stop[::-1])[::-1] - at, count)
-        full = (fits == count) | ((fits > 0) & (fits == n - at))
-        better = full & (fits > take)
-        take[better] = fits[better]
-        code[better] = selector
-    step = np.where(code == ESCAPE, 1, take).tolist()
+        if bits >= low:
+            code[_all_of_next(width <= bits, count)[:n]] = selector
+    step = _COUNTS[code].tolist()
     heads = []
     i = 0
     while i < n:
         heads.append(i)
         i += step[i]
     heads = np.asarray(heads, np.int64)
-    kind = code[heads] if n else np.zeros(0, np.int8)
+    kind = code[heads]
     place = np.cumsum(1 + (kind == ESCAPE)) - (1 + (kind == ESCAPE))
     words = np.zeros(int(len(heads) + (kind == ESCAPE).sum()), np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     for selector in np.unique(kind):
-        mine = heads[kind == selector]
+        own = kind == selector
+        mine = heads[own]
         if selector == ESCAPE:
-            words[place[kind == selector]] = np.uint64(ESCAPE << 60)
-            words[place[kind == selector] + 1] = values[mine]
+            words[place[own]] = np.uint64(ESCAPE << 60)
+            words[place[own] + 1] = values[mine]
             continue
         count, bits = PACKINGS[selector]
         word = np.full(len(mine), np.uint64(int(selector) << 60), np.uint64)
-        used = take[mine]
         for k in range(count):
-            word |= np.where(k < used, padded[mine + k], np.uint64(0)) << np.uint64(k * bits)
-        words[place[kind == selector]] = word
+            word |= padded[mine + k] << np.uint64(k * bits)
+        words[place[own]] = word
     return MAGIC + np.asarray([n, len(words)], "<u4").tobytes() + words.astype("<u8").tobytes()
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from . import _session, simple8b
 from ._kernels import list_column, text_chunks
-from .wordwise import default_vocabulary, word_tokenizer
+from .wordwise import TOKENIZE_BYTES, default_vocabulary, word_tokenizer
 
 #: Ids of one Simple-8b block.
 BLOCK_IDS = 32_768
@@ -43,7 +43,7 @@ def encode_blocks(vocabulary: str, end_id: int, block_ids: int = BLOCK_IDS):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, first = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        for number, (batch, raw, off) in enumerate(text_chunks(batches)):
+        for number, (batch, raw, off) in enumerate(text_chunks(batches, size=TOKENIZE_BYTES)):
             ids, at = tokenizer.ids(raw, off)
             n = np.diff(at) + 1
             full = np.full(int(n.sum()), end_id, np.uint32)

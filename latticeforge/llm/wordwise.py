@@ -1,8 +1,8 @@
-"""Whole-text tokenisation through a per-worker memo of pre-tokens.
+"""Whole-text tokenisation through a per-worker memo of units.
 
 The word BPE of the public vocabulary drops white space and never merges across it, so the ids of a
 text are the concatenated ids of its white-space separated units.  A batch is cut into units with
-numpy, distinct units are found with Arrow's dictionary encoding, and only pre-tokens that a worker
+numpy, distinct units are found with Arrow's dictionary encoding, and only units that a worker
 has not met yet go to the `tokenizers` library; a ragged gather then rebuilds every text's ids.
 Units outside the range where the pre-token pattern is certain go through the library's whole
 pipeline one by one.
@@ -20,14 +20,81 @@ from ._kernels import IS_SPACE, ragged_index
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Code points where lower-casing, NFC and the classes above need no further thought.
 PLAIN = regex.compile("[\t-\r !-~\xa1-į]*")
-#: Pre-tokens a worker keeps; the memo starts anew beyond it.
-MEMO_LIMIT = 400_000
+#: Units a worker keeps; the memo starts anew beyond it.
+MEMO_LIMIT = 1_000_000
+#: Text tokenised at once: the more, the fewer distinct units a byte.
+TOKENIZE_BYTES = 8 << 20
+
+
+def pretokens(unit: str) -> list[str] | None:
+    """Lower-case pre-tokens of a unit; None where only the library's own normaliser is certain."""
+    word = unit.strip(" \t\n\r\v\f").lower()
+    if word.isascii():
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [word[:-1], word[-1]]
+    if "<|" in unit or not PLAIN.fullmatch(unit):
+        return None
+    return [word] if word.isalpha() else PRETOKEN.findall(word)
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if len(x) >= size else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
+
+
+class UnitMemo:
+    """Ids of units of text, kept for each distinct unit; `_learn` of a subclass adds new units."""
+
+    def __init__(self, memo_limit: int = MEMO_LIMIT) -> None:
+        self.memo_limit = memo_limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}  # unit -> its row in start and size
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Appends ids to the flat store and tells where they begin."""
+        at = self.used
+        if len(self.flat) < at + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, units: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def rows_of(self, units: list[bytes]) -> np.ndarray:
+        """The memo's row of each distinct unit."""
+        found = list(map(self.place.get, units))
+        new = [u for u, r in zip(units, found) if r is None]
+        if new:
+            if len(self.place) + len(new) > self.memo_limit:
+                self._forget()
+                new = units
+            self._learn(new)
+            found = list(map(self.place.__getitem__, units))
+        return np.asarray(found, np.int64)
+
+    def unit_ids(self, raw: np.ndarray, bounds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units raw[bounds[i]:bounds[i+1]], and the offsets in them of off, a part of bounds."""
+        if len(bounds) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        units = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+        coded = units.dictionary_encode()
+        rows = self.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.size[rows].astype(np.int64)
+        run = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[ragged_index(self.start[rows], lengths)], run[np.searchsorted(bounds, off)]
 
 
-class WordTokenizer:
+class WordTokenizer(UnitMemo):
     """ids(texts) of a `tokenizers` word BPE file, equal to encode_batch(add_special_tokens=False)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo_limit: int = MEMO_LIMIT) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -36,38 +103,54 @@ class WordTokenizer:
         vocabulary = self.full.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_LIMIT:
-            self.memo.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.asarray(self.bare.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                self.memo.update(zip(part, np.split(ids, cut[:-1])))
-            else:  # an unusual vocabulary: no end mark to cut at
-                self.memo.update((w, np.asarray(self.bare.encode(w, add_special_tokens=False).ids, np.uint32)) for w in part)
-
-    def unit_ids(self, units: list[str]) -> list[np.ndarray]:
-        parts: list[list[str] | None] = [PRETOKEN.findall(u.lower()) if "<|" not in u and PLAIN.fullmatch(u) else None for u in units]
-        needed = {w for p in parts if p is not None for w in p}
-        missing = [w for w in needed if w not in self.memo]
-        kept = {}
-        if len(self.memo) + len(missing) > MEMO_LIMIT:  # the memo is about to start anew
-            kept = {w: self.memo[w] for w in needed if w in self.memo}
-        self._learn(missing)
-        get, none = {**self.memo, **kept}.__getitem__ if kept else self.memo.__getitem__, np.zeros(0, np.uint32)
-        out = []
-        for unit, p in zip(units, parts):
-            if p is None:
-                out.append(np.asarray(self.full.encode(unit, add_special_tokens=False).ids, np.uint32))
-            elif len(p) == 1:
-                out.append(get(p[0]))
-            else:
-                out.append(np.concatenate([get(w) for w in p]) if p else none)
-        return out
+        super().__init__(memo_limit)
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.word_place: dict[str, int] = {}  # pre-token -> its row in word_start and word_size
+        self.word_start, self.word_size = self.start.copy(), self.size.copy()
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, sizes of each)."""
+        ids = np.asarray(self.bare.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(words):
+            return ids, np.diff(cut, prepend=0)
+        each = [self.bare.encode(w, add_special_tokens=False).ids for w in words]  # a vocabulary without end marks
+        return np.concatenate([np.asarray(x, np.uint32) for x in each]), np.asarray([len(x) for x in each])
+
+    def _word_rows(self, words: list[str]) -> np.ndarray:
+        """Rows of pre-tokens, after encoding those not met yet."""
+        new = list({w for w in words if w not in self.word_place})
+        rows = len(self.word_place)
+        self.word_start, self.word_size = _grown(self.word_start, rows + len(new)), _grown(self.word_size, rows + len(new))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids, size = self._encode(part)
+            end = rows + at + len(part)
+            self.word_start[rows + at : end] = self._store(ids) + np.cumsum(size) - size
+            self.word_size[rows + at : end] = size
+        self.word_place.update(zip(new, range(rows, rows + len(new))))
+        return np.asarray(list(map(self.word_place.__getitem__, words)), np.int64)
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Adds the ids of new units to the memo."""
+        rows = len(self.place)
+        end = rows + len(units)
+        self.start, self.size = _grown(self.start, end), _grown(self.size, end)
+        parts = [pretokens(u.decode("utf-8", "replace")) for u in units]
+        word_rows = self._word_rows([w for p in parts if p for w in p])
+        count = np.asarray([len(p) if p is not None else 0 for p in parts])
+        lengths = self.word_size[word_rows].astype(np.int64)
+        run = np.concatenate([[0], np.cumsum(lengths)])
+        bound = np.concatenate([[0], np.cumsum(count)])
+        self.size[rows:end] = run[bound[1:]] - run[bound[:-1]]
+        self.start[rows:end] = self._store(self.flat[ragged_index(self.word_start[word_rows], lengths)]) + run[bound[:-1]]
+        for i, p in enumerate(parts):
+            if p is None:  # the library's whole pipeline
+                ids = np.asarray(self.full.encode(units[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                self.start[rows + i], self.size[rows + i] = self._store(ids), len(ids)
+        self.place.update(zip(units, range(rows, end)))
 
     def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk, and offsets of each document in them."""
@@ -76,19 +159,7 @@ class WordTokenizer:
             space = IS_SPACE[raw]
             starts_here[1:-1] = ~space[1:] & space[:-1]
         starts_here[off] = True
-        bounds = np.flatnonzero(starts_here)
-        if len(bounds) < 2:
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        units = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
-        coded = units.dictionary_encode()
-        flat = self.unit_ids(coded.dictionary.cast(pa.string()).to_pylist())
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
-        table = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = size[codes]
-        ids = table[ragged_index((np.cumsum(size) - size)[codes], lengths)]
-        run = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, run[np.searchsorted(bounds, off)]
+        return self.unit_ids(raw, np.flatnonzero(starts_here), off)
 
 
 _loaded: dict[str, WordTokenizer] = {}
