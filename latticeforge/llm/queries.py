@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_output
+from . import chat, langid, media, ngram_join, packing, quality, secret_scan, sentencepiece_codec, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": chat.op6_chat_format,
         "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
