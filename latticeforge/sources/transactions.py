@@ -44,11 +44,13 @@ def read(spark: SparkSession, path: str) -> Context:
     if not first:
         raise LabelError(f"no header in {path}")
     n_attrs, labels = parse_header(first[0].value)
+    # Checks must not fire on the header, and filters may run after them: they look at rows of the body only.
+    in_body = ~F.col("value").startswith("#") & (F.trim("value") != "")
     ids, label = parse_line(F.col("value"))
-    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("row_id", F.monotonically_increasing_id())
+    body = lines.where(in_body).withColumn("row_id", F.monotonically_increasing_id())
     texts = F.split(label, " ")
-    prop = labels.encode_column([F.try_element_at(texts, F.lit(i + 1)) for i in range(labels.width)])
-    bad = ids.isNull() | F.exists(ids, lambda a: a >= n_attrs)
+    prop = F.when(in_body, labels.encode_column([F.try_element_at(texts, F.lit(i + 1)) for i in range(labels.width)]))
+    bad = in_body & (ids.isNull() | F.exists(ids, lambda a: a >= n_attrs))
     intent = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<int>")).otherwise(ids)
     return Context(checked(body.select("row_id", intent.alias("intent"), prop.alias("prop"))), n_attrs, labels)
 

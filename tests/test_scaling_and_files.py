@@ -103,7 +103,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in.csv").write_text("\n".join(",".join(r) for r in table) + "\n\n")
     at = lambda name: str(tmp_path / name)
     assert tables.read_csv(spark, at("in.csv")).count() == 60
-    main(["encode", "-p", "0", at("in.csv"), at("all")]) if False else main(["encode", at("in.csv"), at("all"), "-p", "0"])
+    main(["encode", at("in.csv"), at("all"), "-p", "0"])
     main(["split", "8:2", at("all"), at("train"), at("test")])
     main(["tau", at("test"), at("tau")])
     main(["generate", "-m", at("model"), at("train")])
