@@ -3,7 +3,7 @@
 Pieces are hashed into shards of bounded expected size, each packed alone, so one shard's bins fit
 in a worker whatever the corpus size; a shard wastes less than one bin against global packing.
 Within a shard: best fit decreasing builds the start, then swap-based local search lowers the number
-of bins.  It repeatedly takes the emptiest bin and tries to empty it into the other underfull bins by
+of bins.  It goes over the underfull bins, emptiest first, and empties each into fuller ones by
   * moving one of its documents into a bin with room,
   * exchanging one of its documents for a shorter one of another bin,
   * exchanging one of its documents for two shorter ones of another bin;
@@ -16,7 +16,6 @@ rows of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -32,8 +31,8 @@ from .wordwise import TOKENIZE_BYTES, default_vocabulary, word_tokenizer
 CAPACITY = 2048
 #: Pieces that one shard holds on average.
 SHARD_PIECES = 40_000
-#: Bins that one shard tries to empty at most before it settles.
-MAX_TARGETS = 400
+#: Bins that one pass over a shard works on, emptiest first, and passes at most.
+MAX_TARGETS, MAX_PASSES = 400, 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -112,7 +111,7 @@ class _Search:
         for item in sorted(self.bins[target], key=lambda i: -self.size[i]):
             size = self.size[item]
             at = bisect_left(open_bins, (size, -1))
-            if at < len(open_bins):
+            if at < len(open_bins) and open_bins[at][0] <= self.room[target]:
                 self._changed(open_bins, at, lambda home: self._shift(item, target, home))
                 return True
             # The receiving bin must gain, at most its room, and end fuller than the target was.
@@ -149,21 +148,17 @@ class _Search:
             entry = (self.room[home], home)
             open_bins.insert(bisect_left(open_bins, entry), entry)
 
-    def run(self, max_targets: int) -> list[list[int]]:
-        waiting = [(-r, b) for b, r in enumerate(self.room) if r]
-        heapq.heapify(waiting)
-        tried = 0
-        while waiting and tried < max_targets:
-            spare = sum(r for b, r in enumerate(self.room) if self.bins[b]) if tried % 32 == 0 else spare
-            if spare < self.capacity:  # the total fill needs every bin that is left
+    def run(self, max_targets: int, passes: int = MAX_PASSES) -> list[list[int]]:
+        for _ in range(passes):
+            if sum(r for b, r in zip(self.bins, self.room) if b) < self.capacity:  # no bin can be spared
+                break
+            changed = False
+            for target in sorted((k for k, b in enumerate(self.bins) if b and self.room[k]), key=lambda k: -self.room[k])[:max_targets]:
+                open_bins = self._order(target)
+                while self.bins[target] and self._step(target, open_bins):
+                    changed = True
+            if not changed:
                 break
-            room, target = heapq.heappop(waiting)
-            if not self.bins[target] or -room != self.room[target]:
-                continue
-            tried += 1
-            open_bins = self._order(target)
-            while self.bins[target] and self._step(target, open_bins):
-                pass
         return [b for b in self.bins if b]
 
 
