@@ -72,7 +72,7 @@ def _generate(args, context: ctx.Context):
 def induce_and_predict(train: ctx.Context, test: ctx.Context, *, merge: str = "votingMajority", **options):
     """Mines `train` and classifies `test`, without files in between."""
     ctx.require_same_header(train, test)
-    return prediction.predict(mining.generate(train, **options), test, strategy=merge)
+    return prediction.predict(mining.generate(train, split_classes=False, **options), test, strategy=merge)
 
 
 def main(argv: list[str] | None = None) -> int:

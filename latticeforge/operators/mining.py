@@ -152,16 +152,20 @@ def concepts(context: Context, *, min_support: int = 2, algorithm: str = "pfcbo"
 
 
 def generate(
-    context: Context, *, strategy: str = "noCounterExamples", min_support: int = 2, algorithm: str = "pfcbo", data_structure: str = "dense", sampling: float = 1.0, seed: int = 0, max_concepts: int | None = None
+    context: Context, *, strategy: str = "noCounterExamples", min_support: int = 2, algorithm: str = "pfcbo", data_structure: str = "dense", sampling: float = 1.0, seed: int = 0, max_concepts: int | None = None, split_classes: bool = True
 ) -> DataFrame:
     """The model: (intent, prop, support) of every concept whose merged label is not all conflict.
 
-    `noop` mines each class of labels on its own and keeps the class's label.
+    `noop` mines each class of labels on its own and keeps the class's label; with split_classes off it
+    mines all rows together and takes the label of the lowest row of each concept.
     """
     if data_structure not in DATA_STRUCTURES:
         raise ValueError(f"unknown data structure {data_structure!r}, known are {', '.join(DATA_STRUCTURES)}")
-    mined = concepts(context, min_support=min_support, algorithm=algorithm, classwise=strategy == "noop", max_concepts=max_concepts)
-    if strategy == "noop":
+    mined = concepts(context, min_support=min_support, algorithm=algorithm, classwise=strategy == "noop" and split_classes, max_concepts=max_concepts)
+    if strategy == "noop" and not split_classes:
+        mined = mined.join(context.rows.select(F.col("row_id").alias("first_row"), F.col("prop").alias("first_prop")), "first_row")
+        prop = F.col("first_prop")
+    elif strategy == "noop":
         prop = F.transform(F.split("class_key", ","), lambda c: c.cast("int"))
     else:
         prop = strategy_by_name(strategy)(context.labels)

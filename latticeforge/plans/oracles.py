@@ -156,7 +156,7 @@ def oracles() -> dict[str, str]:
         "hyp_majority": hypotheses(EVENTS, MAJORITY),
         "hyp_bounded": hypotheses(EVENTS, bounded(3)),
         "hyp_ordinal_mode": hypotheses(ORDERS, mode(0)),
-        "hyp_ordinal_bounded": hypotheses(ORDERS, bounded_mode(4)),
+        "hyp_ordinal_bounded": hypotheses(ORDERS, bounded_mode(150)),
         "hyp_composite": hypotheses(GRADED, mode(0), mode(1)),
         "mask_labels": f"WITH {context_ctes(GRADED)} SELECT row_id, {ids('m')} AS intent, '? ?' AS label FROM obj",
         "predict": predict(EVENTS),

@@ -199,7 +199,7 @@ def queries() -> dict[str, Query]:
         "hyp_majority": _hypotheses(EVENTS, "votingMajority", "fcbo"),
         "hyp_bounded": _hypotheses(EVENTS, "boundedVotingMajority:3", "pcbo"),
         "hyp_ordinal_mode": _hypotheses(ORDERS, "votingMajority"),
-        "hyp_ordinal_bounded": _hypotheses(ORDERS, "boundedVotingMajority:4"),
+        "hyp_ordinal_bounded": _hypotheses(ORDERS, "boundedVotingMajority:150"),
         "hyp_composite": _hypotheses(GRADED, "votingMajority"),
         "mask_labels": mask_labels,
         "predict": predict,

@@ -81,6 +81,9 @@ def test_noop_mines_each_class(spark):
     rows = [((0, 1), (0,)), ((0, 2), (0,)), ((0, 1), (1,)), ((1, 2), (1,))]
     got = {(tuple(r.intent), r.prop[0]): r.support for r in mining.generate(context(spark, rows, 3), strategy="noop").collect()}
     assert got == {((0,), 0): 2, ((1,), 1): 2}
+    whole = mining.generate(context(spark, rows, 3), strategy="noop", split_classes=False).collect()
+    want = {tuple(sorted(s)): next(p for r, p in rows if s <= set(r)) for s in closed_sets(rows, 2)}
+    assert {tuple(r.intent): tuple(r.prop) for r in whole} == want
 
 
 def test_options_are_checked(spark):
