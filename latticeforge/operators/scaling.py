@@ -45,7 +45,7 @@ def label_distribution(df: DataFrame, columns: list[str], labels: list[str]) ->
 
 def column_kinds(values: DataFrame) -> DataFrame:
     """(col_idx, n_values, numeric) from a distribution."""
-    number = F.try_cast("value", "double") if hasattr(F, "try_cast") else F.expr("try_cast(value AS DOUBLE)")
+    number = F.col("value").try_cast("double")
     return values.groupBy("col_idx").agg(F.count("*").alias("n_values"), F.bool_and(number.isNotNull()).alias("all_numbers")).select("col_idx", "n_values", (F.col("all_numbers") & (F.col("n_values") > NUMERIC_MIN)).alias("numeric"))
 
 
@@ -106,7 +106,7 @@ def first_split(histogram: DataFrame) -> DataFrame:
 
 def numeric_histogram(values: DataFrame) -> DataFrame:
     """(col_idx, v, n): texts that read as the same double count together."""
-    return values.select("col_idx", F.expr("try_cast(value AS DOUBLE)").alias("v"), "cnt").groupBy("col_idx", "v").agg(F.sum("cnt").alias("n"))
+    return values.select("col_idx", F.col("value").try_cast("double").alias("v"), "cnt").groupBy("col_idx", "v").agg(F.sum("cnt").alias("n"))
 
 
 def _segment_thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +214,7 @@ def encode(df: DataFrame, label_columns: list[str] | list[int], *, row_id: str =
     for i, (name, coder) in enumerate(zip(columns, coders)):
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
         if isinstance(coder, NumericColumn):
-            parts.append(numeric_ids(F.expr(f"try_cast(`{name}` AS DOUBLE)"), list(coder.thresholds), coder.offset))
+            parts.append(numeric_ids(F.col(name).try_cast("double"), list(coder.thresholds), coder.offset))
         elif coder.values is not None:
             place = F.array_position(F.array(*(F.lit(v) for v in coder.values)), text)
             parts.append(F.array((place + (coder.offset - 1)).cast("int")))
