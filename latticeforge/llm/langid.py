@@ -173,7 +173,7 @@ def train_language_model(docs: DataFrame, *, train_rows: int = TRAIN_ROWS) -> La
     if len(classes) < 2:
         return LanguageModel(classes, idf, LinearModel(np.zeros((1, DIMENSIONS), np.float32), np.zeros(1)) if classes else None)
     features, shares = table["features"].combine_chunks(), table["shares"].combine_chunks()
-    index = features.flatten().to_numpy().astype(np.int64)
+    index = features.flatten().to_numpy()
     off = np.concatenate([[0], np.cumsum(features.value_lengths().to_numpy())]).astype(np.int64)
     rows = SparseRows(index, shares.flatten().to_numpy() * idf[index] * SCALE, off)
     place = {name: i for i, name in enumerate(classes)}

@@ -41,8 +41,8 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return shifted / shifted.sum(axis=1, keepdims=True)
 
 
-def train_ftrl(rows: SparseRows, labels: np.ndarray, classes: int, dimensions: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 32, seed: int = 7) -> LinearModel:
-    """Multinomial logistic regression by FTRL-proximal with elastic-net penalties, in small batches.
+def train_ftrl(rows: SparseRows, labels: np.ndarray, subset: np.ndarray, classes: int, dimensions: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 32, seed: int = 7) -> LinearModel:
+    """Multinomial logistic regression on a subset of rows by FTRL-proximal with elastic-net penalties, in small batches.
 
     The last coordinate is the bias, which no penalty touches.
     """
@@ -56,7 +56,7 @@ def train_ftrl(rows: SparseRows, labels: np.ndarray, classes: int, dimensions: i
         return -shrunk / ((beta + np.sqrt(n[:, at])) / alpha + np.where(free, 0.0, l2))
 
     for _ in range(epochs):
-        shuffled = order.permutation(len(labels))
+        shuffled = order.permutation(subset)
         for at in range(0, len(shuffled), batch):
             own = shuffled[at : at + batch]
             part = rows.take(own)
@@ -90,5 +90,5 @@ def calibrated(model: LinearModel, rows: SparseRows, labels: np.ndarray) -> Line
 def fit(rows: SparseRows, labels: np.ndarray, classes: int, dimensions: int, **options) -> LinearModel:
     """Trains on four of five rows and calibrates on the fifth."""
     held = np.arange(len(labels)) % 5 == 4
-    model = train_ftrl(rows.take(np.flatnonzero(~held)), labels[~held], classes, dimensions, **options)
+    model = train_ftrl(rows, labels, np.flatnonzero(~held), classes, dimensions, **options)
     return calibrated(model, rows.take(np.flatnonzero(held)), labels[held])

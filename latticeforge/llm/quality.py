@@ -24,7 +24,7 @@ from .linear import LinearModel, SparseRows, fit, softmax
 BITS = 18
 DIMENSIONS = 1 << BITS
 #: Labelled documents that the classifier is fitted on at most.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1200
 #: A document whose probability of being good is lower is rejected.
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -138,7 +138,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, *, train_rows: int =
         return None
     features = table["features"].combine_chunks()
     off = np.concatenate([[0], np.cumsum(features.value_lengths().to_numpy())]).astype(np.int64)
-    matrix = SparseRows(features.flatten().to_numpy().astype(np.int64), table["shares"].combine_chunks().flatten().to_numpy() * np.float32(SCALE), off)
+    matrix = SparseRows(features.flatten().to_numpy(), table["shares"].combine_chunks().flatten().to_numpy() * np.float32(SCALE), off)
+    del table, features
     return fit(matrix, answer, 2, DIMENSIONS)
 
 
