@@ -33,6 +33,8 @@ CAPACITY = 2048
 SHARD_PIECES = 40_000
 #: Bins that one pass over a shard works on, emptiest first, and passes at most.
 MAX_TARGETS, MAX_PASSES = 400, 12
+#: Units that a worker's memo holds: in a pipeline, later stages share the workers' memory with it.
+MEMO_UNITS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -41,7 +43,7 @@ def pieces_of(vocabulary: str, end_id: int, capacity: int):
     """A mapInArrow function from (doc_id, text) to the pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(vocabulary)
+        tokenizer = word_tokenizer(vocabulary, MEMO_UNITS)
         for batch, raw, off in text_chunks(batches, size=TOKENIZE_BYTES):
             ids, at = tokenizer.ids(raw, off)
             n = np.diff(at) + 1

@@ -165,10 +165,11 @@ class WordTokenizer(UnitMemo):
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, memo_limit: int = MEMO_LIMIT) -> WordTokenizer:
     """One tokenizer for each Python worker, with its memo."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path, memo_limit)
+    _loaded[path].memo_limit = memo_limit
     return _loaded[path]
 
 
