@@ -13,7 +13,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then jumps to the label's own label, so
     rounds grow with the logarithm of a component's diameter.  Labels are written each round.
     """
-    spark = links.sparkSession
     both = _session.stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
     labels = _session.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
@@ -23,8 +22,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         jumped = lowered.join(up, "root", "left").select("node", "old", F.least("root", "higher").alias("root"))
         done = _session.stored(jumped, "labels")
         moved = done.where(F.col("old") != F.col("root")).limit(1).count()
-        for path in labels.inputFiles()[:1]:
-            _session.drop_path(spark, path.rsplit("/", 1)[0])
+        _session.drop(labels)
         labels = done.select("node", "root")
         if not moved:
+            _session.drop(both)
             return labels

@@ -5,14 +5,15 @@ is such a pair of bands.  For the sizes of a tile a link allows at most D differ
 the shingles are dealt by hash into D + 2 parts, linked sets agree in at least two whole parts.  A
 document's key for each part of its (at most two) tiles is a hash of all its shingles there, and
 only documents that share a key are ever compared: no link is lost, and one common shingle makes no
-candidates.  Candidates then face a parity bitmap of 256 bits: shared shingles cancel out in the
+candidates.  Candidates then face a parity bitmap of 2048 bits: shared shingles cancel out in the
 exclusive or, so its bit count bounds the differing shingles from below and the overlap from above.
 What is left is decided by exact intersection of the sorted arrays.
 
 Only links between different sets matter, so documents with equal sets are one class.  In a group
-of copies, every class is first compared with one pivot of each key's bucket (the member that meets
-the most others); pairs of a bucket that are still in different components afterwards are compared
-one by one, so large groups cost about one comparison a member and connectivity stays exact.
+of copies, every class is first compared with the pivot it shares most keys with, then with the other
+pivots it is not connected to yet (a bucket's pivot is the member that meets the most others); of the pairs of a bucket that are still in different components afterwards, those
+whose sizes and signatures allow a link are compared too, so large groups cost about one comparison
+a member and connectivity stays exact.
 
 Keys travel as packed arrays and each chunk sends one row for a key it saw more than once (the other
 rows are known candidates and skip the meeting), so a hot key's traffic is bounded by the chunks.
@@ -33,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _session
-from ._kernels import LOWER_ASCII, mix64, prefix_hash, ragged_index, span_hash, text_chunks, word_bounds
+from ._kernels import LOWER_ASCII, list_column, mix64, prefix_hash, ragged_index, span_hash, text_chunks, word_bounds
 from .components import connected_components
 
-#: Bits of the parity signature.
-SIGNATURE_BITS = 256
+#: Bits of the parity signature: about as many differences as half of them can be told apart.
+#: Sets of which a link may differ in more carry a wide signature besides.
+SIGNATURE_BITS = 2048
+WORDS = SIGNATURE_BITS // 64
 #: Empty parts that a document may have without sending keys for them.
 SPARE_PARTS = 1
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -112,11 +115,26 @@ class ChunkSets:
             return mix64(total + self.size.astype(np.uint64) * _K[0]).view(np.int64)
 
     def signatures(self) -> np.ndarray:
-        """Parity bitmaps as four 64-bit words a document."""
+        """Parity bitmaps as 64-bit words, WORDS for each document."""
         h = mix64(self.values ^ _K[0])
-        word, bit = (h >> np.uint64(6)) % np.uint64(SIGNATURE_BITS // 64), np.uint64(1) << (h & np.uint64(63))
-        out = np.zeros((len(self.size), SIGNATURE_BITS // 64), np.uint64)
-        np.bitwise_xor.at(out, (self.owner, word.astype(np.int64)), bit)
+        word, bit = (h >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (h & np.uint64(63))
+        out = np.zeros(len(self.size) * WORDS, np.uint64)
+        np.bitwise_xor.at(out, self.owner * WORDS + word.astype(np.int64), bit)
+        return out.reshape(-1, WORDS)
+
+    def wide_signatures(self) -> list[bytes | None]:
+        """Parity bitmaps of four times the bits that a link may differ in, where SIGNATURE_BITS are fewer."""
+        t, out = self.threshold, []
+        for a, n in zip(self.off[:-1].tolist(), self.size.tolist()):
+            least = 8 * n * (t.den - t.num) // (t.den + t.num)
+            if least <= SIGNATURE_BITS:
+                out.append(None)
+                continue
+            words = 1 << (least // 64).bit_length()
+            h = mix64(self.values[a : a + n] ^ _K[0])
+            own = np.zeros(words, np.uint64)
+            np.bitwise_xor.at(own, ((h >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+            out.append(own.tobytes())
         return out
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -151,26 +169,27 @@ class ChunkSets:
         return (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-_MEETING = "p int, doc_id long, h long, n long, cls long, signature binary, keys binary, classes binary, shared binary"
-_MET = "doc_id long, h long, n long, cls long, signature binary, key long"
+_MEETING = "p int, doc_id long, h long, n long, cls long, signature array<long>, wide binary, keys binary, classes binary, shared binary"
+_MET = "doc_id long, h long, n long, cls long, signature array<long>, wide binary, key long"
 
 
 def _emit(n: int, threshold: Threshold, groups: int):
     """Rows of members, and packed key rows by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(p, doc_id=None, h=None, size=None, cls=None, signature=None, keys=None, classes=None, shared=None):
+        def rows(p, doc_id=None, h=None, size=None, cls=None, signature=None, wide=None, keys=None, classes=None, shared=None):
             k = len(p)
             none = lambda x, kind: pa.nulls(k, kind) if x is None else pa.array(x, kind)
             return pa.record_batch(
-                [pa.array(p, pa.int32()), none(doc_id, pa.int64()), none(h, pa.int64()), none(size, pa.int64()), none(cls, pa.int64()), none(signature, pa.binary()), none(keys, pa.binary()), none(classes, pa.binary()), none(shared, pa.binary())],
-                names=["p", "doc_id", "h", "n", "cls", "signature", "keys", "classes", "shared"],
+                [pa.array(p, pa.int32()), none(doc_id, pa.int64()), none(h, pa.int64()), none(size, pa.int64()), none(cls, pa.int64()), pa.nulls(k, pa.list_(pa.int64())) if signature is None else signature, none(wide, pa.binary()), none(keys, pa.binary()), none(classes, pa.binary()), none(shared, pa.binary())],
+                names=["p", "doc_id", "h", "n", "cls", "signature", "wide", "keys", "classes", "shared"],
             )
 
         for batch, raw, off in text_chunks(batches):
             chunk = ChunkSets(raw, off, n, threshold)
-            cls, marks = chunk.classes, chunk.signatures().astype("<u8")
-            yield rows((np.abs(cls) % groups).astype(np.int32), batch.column(0).to_pylist(), batch.column(1).to_pylist(), chunk.size, cls, [m.tobytes() for m in marks])
+            cls = chunk.classes
+            marks = list_column(chunk.signatures().view(np.int64).ravel(), np.arange(len(cls) + 1) * WORDS)
+            yield rows((np.abs(cls) % groups).astype(np.int32), batch.column(0).to_pylist(), batch.column(1).to_pylist(), chunk.size, cls, marks, chunk.wide_signatures())
             keys, owners = chunk.keys()
             order = np.lexsort((owners, keys))
             keys, owners = keys[order], owners[order]
@@ -204,14 +223,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         k = len(key)
-        return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(cls), pa.nulls(k, pa.binary()), pa.array(key.view(np.int64))], names=["doc_id", "h", "n", "cls", "signature", "key"])
+        return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(cls), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(key.view(np.int64))], names=["doc_id", "h", "n", "cls", "signature", "wide", "key"])
 
     for batch in batches:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         member = column["n"].is_valid()
         own = batch.filter(member)
         if own.num_rows:
-            yield pa.record_batch([own.column(i) for i in range(1, 6)] + [pa.nulls(own.num_rows, pa.int64())], names=["doc_id", "h", "n", "cls", "signature", "key"])
+            yield pa.record_batch([own.column(i) for i in range(1, 7)] + [pa.nulls(own.num_rows, pa.int64())], names=["doc_id", "h", "n", "cls", "signature", "wide", "key"])
         for k, c, s in zip(column["keys"].to_pylist(), column["classes"].to_pylist(), column["shared"].to_pylist()):
             if k is None:
                 continue
@@ -254,17 +273,44 @@ class NgramJoin:
         self.members = met.where("n is not null").drop("key")
         self.shared = met.where("n is null").select("key", "cls")
 
-    def _bounded(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and signatures leave a link possible."""
+    def _info(self, name: str) -> DataFrame:
+        """(name, name_n, name_s0..): size and signature of each class."""
         info = self.members.groupBy("cls").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
-        words = [F.conv(F.hex(F.substring("signature", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SIGNATURE_BITS // 64)]
-        info = info.select("cls", "n", *words)
-        side = lambda x: info.select(*(F.col(c).alias(x if c == "cls" else f"{x}_{c}") for c in info.columns))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
+        words = [F.col("signature")[i].alias(f"{name}_s{i}") for i in range(WORDS)]
+        return info.select(F.col("cls").alias(name), F.col("n").alias(f"{name}_n"), *words)
+
+    def _possible(self):
+        """Whether sizes and signatures of a and b leave a link possible."""
+        differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(WORDS)), F.lit(0))
         total, t = F.col("a_n") + F.col("b_n"), self.threshold
-        fits = (differ * (t.num + t.den) <= total * (t.den - t.num)) & (F.least("a_n", "b_n") * t.den >= F.greatest("a_n", "b_n") * t.num)
-        return both.where(fits).select("a", "b")
+        return (differ * (t.num + t.den) <= total * (t.den - t.num)) & (F.least("a_n", "b_n") * t.den >= F.greatest("a_n", "b_n") * t.num)
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        both = pairs.join(self._info("a"), "a").join(self._info("b"), "b")
+        return both.where(self._possible()).select("a", "b")
+
+    def _wide_bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that wide signatures leave possible; the wider of two folds to the other's width."""
+        info = self.members.where("wide is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+        side = lambda x: info.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+        t = self.threshold
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                    if x is None or y is None:
+                        keep.append(True)
+                        continue
+                    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                    differ = int(np.bitwise_count(x ^ y).sum())
+                    keep.append(differ * (t.num + t.den) <= (m + n) * (t.den - t.num))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+        return both.mapInArrow(run, "a long, b long")
 
     def _sets(self, classes: DataFrame) -> DataFrame:
         """(cls, items): the sorted shingles of each class in `classes` (cls)."""
@@ -283,7 +329,7 @@ class NgramJoin:
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold: exact intersections of sorted arrays."""
-        pairs = _session.stored(self._bounded(pairs), "ngram-pairs")
+        pairs = _session.stored(self._wide_bounded(self._bounded(pairs)), "ngram-pairs")
         sets = _session.stored(self._sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()), "ngram-sets")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         threshold = self.threshold
@@ -298,7 +344,13 @@ class NgramJoin:
                     keep.append(bool(threshold.reached(shared, len(x), len(y))))
                 yield pa.record_batch([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-        return _session.stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "ngram-links")
+        links = _session.stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "ngram-links")
+        _session.drop(pairs, sets)
+        return links
+
+    @staticmethod
+    def _named(roots: DataFrame, name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
 
     def class_components(self) -> DataFrame:
         """(cls, root) of every class that has a link."""
@@ -309,16 +361,28 @@ class NgramJoin:
         pivot = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("top"), F.count("*").alias("size"))
         pivot = pivot.where("size > 1").select("key", F.col("top.cls").alias("pivot"), "size")
         buckets = _session.stored(weighed.select("key", "cls").join(pivot, "key"), "ngram-stars")
-        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        tested = _session.stored(buckets.where("cls <> pivot").select(*pair("cls", "pivot")).distinct(), "ngram-tested")
-        links = self._linked(tested)
+        _session.drop(weighed)
+        # Round one: every class against the pivot that it shares most keys with.
+        stars = _session.stored(buckets.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("k")), "ngram-pivots")
+        pair = (F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+        nearest = stars.groupBy("cls").agg(F.max(F.struct("k", "pivot")).alias("top")).select("cls", F.col("top.pivot").alias("pivot"))
+        links = self._linked(nearest.select(*pair).distinct())
         roots = connected_components(links)
+        # Round two: its other pivots, where that left them in different components.
+        tested = stars.select(*pair).distinct()
+        apart = tested.join(self._named(roots, "a"), "a", "left").join(self._named(roots, "b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+        more = self._linked(apart.select("a", "b").join(nearest.select(*pair), ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            links = links.union(more)
+            roots = connected_components(links)
         # What the pivots left open: pairs of a bucket in different components.
         named = buckets.where("size > 2").select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
         split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         named = _session.stored(named.join(split, "key"), "ngram-open")
-        left, right = named.select("key", F.col("cls").alias("a"), F.col("root").alias("ra")), named.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
-        open_pairs = left.join(right, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        left = named.select("key", F.col("cls").alias("a"), F.col("root").alias("ra")).join(self._info("a"), "a")
+        right = named.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb")).join(self._info("b"), "b")
+        met = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & self._possible())
+        open_pairs = met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         more = self._linked(open_pairs)
         if more.limit(1).count():
             roots = connected_components(links.union(more))
