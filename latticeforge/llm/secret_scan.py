@@ -1,14 +1,19 @@
 """Operator 10: secret scans with a recursive decoding worklist.
 
 Base kinds are matched on the text itself.  Then layers are unwrapped: URL and Unicode escapes turn
-a whole layer into another one with a position map; base64 runs, and compressed data inside them,
-open layers that map to the run as a whole.  Every new layer is scanned with the base patterns and
-unwrapped in turn until nothing new appears; layers already seen at the same place are not entered
-again, so cycles end.  A secret found in a layer is reported at the span of the original text that
-holds it.  Base spans always stay, decoding only adds spans.
-
-Defined results: null and empty text has no spans; offsets are code points, ends exclusive; a layer
-that would inflate beyond MAX_LAYER_BYTES is not entered (a guard against decompression bombs).
+a whole layer into another one with a position map, and so does text of two or four bytes a
+character; base64 runs open layers that map to the run as a whole, and zlib, gzip, bzip2 or xz data
+anywhere in a decoded layer open layers that map to the data.  Every new layer is scanned with the
+base patterns and unwrapped in turn until nothing new appears; layers already seen at the same place
+are not entered again, so cycles end.  A secret found in a layer is reported at the span of the
+original text that holds it.  Base spans always stay, decoding only adds spans.
+
+Decoded bytes stay one character each (Latin-1): all patterns are ASCII, so text in UTF-8 or any
+other ASCII-based encoding is found, binary fields beside it do no harm and compressed data is kept.
+
+Defined results: null and empty text has no spans; offsets are code points, ends exclusive; of
+compressed data that is cut off or damaged, what comes before is scanned; a layer that would inflate
+beyond MAX_LAYER_BYTES is not entered (a guard against decompression bombs).
 """
 
 from __future__ import annotations
@@ -48,6 +53,16 @@ URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _UNICODE_ITEM = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
+#: ASCII text of two or four bytes a character, in either byte order.
+WIDE = re.compile(r"(?:(?:[\t\n\r\x20-\x7e]\0){7,}|(?:[\t\n\r\x20-\x7e]\0{3}){7,})[\t\n\r\x20-\x7e]?")
+_ZLIB = "|".join(f"\\x{c:02x}[{''.join(f'\\x{f:02x}' for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32)}]" for c in range(0x08, 0x80, 0x10))
+#: How compressed data starts.
+STREAM = re.compile(rf"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|{_ZLIB}")
+BYTES = re.compile(r"[\0-\xff]*")
+#: Bytes of a broken zlib stream that tell it from chance where it does not start a layer.
+SURE_BYTES = 64
+#: Bytes that go into a decompressor at first, and into and out of one later.
+FIRST_PIECE, PIECE = 1 << 10, 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -65,7 +80,7 @@ def ordered(spans) -> list[Span]:
 
 
 def _unescape_url(run: str) -> str:
-    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
+    return bytes.fromhex(run.replace("%", "")).decode("latin-1")
 
 
 def _unescape_unicode(run: str) -> str:
@@ -80,39 +95,86 @@ def _unescape_unicode(run: str) -> str:
     return "".join(joined)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of zlib, gzip, bzip2 or xz data; None if it is none of them."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            worker = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            worker = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            worker = lzma.LZMADecompressor()
-        else:
-            return None
-        out = worker.decompress(data, MAX_LAYER_BYTES + 1)
-        return out if worker.eof and len(out) <= MAX_LAYER_BYTES else None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+def _narrowed(run: str) -> str:
+    return run.replace("\0", "")
+
+
+def _worker(head: str):
+    """A decompressor for data that starts like this."""
+    if head[:3] == "BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[0] == "\xfd" else zlib.decompressobj(47)
+
+
+def _member(text: str, at: int, careful: int | None = None, skip: int = 0) -> Iterator[bytes]:
+    """The content of the compressed data at this place after `skip` bytes; returns (its end, whether it is whole).
+
+    A decompressor that fails keeps back what its last call made, so all is then read again, byte by
+    byte from the piece of that call (`careful`) on.
+    """
+    worker, fed, step, made = _worker(text[at : at + 3]), at, FIRST_PIECE, 0
+    while not worker.eof:
+        end = BYTES.match(text, fed, fed + (step if careful is None or fed < careful else 1)).end()
+        if end == fed:
+            return fed, False
+        if careful is not None:
+            end = min(end, max(careful, fed + 1))
+        data = text[fed:end].encode("latin-1")
+        try:
+            while not worker.eof:
+                part = worker.decompress(data, PIECE)
+                made += len(part)
+                if made > skip and part:
+                    yield part[max(0, len(part) - (made - skip)) :]
+                data = getattr(worker, "unconsumed_tail", b"")
+                if not data and len(part) < PIECE:
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            if careful is None:
+                return (yield from _member(text, at, fed, made))
+            return fed, False
+        fed, step = end, PIECE
+    return fed - len(worker.unused_data), True
+
+
+class _Inflated:
+    """All that starts at this place of a layer and follows it as further members: content, end, whole."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.text, self.end, self.whole = text, at, True
+
+    def __iter__(self) -> Iterator[bytes]:
+        while self.whole and STREAM.match(self.text, self.end):
+            self.end, self.whole = yield from _member(self.text, self.end)
+
+
+def _streams(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, content) of all compressed data in a layer."""
+    at = 0
+    while head := STREAM.search(text, at):
+        start, size, parts, data = head.start(), 0, [], _Inflated(text, head.start())
+        for part in data:
+            parts.append(part)
+            size += len(part)
+            if size > MAX_LAYER_BYTES:
+                parts = []
+                break
+        # Two bytes alone may be chance; then what a broken stream gives is noise, and short.
+        sure = data.whole or head[0][0] in "\x1fB\xfd" or data.end - start >= SURE_BYTES or start == 0 and head[0][0] == "x"
+        if parts and sure:
+            yield start, data.end, b"".join(parts).decode("latin-1")
+        at = data.end if data.whole and data.end > start else start + 1
 
 
 def _opened(run: str) -> str | None:
-    """The text inside a base64 run, inflated as often as needed; None if there is none."""
+    """What a base64 run holds; None if it is none."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True).decode("latin-1")
     except (binascii.Error, ValueError):
         return None
-    while (inner := _inflate(data)) is not None and inner != data:
-        data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
 class _Layer:
@@ -148,11 +210,15 @@ class _Layer:
 def added_spans(text: str, base: list[Span]) -> set[Span]:
     """Spans of secrets that only decoding shows."""
     place = np.arange(len(text))
-    work = [_Layer(text, place, place + 1)]
+    root = _Layer(text, place, place + 1)
+    work = [root]
     seen, found, known = set(), set(), set(base)
     while work:
         layer = work.pop()
         inner = [layer.replaced(URL_ESCAPE, _unescape_url), layer.replaced(UNICODE_ESCAPE, _unescape_unicode)]
+        if layer is not root:
+            inner += [layer.replaced(WIDE, _narrowed)] if "\0" in layer.text else []
+            inner += [_Layer(content, *layer.place(s, e)) for s, e, content in _streams(layer.text)]
         for m in BASE64_RUN.finditer(layer.text):
             if (opened := _opened(m[0])) is not None:
                 inner.append(_Layer(opened, *layer.place(m.start(), m.end())))

@@ -296,3 +296,32 @@ def test_candidates_lose_nothing():
 
 def test_decoding_ends():
     assert secret_scan.scan_text("%25" * 50 + "\\u005cu0041" * 5 + "A" * 500) is not None
+
+
+def test_secrets_in_binary_layers():
+    """Decoded bytes are scanned and inflated whatever else they hold."""
+    import base64
+    import bz2
+    import gzip
+    import io
+    import lzma
+    import tarfile
+    import zlib
+
+    secret = b"password = hunter2hunter2"
+    shelf = io.BytesIO()
+    with tarfile.open(fileobj=shelf, mode="w") as tar:
+        entry = tarfile.TarInfo("notes")
+        entry.size = len(secret)
+        tar.addfile(entry, io.BytesIO(secret))
+    text = "é " + secret.decode() + " é"
+    plain = [shelf.getvalue(), gzip.compress(shelf.getvalue()), text.encode("latin-1"), b"\n\x19" + secret + b"\x12\xff\0"]
+    plain += [text.encode(code) for code in ("utf-16", "utf-16-le", "utf-16-be", "utf-32")]
+    rng = random.Random(3)
+    rest = " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(60)).encode()
+    packed = [pack(secret + b" " + rest) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)]
+    encoded = [base64.b64encode(x).decode() for x in plain + packed + [packed[0][:-20], packed[1][:150] + b"\xff" * 300, b"pre" + packed[0], gzip.compress(b"password = hun") + gzip.compress(b"ter2hunter2")]]
+    encoded += ["".join(f"%{b:02X}" for b in x) for x in packed] + ["".join(f"\\x{b:02x}" for b in x) for x in packed]
+    for x in encoded:
+        assert secret_scan.scan_text(f"中 <{x}> 中")[1] == [("assign", 3, 3 + len(x))]
+    assert secret_scan.scan_text(base64.b64encode(random.Random(4).randbytes(200_000)).decode())[1] == []
