@@ -3,7 +3,9 @@
 Base kinds are matched on the text itself.  Then layers are unwrapped: URL and Unicode escapes turn
 a whole layer into another one with a position map, and so does text of two or four bytes a
 character; base64 runs open layers that map to the run as a whole, and zlib, gzip, bzip2 or xz data
-anywhere in a decoded layer open layers that map to the data.  Every new layer is scanned with the
+anywhere in a decoded layer open layers that map to the data.  A run is read from each of its first
+four characters, so others of the alphabet may stand before it.  Runs that only line breaks separate
+are joined; what then lies on several lines maps to all lines wrapped alike.  Every new layer is scanned with the
 base patterns and unwrapped in turn until nothing new appears; layers already seen at the same place
 are not entered again, so cycles end.  A secret found in a layer is reported at the span of the
 original text that holds it.  Base spans always stay, decoding only adds spans.
@@ -19,12 +21,12 @@ beyond MAX_LAYER_BYTES is not entered (a guard against decompression bombs).
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,11 @@ BYTES = re.compile(r"[\0-\xff]*")
 SURE_BYTES = 64
 #: Bytes that go into a decompressor at first, and into and out of one later.
 FIRST_PIECE, PIECE = 1 << 10, 1 << 16
+_ALPHABET = "A-Za-z0-9+/_-"
+BASE64_BLOCK = re.compile(rf"(?<![{_ALPHABET}])[{_ALPHABET}]++(?:[ \t]*+[\r\n]\s*+(?!-----)[{_ALPHABET}]++)+={{0,2}}", re.ASCII)
+_AFTER = re.compile(r"[/_-]")
+_CLEAN = re.compile(r"[\t\n\r\x20-\x7e]{12}")
+_LINE = re.compile(rf"[{_ALPHABET}]+")
 
 Span = tuple[str, int, int]
 
@@ -148,8 +155,8 @@ class _Inflated:
             self.end, self.whole = yield from _member(self.text, self.end)
 
 
-def _streams(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, content) of all compressed data in a layer."""
+def _streams(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, content, whether it is whole) of all compressed data in a layer."""
     at = 0
     while head := STREAM.search(text, at):
         start, size, parts, data = head.start(), 0, [], _Inflated(text, head.start())
@@ -162,19 +169,23 @@ def _streams(text: str) -> Iterator[tuple[int, int, str]]:
         # Two bytes alone may be chance; then what a broken stream gives is noise, and short.
         sure = data.whole or head[0][0] in "\x1fB\xfd" or data.end - start >= SURE_BYTES or start == 0 and head[0][0] == "x"
         if parts and sure:
-            yield start, data.end, b"".join(parts).decode("latin-1")
+            yield start, data.end, b"".join(parts).decode("latin-1"), data.whole
         at = data.end if data.whole and data.end > start else start + 1
 
 
-def _opened(run: str) -> str | None:
-    """What a base64 run holds; None if it is none."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True).decode("latin-1")
-    except (binascii.Error, ValueError):
-        return None
+def _decoded(body: str) -> str:
+    """What base64 characters hold; a last one that fills no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4)).decode("latin-1")
+
+
+def _glued(body: str, shift: int, text: str) -> int | None:
+    """The first place after a separator from which what was read from `shift` on is clean text or compressed data."""
+    for m in _AFTER.finditer(body):
+        at = m.end()
+        if at % 4 == shift and (_CLEAN.match(text, k := (at - shift) // 4 * 3) or STREAM.match(text, k)):
+            return at
+    return None
 
 
 class _Layer:
@@ -183,19 +194,65 @@ class _Layer:
     def __init__(self, text: str, starts, ends) -> None:
         self.text, self.starts, self.ends = text, starts, ends
 
-    def place(self, start: int, end: int) -> tuple[int, int]:
+    @property
+    def mapped(self) -> bool:
+        """Whether places inside it are places of the original text."""
+        return not isinstance(self.starts, int) and type(self) is _Layer
+
+    def place(self, start: int, end: int) -> tuple[int, int] | None:
         if isinstance(self.starts, int):
             return self.starts, self.ends
         return int(self.starts[start]), int(self.ends[end - 1])
 
-    def replaced(self, pattern: re.Pattern, decode) -> _Layer | None:
-        """This layer with every match of the pattern decoded in place."""
+    def derived(self, text: str, starts, ends) -> _Layer:
+        return _Layer(text, starts, ends)
+
+    def opened(self, run: re.Match) -> Iterator[_Layer]:
+        """The layers in a base64 run."""
+        if (where := self.place(*run.span())) is None:
+            return
+        body = run[0].rstrip("=")
+        for shift in range(4):
+            text = _decoded(body[shift:])
+            at = _glued(body, shift, text) if shift and self.mapped else None
+            if at is None:
+                yield _Layer(text, *where)
+            else:
+                starts = np.full(len(text), where[0])
+                starts[(at - shift) // 4 * 3 :] = self.place(run.start() + at, run.end())[0]
+                yield _Layer(text, starts, np.full(len(text), where[1]))
+
+    def joined(self, block: re.Match) -> Iterator[_Layer]:
+        """The layers in base64 runs that line breaks separate."""
+        lines = list(_LINE.finditer(block[0]))
+        body = "".join(m[0] for m in lines)
+        if len(body) < MIN_BASE64 or (where := self.place(*block.span())) is None:
+            return
+        if self.mapped:
+            cut = np.cumsum([len(m[0]) for m in lines])
+            spans = [self.place(block.start() + m.start(), block.start() + m.end()) for m in lines]
+            spans[-1] = (spans[-1][0], where[1])  # with the padding
+            gaps = [block[0][a.end() : b.start()] for a, b in zip(lines, lines[1:])]
+            wrap = _wrap([len(m[0]) for m in lines], gaps, spans)
+        for shift in range(4):
+            text = _decoded(body[shift:])
+            if not self.mapped:
+                yield _Layer(text, *where)
+            else:
+                k = np.arange(len(text))
+                first = shift + k // 3 * 4 + k % 3
+                yield _Wrapped(text, np.searchsorted(cut, first, "right"), np.searchsorted(cut, first + 1, "right"), wrap)
+
+    def replaced(self, pattern: re.Pattern, decode, without=()) -> _Layer | None:
+        """This layer with every match of the pattern decoded in place, but for those in the spans `without`."""
         parts, starts, ends, at, fixed = [], [], [], 0, isinstance(self.starts, int)
         for m in pattern.finditer(self.text):
+            if _within(without, m):
+                continue
             new = decode(m[0])
             parts += [self.text[at : m.start()], new]
             if not fixed:
-                s, e = self.place(m.start(), m.end())
+                s, e = int(self.starts[m.start()]), int(self.ends[m.end() - 1])
                 starts += [self.starts[at : m.start()], np.full(len(new), s)]
                 ends += [self.ends[at : m.start()], np.full(len(new), e)]
             at = m.end()
@@ -204,7 +261,54 @@ class _Layer:
         text = "".join([*parts, self.text[at:]])
         if fixed:
             return _Layer(text, self.starts, self.ends)
-        return _Layer(text, np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
+        return self.derived(text, np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
+
+
+def _within(spans: list[tuple[int, int]], m: re.Match) -> bool:
+    """Whether a match starts in one of some ordered spans."""
+    return bool(spans) and (k := bisect_right(spans, (m.start(), 1 << 62))) > 0 and m.start() < spans[k - 1][1]
+
+
+def _wrap(sizes: list[int], gaps: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each line the span of its group: lines of one length and a shorter last one, with the same breaks."""
+    out, at = [], 0
+    while at < len(sizes):
+        end = at + 1
+        while end < len(sizes) and sizes[end] == sizes[at] and gaps[end - 1] == gaps[at]:
+            end += 1
+        end += end < len(sizes) and sizes[end] < sizes[at] and gaps[end - 1] == gaps[at]
+        out += [(spans[at][0], spans[end - 1][1])] * (end - at)
+        at = end
+    return out
+
+
+class _Wrapped(_Layer):
+    """What joined lines hold; `starts` and `ends` are numbers of lines, `wrap` has the span of each line's group."""
+
+    def __init__(self, text: str, starts, ends, wrap: list[tuple[int, int]]) -> None:
+        super().__init__(text, starts, ends)
+        self.wrap = wrap
+
+    def place(self, start: int, end: int) -> tuple[int, int] | None:
+        """None for what lies on one line: the line itself is a run that shows it."""
+        first, last = int(self.starts[start]), int(self.ends[end - 1])
+        return (self.wrap[first][0], self.wrap[last][1]) if first < last else None
+
+    def derived(self, text: str, starts, ends) -> _Layer:
+        return _Wrapped(text, starts, ends, self.wrap)
+
+
+def _widest(found: set[Span], wrapped: set[tuple[int, int]]) -> set[Span]:
+    """Without what a single line showed inside a span over several lines."""
+    out = set()
+    for kind in KINDS:
+        reach = -1
+        for s, e in sorted(((s, e) for k, s, e in found if k == kind), key=lambda x: (x[0], -x[1])):
+            if (s, e) in wrapped:
+                reach = max(reach, e)
+            if (s, e) in wrapped or e > reach:
+                out.add((kind, s, e))
+    return out
 
 
 def added_spans(text: str, base: list[Span]) -> set[Span]:
@@ -212,27 +316,37 @@ def added_spans(text: str, base: list[Span]) -> set[Span]:
     place = np.arange(len(text))
     root = _Layer(text, place, place + 1)
     work = [root]
-    seen, found, known = set(), set(), set(base)
+    seen, found, wrapped, known = set(), set(), set(), set(base)
     while work:
         layer = work.pop()
-        inner = [layer.replaced(URL_ESCAPE, _unescape_url), layer.replaced(UNICODE_ESCAPE, _unescape_unicode)]
-        if layer is not root:
-            inner += [layer.replaced(WIDE, _narrowed)] if "\0" in layer.text else []
-            inner += [_Layer(content, *layer.place(s, e)) for s, e, content in _streams(layer.text)]
+        streams = list(_streams(layer.text)) if layer is not root else []
+        packed = [(s, e) for s, e, _, whole in streams if whole]
+        inner = [layer.replaced(URL_ESCAPE, _unescape_url, packed), layer.replaced(UNICODE_ESCAPE, _unescape_unicode, packed)]
+        if layer is not root and "\0" in layer.text:
+            inner.append(layer.replaced(WIDE, _narrowed, packed))
+        inner += [_Layer(content, *where) for s, e, content, _ in streams if (where := layer.place(s, e)) is not None]
         for m in BASE64_RUN.finditer(layer.text):
-            if (opened := _opened(m[0])) is not None:
-                inner.append(_Layer(opened, *layer.place(m.start(), m.end())))
+            if not _within(packed, m):
+                inner += layer.opened(m)
+        for m in BASE64_BLOCK.finditer(layer.text):
+            if not _within(packed, m):
+                inner += layer.joined(m)
         for new in inner:
             if new is None or not new.text:
                 continue
-            where = (new.starts, new.ends) if isinstance(new.starts, int) else None
+            where = (new.starts, new.ends) if isinstance(new.starts, int) else (*new.wrap[0], *new.wrap[-1]) if isinstance(new, _Wrapped) else (int(new.starts[0]), int(new.starts[-1]), int(new.ends[0]), int(new.ends[-1]))
             key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where)
             if key in seen:
                 continue
             seen.add(key)
             work.append(new)
-            found.update((kind, *new.place(s, e)) for kind, s, e in base_spans(new.text))
-    return found - known
+            spans = {(kind, *at) for kind, s, e in base_spans(new.text) if (at := new.place(s, e)) is not None}
+            found |= spans
+            if isinstance(new, _Wrapped):
+                wrapped.update(span[1:] for span in spans)
+            elif isinstance(layer, _Wrapped):
+                wrapped.add(where)
+    return (_widest(found, wrapped) if wrapped else found) - known
 
 
 def scan_text(text: str) -> tuple[list[Span], list[Span]]:
@@ -258,10 +372,17 @@ def _with_runs(member: np.ndarray, off: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _line_breaks(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are in white space that holds a line break."""
+    space, ends = (raw == 32) | ((raw >= 9) & (raw <= 13)), (raw == 10) | (raw == 13)
+    head = np.flatnonzero(np.concatenate([[True], space[1:] != space[:-1]]))[: len(raw)]
+    return np.repeat(space[head] & np.logical_or.reduceat(ends, head), np.diff(np.append(head, len(raw)))) if len(raw) else ends
+
+
 def candidates(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which documents can hold anything to report: all others have no secret in any layer."""
     out = _with_runs(_HEX_BYTE[raw], off, 32)
-    maybe = _with_runs(_BASE64_BYTE[raw], off, MIN_BASE64)
+    maybe = _with_runs(_BASE64_BYTE[raw] | _line_breaks(raw), off, MIN_BASE64)
     data, low = raw.tobytes(), LOWER_ASCII[raw].tobytes()
     for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         if not out[i]:

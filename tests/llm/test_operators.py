@@ -325,3 +325,26 @@ def test_secrets_in_binary_layers():
     for x in encoded:
         assert secret_scan.scan_text(f"中 <{x}> 中")[1] == [("assign", 3, 3 + len(x))]
     assert secret_scan.scan_text(base64.b64encode(random.Random(4).randbytes(200_000)).decode())[1] == []
+
+
+def test_base64_in_lines_and_behind_other_characters():
+    import base64
+    import gzip
+    import textwrap
+
+    secret = b"password = hunter2hunter2"
+    rest = " ".join("".join(random.Random(k).choices("abcdefgh", k=7)) for k in range(80)).encode()
+    for inner in (gzip.compress(rest + b" " + secret), rest[:40] + secret + rest):
+        code = base64.b64encode(inner).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (16, "\n"), (10, "\n  ")):
+            block = end.join(textwrap.wrap(code, width))
+            assert secret_scan.scan_text(f"see\n{block}\n\nThe end")[1] == [("assign", 4, 4 + len(block))], (width, code)
+    code = base64.b64encode(secret + b" and more").decode()
+    for before in ("https://host/x/", "https://host/ab/", "key-", "my_key_", "a/b-c_"):
+        assert secret_scan.scan_text(f"{before}{code} é")[1][-1] in [("assign", k, len(before) + len(code)) for k in (len(before), 0, 6)]
+    packed = base64.b64encode(gzip.compress(secret)).decode()
+    for k in range(1, 9):
+        found = secret_scan.scan_text("." + "abcdefgh"[:k] + packed + ".")[1]
+        assert found == [("assign", 1, 1 + k + len(packed))]
+    assert secret_scan.scan_text("https://host/x/" + packed)[1] == [("assign", 15, 15 + len(packed))]
+    assert secret_scan.scan_text(f"a list\n{code}\nThe\nnext")[1] == [("assign", 7, 7 + len(code))]
