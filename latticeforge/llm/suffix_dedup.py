@@ -15,6 +15,9 @@ with two members is repeated as a whole.  Where a key has several classes, their
 compared one offset block at a time: blocks whose common core is unique drop out, the rest meet by
 core and equal windows are found by hash.  Every byte of a repeated window goes.
 
+Repeated passages of a number of words go the same way: each word is coded by a hash of WORD_BYTES, and
+windows of whole codes are the strings; white space between words does not count.
+
 Defined results: null text is empty; repeated rows repeat each other's bytes; rows sharing a doc_id
 are separate documents; shorter texts than LENGTH lose nothing; an empty table gives no rows.
 """
@@ -29,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _session
-from ._kernels import IS_SPACE, mix64, prefix_hash, ragged_index, span_hash, text_chunks
+from ._kernels import IS_SPACE, mix64, prefix_hash, ragged_index, span_hash, text_chunks, word_bounds
 from .anchors import anchor_runs
 
 LENGTH = 400
+#: Bytes that code a word where passages are counted in words.
+WORD_BYTES = 8
 #: Batches that a whole corpus is added in.
 BATCHES = 4
 #: Offsets compared at once when a key has several classes.
@@ -52,6 +57,20 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _word_codes(rows: DataFrame) -> DataFrame:
+    """`rows` with the codes of its words in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, off in text_chunks(batches):
+            starts, ends, first = word_bounds(raw, off)
+            codes = span_hash(prefix_hash(raw), starts, ends).astype("<u8").tobytes()
+            at = batch.schema.get_field_index("text")
+            cut = (first * WORD_BYTES).tolist()
+            yield batch.set_column(at, "text", pa.array([codes[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
 def _pack(columns: dict[str, np.ndarray]) -> list[pa.Array]:
     return [pa.array([columns[name].astype(kind).tobytes()], pa.binary()) for name, kind in FIELDS.items()]
 
@@ -271,23 +290,26 @@ def _runs(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """(doc, h, spans): for each document with repeats, its runs (s, e) of first bytes of repeated strings."""
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHES, code=lambda rows: rows) -> DataFrame:
+    """(doc, h, spans): for each document with repeats, its runs (s, e) of first bytes of repeated strings.
+
+    `code` changes the text of rows to the bytes that are compared.
+    """
     spark = docs.sparkSession
     rows = _rows(docs)
     index = SuffixIndex(spark, length=length)
     for b in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("h", "doc"), F.lit(batches)) == b))
+        index.add(code(rows.where(F.pmod(F.xxhash64("h", "doc"), F.lit(batches)) == b)))
     classes = _session.stored(index.resolved(), "suffix-classes")
     index.drop()
     whole = classes.where("members > 1").select("key", "context", F.lit(0).cast("long").alias("s"), (F.col("windows") - 1).alias("e"))
     open_classes = classes.where("several").groupBy("doc", "h").agg(F.collect_list(F.struct("key", "context", "at", "windows", "reach")).alias("classes"))
     holders = rows.join(open_classes.hint("shuffle_hash"), ["doc", "h"]).dropDuplicates(["doc", "h"]).select("text", "classes")
-    cores = _session.stored(holders.mapInArrow(_cores(length), CORES), "suffix-cores")
+    cores = _session.stored(code(holders).mapInArrow(_cores(length), CORES), "suffix-cores")
     met = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     part = cores.join(met, "core").repartition(index.tasks, "core").select("core", "key", "context", "skip", "slice").mapInArrow(_equal_windows(length), "key long, context long, s long, e long")
     marks = _session.stored(whole.unionByName(part), "suffix-marks")
-    runs = rows.mapInArrow(_runs(length), "doc long, h long, at long, key long, context long")
+    runs = code(rows).mapInArrow(_runs(length), "doc long, h long, at long, key long, context long")
     found = runs.join(marks, ["key", "context"]).select("doc", "h", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
     return found.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -303,9 +325,16 @@ def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, batches: int) -> DataFrame:
+def passage_bytes(raw: np.ndarray, spans: list[dict], words: int) -> list[tuple[int, int]]:
+    """Byte runs [start, end) of the passages of one text that start in runs of first bytes of repeated word codes."""
+    starts, ends, _ = word_bounds(raw, np.asarray([0, len(raw)]))
+    whole = [{"s": -(-x["s"] // WORD_BYTES), "e": x["e"] // WORD_BYTES} for x in spans]
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in covered([x for x in whole if x["s"] <= x["e"]], words)]
+
+
+def _with_spans(docs: DataFrame, length: int, batches: int, code=lambda rows: rows) -> DataFrame:
     """All rows of `docs` as (row, text, spans)."""
-    spans = _session.stored(repeated_spans(docs, length=length, batches=batches), "suffix-spans")
+    spans = _session.stored(repeated_spans(docs, length=length, batches=batches, code=code), "suffix-spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
     return rows.join(spans.hint("shuffle_hash"), ["doc", "h"], "left").select("row", "text", "spans")
@@ -333,9 +362,10 @@ def dedup_report(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHE
     return rows.select("row.doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, words: int | None = None, batches: int = BATCHES) -> DataFrame:
     """`docs` without repeated strings; characters cut by a span's edge stay whole, blank rests go.
 
+    With `words`, passages of so many words count as strings, however few bytes they have.
     n_chars, where there is one, is counted anew.
     """
 
@@ -344,7 +374,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = BATC
             texts, blank = [], []
             for a, b, held in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(2).to_pylist()):
                 own, at, parts = raw[a:b], 0, []
-                for s, e in covered(held or [], length):
+                gone = passage_bytes(own, held or [], words) if words else covered(held or [], length)
+                for s, e in gone:
                     while s < e and own[s] & 0xC0 == 0x80:  # inside a character: keep all of it
                         s += 1
                     while e < len(own) and e > s and own[e] & 0xC0 == 0x80:
@@ -354,10 +385,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = BATC
                 parts.append(own[at:])
                 rest = np.concatenate(parts)
                 texts.append(rest.tobytes().decode("utf-8"))
-                blank.append(bool(held) and bool(IS_SPACE[rest].all()))
+                blank.append(bool(gone) and bool(IS_SPACE[rest].all()))
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(blank)], names=["row", "kept_text", "blank"])
 
-    rows = _with_spans(docs, length, batches)
+    rows = _with_spans(docs, words * WORD_BYTES, batches, _word_codes) if words else _with_spans(docs, length, batches)
     schema = rows.select("row").schema.add("kept_text", "string").add("blank", "boolean")
     cut = rows.mapInArrow(run, schema).where("not blank")
     fields = {name: F.col("row")[name] for name in docs.columns} | {"text": F.col("kept_text")}

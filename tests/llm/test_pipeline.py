@@ -95,3 +95,31 @@ def test_everything_left_is_packed(stages):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, DATA).where(F.col("length") > 0).count() > 0
+
+
+def test_repeated_passages_of_over_50_words_go(spark):
+    import random
+
+    rng = random.Random(8)
+    new = lambda n: ["".join(rng.choices("abcdeé", k=rng.randrange(2, 7))) for _ in range(n)]
+    shared = {n: new(n) for n in (50, 51, 57, 63, 120)}
+    texts = [" ".join(new(70)), " ".join(new(51)) + "\t"]
+    for n, words in shared.items():
+        assert n == 120 or len(" ".join(words).encode()) < 400
+        texts += [" ".join(new(30) + words + new(40)), "\n".join(new(20)) + "\n" + "\n".join(words) + " " + " ".join(new(60))]
+    texts += [" ".join(shared[57]), texts[0]]
+    rows = [(k, text, "en", "s", len(text)) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = [text.split() for text in texts]
+    seen = {}
+    for x in words:
+        for k in range(len(x) - 50):
+            seen[tuple(x[k : k + 51])] = seen.get(tuple(x[k : k + 51]), 0) + 1
+    want = {}
+    for i, x in enumerate(words):
+        gone = {k + j for k in range(len(x) - 50) if seen[tuple(x[k : k + 51])] > 1 for j in range(51)}
+        if len(gone) < len(x):
+            want[i] = [w for k, w in enumerate(x) if k not in gone]
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
+    assert {i: r.text.split() for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    assert len(want[2]) == 120 and len(want[4]) == 70
