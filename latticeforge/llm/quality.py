@@ -24,7 +24,7 @@ from .linear import LinearModel, SparseRows, fit, softmax
 BITS = 18
 DIMENSIONS = 1 << BITS
 #: Labelled documents that the classifier is fitted on at most.
-TRAIN_ROWS = 1200
+TRAIN_ROWS = 3000
 #: A document whose probability of being good is lower is rejected.
 THRESHOLD = 0.5
 MIN_WORDS = 50

@@ -348,3 +348,11 @@ def test_base64_in_lines_and_behind_other_characters():
         assert found == [("assign", 1, 1 + k + len(packed))]
     assert secret_scan.scan_text("https://host/x/" + packed)[1] == [("assign", 15, 15 + len(packed))]
     assert secret_scan.scan_text(f"a list\n{code}\nThe\nnext")[1] == [("assign", 7, 7 + len(code))]
+
+
+def test_quality_is_learned_from_3000_rows(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, *rest: learned.append(len(labels)))
+    docs = spark.range(3100).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    quality.train_quality_model(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality"))
+    assert learned == [3000]
