@@ -57,18 +57,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _word_codes(rows: DataFrame) -> DataFrame:
-    """`rows` with the codes of its words in place of the text."""
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the codes of their words in place of the text; runs in the worker that reads them."""
+    for batch, raw, off in text_chunks(batches):
+        starts, ends, first = word_bounds(raw, off)
+        codes = span_hash(prefix_hash(raw), starts, ends).astype("<u8").tobytes()
+        at, cut = batch.schema.get_field_index("text"), (first * WORD_BYTES).tolist()
+        yield batch.set_column(at, "text", pa.array([codes[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, off in text_chunks(batches):
-            starts, ends, first = word_bounds(raw, off)
-            codes = span_hash(prefix_hash(raw), starts, ends).astype("<u8").tobytes()
-            at = batch.schema.get_field_index("text")
-            cut = (first * WORD_BYTES).tolist()
-            yield batch.set_column(at, "text", pa.array([codes[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+def _coded(code, run):
+    """`run` over batches whose text `code` changes first."""
+    return run if code is None else lambda batches: run(code(batches))
 
 
 def _pack(columns: dict[str, np.ndarray]) -> list[pa.Array]:
@@ -173,9 +173,9 @@ RESOLVED = "key long, context long, members long, doc long, h long, at long, win
 class SuffixIndex:
     """The family of sparse suffix arrays; levels are tables in the shared folder."""
 
-    def __init__(self, spark, *, length: int = LENGTH) -> None:
+    def __init__(self, spark, *, length: int = LENGTH, code=None) -> None:
         _session.tune(spark)
-        self.spark, self.length = spark, length
+        self.spark, self.length, self.code = spark, length, code
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.groups = 4 * self.tasks
         self.levels: dict[int, str] = {}
@@ -189,7 +189,7 @@ class SuffixIndex:
         carry = 0
         while carry in self.levels:
             carry += 1
-        pieces = rows.mapInArrow(_emit(self.length, self.groups), ARRAY)
+        pieces = rows.mapInArrow(_coded(self.code, _emit(self.length, self.groups)), ARRAY)
         for number in self.levels:
             pieces = pieces.unionByName(self._level(number))
         path = _session.scratch_path(self.spark, f"suffixes-{carry}")
@@ -290,26 +290,26 @@ def _runs(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHES, code=lambda rows: rows) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = BATCHES, code=None) -> DataFrame:
     """(doc, h, spans): for each document with repeats, its runs (s, e) of first bytes of repeated strings.
 
-    `code` changes the text of rows to the bytes that are compared.
+    `code` changes the text of batches to the bytes that are compared.
     """
     spark = docs.sparkSession
     rows = _rows(docs)
-    index = SuffixIndex(spark, length=length)
+    index = SuffixIndex(spark, length=length, code=code)
     for b in range(batches):
-        index.add(code(rows.where(F.pmod(F.xxhash64("h", "doc"), F.lit(batches)) == b)))
+        index.add(rows.where(F.pmod(F.xxhash64("h", "doc"), F.lit(batches)) == b))
     classes = _session.stored(index.resolved(), "suffix-classes")
     index.drop()
     whole = classes.where("members > 1").select("key", "context", F.lit(0).cast("long").alias("s"), (F.col("windows") - 1).alias("e"))
     open_classes = classes.where("several").groupBy("doc", "h").agg(F.collect_list(F.struct("key", "context", "at", "windows", "reach")).alias("classes"))
     holders = rows.join(open_classes.hint("shuffle_hash"), ["doc", "h"]).dropDuplicates(["doc", "h"]).select("text", "classes")
-    cores = _session.stored(code(holders).mapInArrow(_cores(length), CORES), "suffix-cores")
+    cores = _session.stored(holders.mapInArrow(_coded(code, _cores(length)), CORES), "suffix-cores")
     met = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     part = cores.join(met, "core").repartition(index.tasks, "core").select("core", "key", "context", "skip", "slice").mapInArrow(_equal_windows(length), "key long, context long, s long, e long")
     marks = _session.stored(whole.unionByName(part), "suffix-marks")
-    runs = code(rows).mapInArrow(_runs(length), "doc long, h long, at long, key long, context long")
+    runs = rows.mapInArrow(_coded(code, _runs(length)), "doc long, h long, at long, key long, context long")
     found = runs.join(marks, ["key", "context"]).select("doc", "h", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
     return found.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -332,7 +332,7 @@ def passage_bytes(raw: np.ndarray, spans: list[dict], words: int) -> list[tuple[
     return [(int(starts[a]), int(ends[b - 1])) for a, b in covered([x for x in whole if x["s"] <= x["e"]], words)]
 
 
-def _with_spans(docs: DataFrame, length: int, batches: int, code=lambda rows: rows) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, batches: int, code=None) -> DataFrame:
     """All rows of `docs` as (row, text, spans)."""
     spans = _session.stored(repeated_spans(docs, length=length, batches=batches, code=code), "suffix-spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
