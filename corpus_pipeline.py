@@ -1,8 +1,12 @@
 """A training-data pipeline over `documents`: each stage works on all that its predecessor kept.
 
 Quality rules drop documents, the n-gram Jaccard join leaves one document of each group of
-near-duplicates (five words, 0.8), suffix-array dedup cuts passages of over 50 words and then strings of 400 bytes that repeat across documents,
-secret scans mask secrets, and best-fit packing deals the rest into sequences.
+near-duplicates (five words, 0.8), suffix-array dedup cuts passages of over 50 words and, of what is
+left, strings of 400 bytes that repeat, secret scans mask secrets, and best-fit packing deals the rest into sequences.
+
+All stages take null in any column, empty and very long texts and empty tables; text that is null or
+has under 50 words goes in the first stage, and rows with equal texts become one in the second, whatever their
+other columns hold (of equal doc_ids, one of them).
 """
 
 from __future__ import annotations
@@ -13,10 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latticeforge.llm import _session, ngram_join, packing, quality, secret_scan, suffix_dedup
 
-#: Words of a passage that does not stay where it repeats.
-PASSAGE_WORDS = 51
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train_quality_model(docs, labels))
@@ -26,12 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one_each(docs)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs, words=PASSAGE_WORDS)
-
-
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs)
+    passages = suffix_dedup.remove_repeats(docs, words=suffix_dedup.PASSAGE_WORDS)
+    return suffix_dedup.remove_repeats(_session.stored(passages, "pipeline-passages"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +42,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
     ("repeated_strings", repeated_strings),
     ("mask_secrets", mask_secrets),
     ("pack_sequences", pack_sequences),

@@ -25,20 +25,35 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: A random value for each byte keeps the polynomial from being fooled by small byte values.
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, list[np.ndarray]] = {}
+#: Powers are kept for the low bits and for the high bits of an exponent apart, so tables stay small.
+LOW_BITS = 16
+
+
+def _power_tables(base: int, most: int) -> list[np.ndarray]:
+    """base**0 .. base**(2**LOW_BITS - 1), and base**(k << LOW_BITS) for all k that exponents up to `most` need."""
+    tables = _powers.get(base) or [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for i, (step, need) in enumerate(((base, 1 << LOW_BITS), (pow(base, 1 << LOW_BITS, 1 << 64), (most >> LOW_BITS) + 1))):
+        if len(tables[i]) < need:
+            with np.errstate(over="ignore"):
+                out = np.full(max(need, 256), np.uint64(step), np.uint64)
+                out[0] = 1
+                np.cumprod(out, out=out)
+            tables[i] = out
+    _powers[base] = tables
+    return tables
+
+
+def power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64."""
+    low, high = _power_tables(base, int(at.max(initial=0)))
+    with np.errstate(over="ignore"):
+        return low[at & ((1 << LOW_BITS) - 1)] * high[at >> LOW_BITS]
 
 
 def power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table of a worker only grows."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            out = np.full(size, np.uint64(base), np.uint64)
-            out[0] = 1
-            np.cumprod(out, out=out)
-        _powers[base] = have = out
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    return power_at(base, np.arange(n))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -109,18 +124,25 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(stop), np.searchsorted(starts, off)
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; `span_hash` reads the hash of any byte span from it."""
-    out = np.zeros(len(raw) + 1, np.uint64)
+def prefix_hash(symbols: np.ndarray) -> np.ndarray:
+    """Running polynomial hash of bytes, or of 64-bit word codes; `span_hash` reads the hash of any span from it."""
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    low, high = _power_tables(_BASE, len(symbols))
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE_CODE[raw] * power_table(_BASE, len(raw)), out=out[1:])
+        for k in range(0, len(symbols), len(low)):
+            part = symbols[k : k + len(low)]
+            own = out[k + 1 : k + 1 + len(part)]
+            np.multiply(_BYTE_CODE[part] if part.dtype == np.uint8 else mix64(part ^ np.uint64(_BASE)), low[: len(part)], out=own)
+            own *= high[k >> LOW_BITS]
+            own[0] += out[k]
+            np.cumsum(own, out=own)
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end]; equal bytes give equal hashes anywhere."""
+    """64-bit hashes of symbols[start:end]; equal symbols give equal hashes anywhere."""
     with np.errstate(over="ignore"):
-        value = (prefix[ends] - prefix[starts]) * power_table(_BASE_INV, len(prefix))[starts]
+        value = (prefix[ends] - prefix[starts]) * power_at(_BASE_INV, starts)
         return mix64(value + (ends - starts).astype(np.uint64))
 
 

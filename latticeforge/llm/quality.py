@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _session
-from ._kernels import IS_SPACE, list_column, mix64, power_table, prefix_hash, segment_sums, span_hash, text_chunks, word_bounds
+from ._kernels import IS_SPACE, list_column, mix64, prefix_hash, segment_sums, span_hash, text_chunks, word_bounds
 from .linear import LinearModel, SparseRows, fit, softmax
 
 BITS = 18

@@ -105,8 +105,11 @@ def test_local_search_empties_bins():
 
 
 def test_suffix_dedup(docs, nothing):
+    data = [(t or "").encode() for _, t in corpus()]
+    said = [re.findall(rb"[^\x20\x09-\x0D]+", x) for x in data]
+    times = Counter(tuple(w[k : k + 51]) for w in said for k in range(len(w) - 50))
+    passage_words = {(i, x): len({k + j for k in range(len(w) - 50) if times[tuple(w[k : k + 51])] > 1 for j in range(51)}) for (i, _), x, w in zip(corpus(), data, said)}
     for length, batches in ((400, 3), (150, 4)):
-        data = [(t or "").encode() for _, t in corpus()]
         seen = Counter(x[i : i + length] for x in data for i in range(len(x) - length + 1))
         want = Counter()
         for (i, _), x in zip(corpus(), data):
@@ -115,12 +118,20 @@ def test_suffix_dedup(docs, nothing):
                 if seen[x[k : k + length]] > 1:
                     gone[k : k + length] = True
             runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-            want[(i, len(x), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+            want[(i, len(x), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest(), passage_words[(i, x)])] += 1
         got = Counter(tuple(r) for r in suffix_dedup.dedup_report(docs, length=length, batches=batches).collect())
         assert got == want
     assert suffix_dedup.dedup_report(nothing).count() == 0
 
 
+def test_suffix_dedup_of_hot_cores(docs, monkeypatch):
+    """Cores that too many classes share, and small batches of whole cores, give the same."""
+    want = Counter(tuple(r) for r in suffix_dedup.dedup_report(docs, length=150).collect())
+    for rows in (0, 3):
+        monkeypatch.setattr(suffix_dedup, "CORE_ROWS", rows or 1)
+        assert Counter(tuple(r) for r in suffix_dedup.dedup_report(docs, length=150, batches=1).collect()) == want
+
+
 def test_index_levels_double(spark, docs):
     rows = suffix_dedup._rows(docs)
     index, sizes = suffix_dedup.SuffixIndex(spark), []

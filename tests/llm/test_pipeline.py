@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticeforge.llm import secret_scan
+from latticeforge.llm import secret_scan, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,14 +57,36 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in after) == sorted(first.values())
 
 
+def without_passages(texts):
+    """Texts without passages of 51 words that stand twice; texts of nothing else go."""
+    seen = {}
+    for text in texts.values():
+        words = WORD.findall(text)
+        for k in range(len(words) - 50):
+            seen[tuple(words[k : k + 51])] = seen.get(tuple(words[k : k + 51]), 0) + 1
+    out = {}
+    for i, text in texts.items():
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[s:e] for s, e in spans]
+        gone = [False] * len(text)
+        for k in range(len(words) - 50):
+            if seen[tuple(words[k : k + 51])] > 1:
+                gone[spans[k][0] : spans[k + 50][1]] = [True] * (spans[k + 50][1] - spans[k][0])
+        rest = "".join(c for c, g in zip(text, gone) if not g)
+        if rest == text or WORD.search(rest):
+            out[i] = rest
+    return out
+
+
 def test_repeated_strings_go(stages):
     before, after = stages["repeated_strings"]
-    data = {r.doc_id: r.text.encode() for r in before}
+    data = {i: text.encode() for i, text in without_passages({r.doc_id: r.text for r in before}).items()}
     seen = {}
     for x in data.values():
         for k in range(len(x) - 399):
             seen[x[k : k + 400]] = seen.get(x[k : k + 400], 0) + 1
     left = {r.doc_id: r.text for r in after}
+    assert set(left) <= set(data)
     for i, x in data.items():
         gone = bytearray(len(x))
         for k in range(len(x) - 399):
@@ -120,6 +142,22 @@ def test_repeated_passages_of_over_50_words_go(spark):
         gone = {k + j for k in range(len(x) - 50) if seen[tuple(x[k : k + 51])] > 1 for j in range(51)}
         if len(gone) < len(x):
             want[i] = [w for k, w in enumerate(x) if k not in gone]
-    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, words=51).collect()}
     assert {i: r.text.split() for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
     assert len(want[2]) == 120 and len(want[4]) == 70
+
+
+def test_there_are_five_stages_in_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_strings", "mask_secrets", "pack_sequences"]
+
+
+def test_stages_take_empty_tables_and_nulls(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(f"word{k % 70} stone{k}" for k in range(80))
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (None, prose, None, "s", None), (3, prose, "en", "s", 5), (3, "secret: 12345678 " + prose[:200], None, None, None)], schema)
+    for docs in (odd.limit(0), odd):
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, DATA)
+            rows = out.collect()
+            assert number == 4 or out.columns == docs.columns
+            assert docs is odd or not rows
