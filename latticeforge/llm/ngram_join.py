@@ -2,10 +2,11 @@
 
 Sizes are cut into bands so that a linked pair lies in one band or in two neighbouring ones; a tile
 is such a pair of bands.  For the sizes of a tile a link allows at most D differing shingles, so if
-the shingles are dealt by hash into D + 2 parts, linked sets agree in at least two whole parts.  A
+the shingles are dealt by hash into D + 1 + S parts, linked sets agree in more than S whole parts.  A
 document's key for each part of its (at most two) tiles is a hash of all its shingles there, and
 only documents that share a key are ever compared: no link is lost, and one common shingle makes no
-candidates.  Candidates then face a parity bitmap of 2048 bits: shared shingles cancel out in the
+candidates.  S is well above the parts that hashing leaves empty, so one that two sets agree in is filled and
+empty parts need no keys, which all documents of a size would share.  Candidates then face a parity bitmap of 2048 bits: shared shingles cancel out in the
 exclusive or, so its bit count bounds the differing shingles from below and the overlap from above.
 What is left is decided by exact intersection of the sorted arrays.
 
@@ -32,6 +33,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from . import _session
 from ._kernels import LOWER_ASCII, list_column, mix64, prefix_hash, ragged_index, span_hash, text_chunks, word_bounds
@@ -41,8 +43,8 @@ from .components import connected_components
 #: Sets of which a link may differ in more carry a wide signature besides.
 SIGNATURE_BITS = 2048
 WORDS = SIGNATURE_BITS // 64
-#: Empty parts that a document may have without sending keys for them.
-SPARE_PARTS = 1
+#: Keys of a class, in their order, that a row of an open bucket carries to tell where a pair met before.
+EARLIER_KEYS = 16
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -60,10 +62,14 @@ class Threshold:
             low.append(max(low[-1] + 1, -(-low[-1] * self.den // self.num)))
         return np.asarray(low)
 
-    def parts(self, low: np.ndarray) -> np.ndarray:
-        """Parts of the tile whose smaller sets are in each band: one more than differences, and spares."""
-        most = low[1:] - 1
-        return most * (self.den - self.num) // self.num + 1 + SPARE_PARTS
+    def parts(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, spare ones) of the tile whose smaller sets are in each band.
+
+        Parts are one more than differences, and spares: as many parts may be empty without keys of their own.
+        """
+        differences = (low[1:] - 1) * (self.den - self.num) // self.num
+        spare = 2 + differences // 8
+        return differences + 1 + spare, spare
 
     def reached(self, shared, a, b):
         """den * shared >= num * union."""
@@ -140,7 +146,7 @@ class ChunkSets:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, classes) of all parts of all documents."""
         bands = self.threshold.size_bands(int(self.size.max(initial=1)))
-        parts = self.threshold.parts(bands)
+        parts, spare = self.threshold.parts(bands)
         band = np.searchsorted(bands, self.size, "right") - 1
         content = mix64(self.values ^ _K[1])
         deal = mix64(self.values) >> np.uint64(11)
@@ -161,7 +167,7 @@ class ChunkSets:
             filled[slot] = True
             number = np.arange(len(total)) - np.repeat(base, m)
             empty = m - np.add.reduceat(filled.astype(np.int64), base)
-            send = filled | np.repeat(empty > SPARE_PARTS, m)
+            send = filled | np.repeat(empty > spare[tile], m)
             with np.errstate(over="ignore"):
                 key = mix64(total ^ mix64(np.repeat(tile, m).astype(np.uint64) * _K[0] + number.astype(np.uint64) * _K[2]))
             found.append(key[send])
@@ -348,6 +354,19 @@ class NgramJoin:
         _session.drop(pairs, sets)
         return links
 
+    def _open_pairs(self, named: DataFrame) -> DataFrame:
+        """(a, b): pairs of a bucket in different components that sizes and signatures leave possible.
+
+        named: (key, cls, root) of open buckets.  Long sets share many keys.  A pair whose last EARLIER_KEYS
+        keys before this one have one in common met there already; at the first key that it shares it counts in any case.
+        """
+        earlier = F.collect_list("key").over(W.partitionBy("cls").orderBy("key").rowsBetween(-EARLIER_KEYS, -1))
+        named = named.withColumn("earlier", earlier)
+        left = named.select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("earlier").alias("ea")).join(self._info("a"), "a")
+        right = named.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("earlier").alias("eb")).join(self._info("b"), "b")
+        apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+        return left.join(right, (F.col("key") == F.col("k")) & apart & self._possible() & ~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
+
     @staticmethod
     def _named(roots: DataFrame, name: str) -> DataFrame:
         return roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
@@ -379,10 +398,7 @@ class NgramJoin:
         named = buckets.where("size > 2").select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
         split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         named = _session.stored(named.join(split, "key"), "ngram-open")
-        left = named.select("key", F.col("cls").alias("a"), F.col("root").alias("ra")).join(self._info("a"), "a")
-        right = named.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb")).join(self._info("b"), "b")
-        met = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & self._possible())
-        open_pairs = met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        open_pairs = self._open_pairs(named).join(tested, ["a", "b"], "left_anti")
         more = self._linked(open_pairs)
         if more.limit(1).count():
             roots = connected_components(links.union(more))
