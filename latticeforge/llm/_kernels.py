@@ -6,6 +6,7 @@ so that numpy works on megabytes at a time and no kernel loops over words in Pyt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,15 +95,26 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iter
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows in parts that hold about `size` bytes of whole documents each."""
-    for batch in _gathered(batches, column, size):
-        raw, off = text_buffers(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
-            if at == 0 and off[-1] <= size + size // 2:
-                end = batch.num_rows
-            yield batch.slice(at, end - at), raw[off[at] : off[end]], off[at : end + 1] - off[at]
-            at = end
+    try:
+        for batch in _gathered(batches, column, size):
+            raw, off = text_buffers(batch.column(batch.schema.get_field_index(column)))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+                if at == 0 and off[-1] <= size + size // 2:
+                    end = batch.num_rows
+                yield batch.slice(at, end - at), raw[off[at] : off[end]], off[at : end + 1] - off[at]
+                at = end
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+    if trim is not None:
+        trim(0)
 
 
 def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

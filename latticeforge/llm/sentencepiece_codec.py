@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _session
 from ._kernels import mix64, power_table, segment_sums, text_chunks
-from .wordwise import TOKENIZE_BYTES, UnitMemo
+from .wordwise import MEMO_BYTES, TOKENIZE_BYTES, UnitMemo
 
 SPACE = "▁"
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Slots of a worker's cache of compared pairs.
 PAIR_SLOTS = 1 << 20
-#: Characters segmented at once, and units that a worker keeps.
-BATCH_CHARS, PIECE_MEMO = 200_000, 600_000
+#: Characters segmented at once.
+BATCH_CHARS = 200_000
 
 
 def _codes(points: np.ndarray) -> np.ndarray:
@@ -143,11 +143,11 @@ def load_pieces(path: str) -> PieceTable:
 
 
 class PieceTokenizer(UnitMemo):
-    def __init__(self, table: PieceTable, memo_limit: int = PIECE_MEMO) -> None:
+    def __init__(self, table: PieceTable, memo_bytes: int = MEMO_BYTES) -> None:
         self.table = table
         self.pair_key, self.pair_apart = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.alone = [c for c in (9, 10, 13) if table.probe(_codes(np.asarray([c])), np.asarray([1]))[0] < 0]
-        super().__init__(memo_limit)
+        super().__init__(memo_bytes)
 
     def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the texts of a and b together ends in just a and b.

@@ -4,6 +4,7 @@ The word BPE of the public vocabulary drops white space and never merges across
 text are the concatenated ids of its white-space separated units.  A batch is cut into units with
 numpy, distinct units are found with Arrow's dictionary encoding, and only units that a worker
 has not met yet go to the `tokenizers` library; a ragged gather then rebuilds every text's ids.
+The memo is bounded by bytes: when it is full, units that came up in one chunk only are forgotten.
 Units outside the range where the pre-token pattern is certain go through the library's whole
 pipeline one by one.
 """
@@ -20,10 +21,12 @@ from ._kernels import IS_SPACE, ragged_index
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Code points where lower-casing, NFC and the classes above need no further thought.
 PLAIN = regex.compile("[\t-\r !-~\xa1-į]*")
-#: Units a worker keeps; the memo starts anew beyond it.
-MEMO_LIMIT = 1_000_000
+#: Bytes that a worker's memo may take, as estimated by UNIT_COST and the arrays.
+MEMO_BYTES = 96 << 20
+#: Bytes that Python takes for a key of a memo besides its text: its object, its number and its slot in the table.
+UNIT_COST = 150
 #: Text tokenised at once: the more, the fewer distinct units a byte.
-TOKENIZE_BYTES = 8 << 20
+TOKENIZE_BYTES = 4 << 20
 
 
 def pretokens(unit: str) -> list[str] | None:
@@ -46,38 +49,63 @@ def _grown(x: np.ndarray, size: int) -> np.ndarray:
 class UnitMemo:
     """Ids of units of text, kept for each distinct unit; `_learn` of a subclass adds new units."""
 
-    def __init__(self, memo_limit: int = MEMO_LIMIT) -> None:
-        self.memo_limit = memo_limit
+    def __init__(self, memo_bytes: int = MEMO_BYTES) -> None:
+        self.memo_bytes = memo_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}  # unit -> its row in start and size
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.place: dict[bytes, int] = {}  # unit -> its row in start, size and hits
+        self.start, self.size, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint8)
+        self.flat, self.used, self.text_bytes = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _store(self, ids: np.ndarray) -> int:
         """Appends ids to the flat store and tells where they begin."""
         at = self.used
-        if len(self.flat) < at + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat = _grown(self.flat, at + len(ids))
         self.flat[at : at + len(ids)] = ids
         self.used += len(ids)
         return at
 
+    def held_bytes(self) -> int:
+        """About what the memo takes."""
+        return len(self.place) * UNIT_COST + self.text_bytes + sum(x.nbytes for x in (self.start, self.size, self.hits, self.flat))
+
     def _learn(self, units: list[bytes]) -> None:
         raise NotImplementedError
 
+    def _shrink(self) -> None:
+        """Keeps the units that came up most often, and in two chunks at least, in a quarter of the memo's bytes."""
+        hits = self.hits[: len(self.place)]
+        cost = self.size[: len(hits)].astype(np.int64) * 4 + UNIT_COST + 24
+        order = np.argsort(-hits.astype(np.int16), kind="stable")
+        keep = np.zeros(len(hits), bool)
+        keep[order[np.cumsum(cost[order]) <= self.memo_bytes // 4]] = True
+        keep &= hits > 1
+        units = [u for u, r in self.place.items() if keep[r]]
+        rows = np.asarray([self.place[u] for u in units], np.int64)
+        size, again = self.size[rows], hits[rows] // 2
+        flat = self.flat[ragged_index(self.start[rows], size.astype(np.int64))]
+        self._forget()
+        start = self._store(flat) + np.cumsum(size) - size
+        self.start, self.size, self.hits = (_grown(x, len(rows)) for x in (self.start, self.size, self.hits))
+        self.start[: len(rows)], self.size[: len(rows)], self.hits[: len(rows)] = start, size, again
+        self.place = dict(zip(units, range(len(rows))))
+        self.text_bytes = sum(map(len, units))
+
     def rows_of(self, units: list[bytes]) -> np.ndarray:
         """The memo's row of each distinct unit."""
+        if self.held_bytes() > self.memo_bytes:
+            self._shrink()
         found = list(map(self.place.get, units))
         new = [u for u, r in zip(units, found) if r is None]
         if new:
-            if len(self.place) + len(new) > self.memo_limit:
-                self._forget()
-                new = units
             self._learn(new)
+            self.text_bytes += sum(map(len, new))
+            self.hits = _grown(self.hits, len(self.place))
             found = list(map(self.place.__getitem__, units))
-        return np.asarray(found, np.int64)
+        rows = np.asarray(found, np.int64)
+        self.hits[rows] = np.minimum(self.hits[rows], 254) + 1
+        return rows
 
     def unit_ids(self, raw: np.ndarray, bounds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units raw[bounds[i]:bounds[i+1]], and the offsets in them of off, a part of bounds."""
@@ -94,7 +122,7 @@ class UnitMemo:
 class WordTokenizer(UnitMemo):
     """ids(texts) of a `tokenizers` word BPE file, equal to encode_batch(add_special_tokens=False)."""
 
-    def __init__(self, path: str, memo_limit: int = MEMO_LIMIT) -> None:
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -103,13 +131,16 @@ class WordTokenizer(UnitMemo):
         vocabulary = self.full.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        super().__init__(memo_limit)
+        super().__init__(memo_bytes)
 
     def _forget(self) -> None:
         super()._forget()
         self.word_place: dict[str, int] = {}  # pre-token -> its row in word_start and word_size
         self.word_start, self.word_size = self.start.copy(), self.size.copy()
 
+    def held_bytes(self) -> int:
+        return super().held_bytes() + len(self.word_place) * (UNIT_COST + 8) + self.word_start.nbytes + self.word_size.nbytes
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens, sizes of each)."""
         ids = np.asarray(self.bare.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
@@ -165,11 +196,10 @@ class WordTokenizer(UnitMemo):
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str, memo_limit: int = MEMO_LIMIT) -> WordTokenizer:
+def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each Python worker, with its memo."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path, memo_limit)
-    _loaded[path].memo_limit = memo_limit
+        _loaded[path] = WordTokenizer(path)
     return _loaded[path]
 
 

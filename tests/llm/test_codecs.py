@@ -34,12 +34,12 @@ def test_simple8b_random_and_size():
         simple8b.decode(b"nope")
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 8])
+@pytest.mark.parametrize("limit", [64 << 20, 8])
 def test_word_tokenizer_equals_library(limit):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(default_vocabulary())
-    own = WordTokenizer(default_vocabulary(), memo_limit=limit)
+    own = WordTokenizer(default_vocabulary(), memo_bytes=limit)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("abCé .,'1<|>\n汉ß") for _ in range(rng.randrange(80))) for _ in range(300)]
     for _ in range(2):
@@ -112,3 +112,19 @@ def test_chunks_hold_whole_documents():
     assert sum(n for n, *_ in parts) == 100 and b"".join(r for _, r, _ in parts) == "".join(t or "" for t in texts).encode()
     assert all(off[-1] == len(raw) and len(off) == n + 1 for n, raw, off in parts)
     assert zlib.crc32(b"") == 0
+
+
+def test_memo_is_bounded_by_bytes():
+    """However many units come, the memo stays near its bytes, keeps what comes often, and ids stay the library's."""
+    rng = random.Random(2)
+    own = WordTokenizer(default_vocabulary(), memo_bytes=3 << 20)
+    often = " ".join("".join(rng.choices("etaoinsh", k=5)) for _ in range(300))
+    kept = []
+    for _ in range(12):
+        text = often + " " + " ".join("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(4000))
+        raw, off = text_buffers(pa.array([text]))
+        ids, _ = own.ids(raw, off)
+        assert ids.tolist() == own.full.encode(text, add_special_tokens=False).ids
+        kept.append(own.held_bytes())
+    assert max(kept) < 8 << 20 and sum(kept[k] > kept[k + 1] for k in range(11)) >= 2
+    assert sum(u in own.place for u in (w.encode() + b" " for w in often.split())) > 200
