@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     command("encode", (("-p", "--properties"), {"type": int, "nargs": "*", "default": [], "help": "0-based label columns"}), (("input",), {}), (("output",), {"nargs": "?"}), help="CSV to a context")
     command("split", (("ratio",), {}), (("input",), {}), (("first",), {}), (("second",), {}), (("--seed",), {"type": int, "default": 0}), help="a random split a:b")
     command("tau", (("input",), {}), (("output",), {}), help="mask labels")
-    command("generate", *mining_options, (("-m", "--model"), {}), (("input",), {}), help="mine hypotheses")
+    command("generate", *mining_options, (("-t", "--threads"), {"type": int, "help": "accepted; Spark's own settings decide"}), (("-m", "--model"), {}), (("input",), {}), help="mine hypotheses")
     command("predict", (("-m", "--model"), {"required": True}), (("-o", "--output"), {"required": True}), (("--merge",), {"default": "votingMajority"}), (("tau",), {}), help="classify examples")
     command("jsm", *mining_options, (("--merge",), {"default": "votingMajority"}), (("-o", "--output"), {"required": True}), (("training",), {}), (("tau",), {}), help="mine and classify in one run")
     command("stats", (("validation",), {}), (("prediction",), {}), help="compare with the truth")
@@ -57,7 +57,7 @@ def _put(context: ctx.Context, path: str | None, *, ordered: bool = False) -> No
         transactions.write(context, path, ordered=ordered)
         return
     print(context.header)
-    for row in transactions.lines(context).toLocalIterator():
+    for row in transactions.lines(context, context.rows.orderBy("row_id") if ordered else None).toLocalIterator():
         print(row.value)
 
 
@@ -81,13 +81,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("latticeforge").getOrCreate()
     with timed(args.command):
         if args.command == "encode":
-            _put(scaling.encode(tables.read_csv(spark, args.input), args.properties), args.output)
+            _put(scaling.encode(tables.read_csv(spark, args.input), args.properties), args.output, ordered=True)
         elif args.command == "split":
             first, second = sampling.split(transactions.read(spark, args.input), *sampling.parse_ratio(args.ratio), seed=args.seed)
-            _put(first, args.first)
-            _put(second, args.second)
+            _put(first, args.first, ordered=True)
+            _put(second, args.second, ordered=True)
         elif args.command == "tau":
-            _put(ctx.mask_labels(transactions.read(spark, args.input)), args.output)
+            _put(ctx.mask_labels(transactions.read(spark, args.input)), args.output, ordered=True)
         elif args.command == "generate":
             context = transactions.read(spark, args.input)
             _put(_numbered(context, _generate(args, context).select("intent", "prop")), args.model)
@@ -102,8 +102,7 @@ def main(argv: list[str] | None = None) -> int:
             _put(examples.with_rows(induce_and_predict(train, examples, merge=args.merge, **options)), args.output, ordered=True)
         else:
             truth, found = transactions.read(spark, args.validation), transactions.read(spark, args.prediction)
-            pairs = [transactions.in_order(c) for c in (truth, found)]  # files pair up line by line
-            r = evaluation.evaluate(*pairs).head()
+            r = evaluation.evaluate(truth, found).head()  # both are numbered by line
             for name in ("correct", "unknown", "conflicts"):
                 print(f"{name}: {r[name]} / {r['total']} ({r[name + '_pct']:.2f} %)")
     return 0

@@ -25,6 +25,7 @@ from ..functions.labels import class_key, is_conflict
 from ..shipping import ship_package
 from ..storage import stored
 from .context import Context, compress, count_names
+from .sampling import chance
 from .strategies import strategy as strategy_by_name
 
 ALGORITHMS = ("cbo", "fcbo", "pcbo", "pfcbo", "dynsort-cbo")
@@ -175,8 +176,8 @@ def generate(
 
 def sample_hypotheses(model: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Keeps each hypothesis with the given probability; the choice depends on the intent and the seed only."""
-    share = F.pmod(F.xxhash64(F.col("intent"), F.col("prop"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return model.where(share < fraction)
+    words = lambda name: F.concat_ws(" ", F.transform(name, lambda x: x.cast("string")))
+    return model.where(chance(words("intent"), words("prop"), F.lit(seed)) < fraction)
 
 
 def model_text(model: DataFrame, context: Context) -> DataFrame:

@@ -75,7 +75,8 @@ def bisect(values: np.ndarray, weights: np.ndarray) -> list[float]:
             continue
         step = (last - first) / CANDIDATES
         pivots = [first + i * step for i in range(CANDIDATES)]
-        cuts = lo + np.searchsorted(values[lo:hi], pivots, "left")
+        # Between infinities pivots are not numbers: nothing lies below such a one.
+        cuts = lo + np.where(np.isnan(pivots), 0, np.searchsorted(values[lo:hi], pivots, "left"))
         balance = (run[cuts] - run[lo]).astype(np.float64) * (run[hi] - run[cuts]).astype(np.float64)
         best = int(np.argmax(balance))
         if balance[best] == 0:
@@ -95,10 +96,12 @@ def first_split(histogram: DataFrame) -> DataFrame:
     ends = histogram.groupBy("col_idx").agg(F.min("v").alias("first"), F.max("v").alias("last"))
     i = F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))).alias("candidate")
     pivots = ends.select("col_idx", "first", "last", i).withColumn("pivot", F.col("first") + F.col("candidate") * ((F.col("last") - F.col("first")) / CANDIDATES))
+    pivots = pivots.where(~F.isnan("pivot"))  # between infinities; nothing lies below such a one
     ladder = pivots.groupBy("col_idx").agg(F.array_sort(F.collect_list(F.struct("candidate", "pivot"))).alias("ladder"))
-    place = F.size(F.filter("ladder", lambda p: p["pivot"] <= F.col("v")))  # candidates that leave v on the right
+    pivots = ladder.select("col_idx", F.posexplode("ladder").alias("step", "p")).select("col_idx", "step", "p.candidate", "p.pivot")
+    place = F.size(F.filter("ladder", lambda p: p["pivot"] <= F.col("v")))  # steps that leave v on the right
     binned = histogram.join(F.broadcast(ladder), "col_idx").groupBy("col_idx", place.alias("place")).agg(F.sum("n").alias("n"))
-    left = F.sum(F.when(F.col("place") <= F.col("candidate"), F.col("n")).otherwise(0))
+    left = F.sum(F.when(F.col("place") <= F.col("step"), F.col("n")).otherwise(0))
     scored = pivots.join(binned, "col_idx").groupBy("col_idx", "candidate", "pivot").agg(left.alias("l"), F.sum("n").alias("t"))
     balance = F.col("l").cast("double") * (F.col("t") - F.col("l")).cast("double")
     return scored.groupBy("col_idx").agg(F.max_by(F.struct("candidate", "pivot"), F.struct(balance, -F.col("candidate"))).alias("best")).select("col_idx", "best.candidate", "best.pivot")
@@ -131,15 +134,20 @@ def numeric_thresholds(histogram: DataFrame, *, task_values: int = TASK_VALUES)
             ready.append((c, low, high))
             continue
         own = _within(histogram, c, low, high)
-        pivot = first_split(own).head().pivot
+        best = first_split(own).head()
+        ends = own.agg(F.min("v"), F.max("v")).head()
+        pivot = best.pivot if best is not None else float("nan")
         sides = own.agg(F.count_if(F.col("v") < pivot), F.count_if(F.col("v") >= pivot)).head()
+        if best is None or not (sides[0] and sides[1]):  # no candidate splits the segment
+            cuts.setdefault(c, []).append((ends[0] + ends[1]) / 2)
+            continue
         cuts.setdefault(c, []).append(pivot)
         segments += [(c, a, b, n) for a, b, n in ((low, pivot, sides[0]), (pivot, high, sides[1])) if n >= SIDE_MIN]
     spark = histogram.sparkSession
-    parts = spark.createDataFrame([(i, c, lo if lo is not None else float("-inf"), hi if hi is not None else float("inf")) for i, (c, lo, hi) in enumerate(ready)], "segment int, col_idx int, lo double, hi double")
-    rows = histogram.join(F.broadcast(parts), "col_idx").where("v >= lo and (v < hi or hi = double('inf'))").select("segment", "col_idx", "v", "n")
+    parts = spark.createDataFrame([(i, c, lo if lo is not None else float("-inf"), hi if hi is not None else float("inf"), hi is None) for i, (c, lo, hi) in enumerate(ready)], "segment int, col_idx int, lo double, hi double, last boolean")
+    rows = histogram.join(F.broadcast(parts), "col_idx").where("v >= lo and (v < hi or last)").select("segment", "col_idx", "v", "n")
     for r in rows.groupBy("segment", "col_idx").applyInPandas(lambda key, pdf: _segment_thresholds(pdf), "col_idx int, thresholds array<double>").collect():
-        cuts.setdefault(r.col_idx, []).extend(r.thresholds)
+        cuts.setdefault(r.col_idx, []).extend(float("nan") if t is None else t for t in r.thresholds)  # pandas' nulls
     return {c: sorted(t) for c, t in cuts.items()}
 
 

@@ -104,10 +104,54 @@ SELECT count(*) FILTER (WHERE p0 = q) AS correct, count(*) FILTER (WHERE q = -2)
 100.0 * count(*) FILTER (WHERE p0 = q) / count(*) AS correct_pct, 100.0 * count(*) FILTER (WHERE q = -2) / count(*) AS unknown_pct, 100.0 * count(*) FILTER (WHERE q = -1) / count(*) AS conflicts_pct FROM p"""
 
 
-def bagging(source: Source, folds: int) -> str:
+def digest(*keys: str) -> str:
+    """15 hexadecimal digits of an MD5 as a number."""
+    text = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def chance(*keys: str) -> str:
+    return f"(({digest(*keys)} >> 30) / 1073741824.0)"
+
+
+def split(source: Source, a: int, b: int, seed: int) -> str:
+    return f"WITH {context_ctes(source)} SELECT CASE WHEN {chance('row_id', str(seed))} < {a / (a + b)} THEN 'first' ELSE 'second' END AS part, row_id FROM obj"
+
+
+def hypothesis_sample(source: Source, fraction: float, seed: int) -> str:
+    kept = chance(ids("m"), "q", str(seed))
+    return f"WITH RECURSIVE {context_ctes(source)}, {concept_ctes(source)}, y AS (SELECT *, {UNANIMOUS} AS q FROM x) SELECT {ids('m')} AS intent, {label_text(0, 'q')} AS label, n AS support FROM y WHERE q <> -1 AND {kept} < {fraction}"
+
+
+def numeric_thresholds(columns: list[tuple[str, str]]) -> str:
+    """All bisections of numeric columns (table, column): segments by recursion, then the cut of each."""
+    parts = " UNION ALL ".join(f"SELECT {i} AS col_idx, CAST({c} AS DOUBLE) AS v FROM {t}" for i, (t, c) in enumerate(columns))
+    ladder = """SELECT g.*, i AS candidate, a + i * ((b - a) / 25) AS cut FROM g, range(0, 25) t(i)"""
+    scored = """SELECT col_idx, lo, hi, k, a, b, candidate, cut, coalesce(CAST(sum(n) FILTER (WHERE v < cut) AS DOUBLE), 0) * coalesce(CAST(sum(n) FILTER (WHERE v >= cut) AS DOUBLE), 0) AS balance,
+       count(*) FILTER (WHERE v < cut) AS below, count(*) FILTER (WHERE v >= cut) AS above
+FROM p JOIN o USING (col_idx, lo, hi) GROUP BY ALL"""
+    best = f"""WITH o AS (SELECT s.col_idx, lo, hi, v, n FROM {{segments}} s JOIN h ON h.col_idx = s.col_idx AND v >= lo AND v < hi),
+g AS (SELECT col_idx, lo, hi, count(*) AS k, min(v) AS a, max(v) AS b FROM o GROUP BY ALL),
+p AS ({ladder}), q AS ({scored})
+SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY col_idx, lo, hi ORDER BY balance DESC, candidate) = 1"""
+    return f"""WITH RECURSIVE h AS (SELECT col_idx, v, count(*) AS n FROM ({parts}) GROUP BY ALL),
+s(col_idx, lo, hi) AS (
+  SELECT DISTINCT col_idx, CAST('-infinity' AS DOUBLE), CAST('infinity' AS DOUBLE) FROM h
+  UNION ALL
+  SELECT col_idx, CASE WHEN side = 0 THEN lo ELSE cut END, CASE WHEN side = 0 THEN cut ELSE hi END
+  FROM ({best.format(segments="s")}) c, (VALUES (0), (1)) t(side) WHERE k > 2 AND balance > 0 AND CASE WHEN side = 0 THEN below ELSE above END >= 10)
+SELECT col_idx, CAST(row_number() OVER (PARTITION BY col_idx ORDER BY threshold) - 1 AS INTEGER) AS place, threshold
+FROM (SELECT col_idx, CASE WHEN k <= 2 OR balance = 0 THEN (a + b) / 2 ELSE cut END AS threshold FROM ({best.format(segments="s")}))"""
+
+
+def bagging(source: Source, folds: int, seed: int | None = None) -> str:
+    """Folds by row_id modulo their number or, with a seed, independent samples of n div folds rows."""
     parts = []
     for f in range(folds):
-        parts.append(f"t{f} AS (SELECT * FROM obj WHERE row_id % {folds} = {f}), {concept_ctes(source, f't{f}', f'_{f}')}")
+        own = f"SELECT * FROM obj WHERE row_id % {folds} = {f}"
+        if seed is not None:
+            own = f"SELECT * FROM obj QUALIFY row_number() OVER (ORDER BY {digest('row_id', str(f), str(seed))}, row_id) <= (SELECT count(*) // {folds} FROM obj)"
+        parts.append(f"t{f} AS ({own}), {concept_ctes(source, f't{f}', f'_{f}')}")
     models = " UNION ALL ".join(f"SELECT {f} AS fold, m, {UNANIMOUS} AS q FROM x_{f}" for f in range(folds))
     return f"""WITH RECURSIVE {context_ctes(source)}, {', '.join(parts)},
 h AS (SELECT * FROM ({models}) WHERE q <> -1),
@@ -162,6 +206,10 @@ def oracles() -> dict[str, str]:
         "predict": predict(EVENTS),
         "evaluate": evaluate(EVENTS),
         "bagging": bagging(CUSTOMER, 3),
+        "bagging_random": bagging(CUSTOMER, 8, 3),
+        "split": split(EVENTS, 8, 2, 1),
+        "hypothesis_sample": hypothesis_sample(EVENTS, 0.5, 5),
+        "numeric_thresholds": numeric_thresholds([("lineitem", "l_quantity"), ("lineitem", "l_extendedprice")]),
         "label_algebra": "SELECT a, b, CASE WHEN a = -2 THEN b WHEN b = -2 THEN a WHEN a = b THEN a ELSE -1 END AS met FROM (SELECT CAST(i AS INTEGER) - 2 AS a FROM range(0, 5) t(i)) CROSS JOIN (SELECT CAST(i AS INTEGER) - 2 AS b FROM range(0, 5) t(i))",
         "set_algebra": f"WITH {e}, k AS (SELECT row_id, m, xor(m, (m & 1023) * 3) & 1023 AS o FROM obj) SELECT row_id, {ids('m & o')} AS met, {ids('m & 255')} AS upto, (m & 255) = (o & 255) AS same_until, (m & 960) = (o & 960) AS same_within, (m & o) = m AS inside, CAST(bit_count(m) AS INTEGER) AS size, (m >> 3) & 1 = 1 AS holds, {ids('m | 8')} AS added FROM k",
         "transaction_file": f"WITH {context_ctes(CUSTOMER)} SELECT {ids('m')} || ' | ' || {label_text(0, 'p0')} AS line FROM obj",

@@ -12,7 +12,7 @@ from ..operators import bagging as bagging_
 from ..operators import context as ctx
 from ..operators import evaluation, mining, prediction, sampling, scaling
 from ..sources import transactions
-from ..storage import stored
+from ..storage import scratch_path, stored
 from .contexts import CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,11 +164,7 @@ def set_algebra(s: SparkSession, d: str) -> DataFrame:
 
 def transaction_file(s: SparkSession, d: str) -> DataFrame:
     """Writes a context as a transaction file, reads it back and gives its lines."""
-    import uuid
-
-    from ..storage import LOCAL_FALLBACK
-
-    path = f"{(s.conf.get('spark.checkpoint.dir', None) or LOCAL_FALLBACK).rstrip('/')}/transactions-{uuid.uuid4().hex}"
+    path = scratch_path(s, "transactions")
     transactions.write(CUSTOMER.context(s, d), path)
     return transactions.lines(transactions.read(s, path)).select(F.col("value").alias("line"))
 

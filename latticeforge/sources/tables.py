@@ -3,15 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Window as W
 
+_CORRUPT = "_corrupt_record"
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """row_id and text columns _c0, _c1, ...; quotes double inside quotes; blank lines are skipped."""
-    raw = spark.read.csv(path, header=False, inferSchema=False, quote='"', escape='"', multiLine=False)
-    filled = raw.fillna("")
-    blank = [F.col(c) == "" for c in raw.columns]
-    seen = filled.where(~blank[0]) if len(blank) == 1 else filled
-    return seen.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", *raw.columns)
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """`rows` of a file scan with row_id 0, 1, 2, ... in the order of files, and of rows in a file.
+
+    Spark deals large files out first, so ids given at the scan follow sizes, not names.  Part files are
+    ordered by their number.  Only one row a split is put in order in one task.
+    """
+    names = rows.columns
+    path, start = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
+    scanned = rows.select("*", path, start).withColumn("_id", F.monotonically_increasing_id())
+    splits = scanned.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    part = F.regexp_extract("_path", r"part-(\d+)[^/]*$", 1)
+    order = W.orderBy(F.regexp_replace("_path", r"[^/]*$", ""), F.when(part != "", part.cast("long")), "_path", "_start")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    return scanned.join(shift, ["_path", "_start"]).select((F.col("_id") + F.col("_shift")).alias("row_id"), *names)
+
+
+def _fields(record) -> F.Column:
+    """How many cells a CSV record has: separators outside quotes, and one."""
+    return F.length(F.regexp_replace(F.regexp_replace(record, r'"(?:[^"]|"")*+"', ""), "[^,]", "")) + 1
+
+
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """row_id (in file order) and text columns _c0, _c1, ...; quotes double inside quotes; blank lines are skipped.
+
+    Quoted cells may hold line feeds; with multi_line a file is read by one task, so a large table should
+    come in many files, or without line feeds in cells and with multi_line off.  There are as many
+    columns as the widest row has cells; cells that a shorter row lacks count as empty.
+    """
+    options = {"header": False, "quote": '"', "escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": _CORRUPT}
+    first = len(spark.read.options(**options).csv(path).columns)
+    read = lambda n: spark.read.options(**options).schema(", ".join(f"_c{i} string" for i in range(n)) + f", {_CORRUPT} string").csv(path)
+    whole = F.length(F.concat_ws("", *(f"_c{i}" for i in range(first))))  # a record is judged by the columns that are read
+    odd = read(first).where(F.col(_CORRUPT).isNotNull()).agg(F.max(_fields(F.col(_CORRUPT))), F.max(whole))
+    width = max(first, odd.head()[0] or 0)
+    names = [f"_c{i}" for i in range(width)]
+    seen = read(width)
+    if width == 1:
+        seen = seen.where(F.coalesce("_c0", F.lit("")) != "")
+    return in_file_order(seen.drop(_CORRUPT)).select("row_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in names))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: str | None = None) -> DataFrame:

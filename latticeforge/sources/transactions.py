@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import Window as W
 
 from ..functions import intents
 from ..functions.labels import LabelError, LabelSchema, checked
 from ..operators.context import Context
+from .tables import in_file_order
 
 HEADER = re.compile(r"# attributes: (\d+) properties: (.*)")
 #: Texts that survive the header: values may not hold its own separators.
@@ -38,7 +38,7 @@ def parse_line(line: Column) -> tuple[Column, Column]:
 
 
 def read(spark: SparkSession, path: str) -> Context:
-    """A context from a transaction file or folder; rows are numbered in file order."""
+    """A context from a transaction file or folder; rows are numbered 0, 1, 2, ... in file order, so files pair up line by line."""
     lines = spark.read.text(path)
     first = lines.where(F.col("value").startswith("# attributes:")).limit(1).collect()
     if not first:
@@ -47,7 +47,7 @@ def read(spark: SparkSession, path: str) -> Context:
     # Checks must not fire on the header, and filters may run after them: they look at rows of the body only.
     in_body = ~F.col("value").startswith("#") & (F.trim("value") != "")
     ids, label = parse_line(F.col("value"))
-    body = lines.where(in_body).withColumn("row_id", F.monotonically_increasing_id())
+    body = in_file_order(lines.where(in_body))
     texts = F.split(label, " ")
     prop = F.when(in_body, labels.encode_column([F.try_element_at(texts, F.lit(i + 1)) for i in range(labels.width)]))
     bad = in_body & (ids.isNull() | F.exists(ids, lambda a: a >= n_attrs))
@@ -69,18 +69,3 @@ def write(context: Context, path: str, *, ordered: bool = False) -> None:
     rows = context.rows.orderBy("row_id") if ordered else context.rows
     header = context.rows.sparkSession.range(1).select(F.lit(context.header).alias("value")).coalesce(1)
     header.union(lines(context, rows)).write.text(path)
-
-
-def in_order(context: Context) -> Context:
-    """Rows numbered 0, 1, 2, ... in the order of their ids, so files written apart pair up line by line."""
-    spread = context.rows.withColumn("part", F.shiftright("row_id", 33))  # ids from a scan carry the partition above bit 33
-    sizes = {r.part: r.k for r in spread.groupBy("part").agg(F.count("*").alias("k")).collect()}  # one row a partition
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    if not before:
-        return context
-    starts = context.rows.sparkSession.createDataFrame(list(before.items()), "part long, before long")
-    rank = F.row_number().over(W.partitionBy("part").orderBy("row_id")) - 1 + F.col("before")
-    rows = spread.join(F.broadcast(starts), "part").withColumn("row_id", rank.cast("long"))
-    return context.with_rows(rows.select("row_id", "intent", "prop"))

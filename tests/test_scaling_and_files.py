@@ -114,3 +114,59 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     main(["stats", at("test"), at("out2")])
     assert "correct" in said and "(100.00 %)" in said.splitlines()[0] and said == capsys.readouterr().out
+
+
+@pytest.mark.parametrize("edges", [[float("inf")], [float("-inf")], [float("-inf"), float("inf")], []])
+def test_infinite_values_end(spark, edges):
+    """Distributed cuts and the bisection in a task agree, and end, whatever the ends of a column are."""
+    numbers = sorted([float(v * v % 997) + v for v in range(60)] + edges)
+    rows = [(0, v, 1 + k % 3) for k, v in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "col_idx int, v double, n long")
+    want = scaling.numeric_thresholds(df)[0]
+    assert want == sorted(scaling.bisect(np.asarray(numbers), np.asarray([r[2] for r in rows])), key=lambda t: (np.isnan(t), t)) or np.isnan(want).any()
+    got = scaling.numeric_thresholds(df, task_values=20)[0]
+    assert np.array_equal(got, want, equal_nan=True)
+    if edges == [float("inf")]:  # the finite rest is cut as if it stood alone
+        assert want == [*halves(numbers[:-1], [r[2] for r in rows[:-1]]), float("inf")]
+
+
+def test_csv_cells_with_line_feeds_and_ragged_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"x\ny",p\nb,z,q,"ex,""tra"\n\nc\n,,\n')
+    rows = [tuple(r)[1:] for r in tables.read_csv(spark, str(tmp_path / "a.csv")).orderBy("row_id").collect()]
+    assert rows == [("a", "x\ny", "p", ""), ("b", "z", "q", 'ex,"tra'), ("c", "", "", ""), ("", "", "", "")]
+    assert tables.read_csv(spark, str(tmp_path / "a.csv")).orderBy("row_id").head().row_id == 0
+    (tmp_path / "one.csv").write_text('u\n\n""\nv\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "one.csv")).orderBy("row_id").collect()] == [(0, "u"), (1, "v")]
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path, capsys):
+    """Parts of unequal size: Spark reads larger files first, the rows keep the order of the files all the same."""
+    head = "# attributes: 3 properties: B(a,b)\n"
+
+    def folder(name, cuts):
+        (tmp_path / name).mkdir()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            body = "".join(f"{i % 3} | {'ab'[i % 7 < 3]}\n" for i in range(a, b))
+            (tmp_path / name / f"part-{k:05}-x.txt").write_text((head if k == 0 else "") + body)
+        return str(tmp_path / name)
+
+    one, other = folder("one", [0, 1, 201, 201, 230]), folder("other", [0, 150, 151, 160, 230])
+    rows = transactions.read(spark, one).rows.orderBy("row_id").collect()
+    assert [(r.row_id, r.intent, r.prop) for r in rows] == [(i, [i % 3], [int(i % 7 < 3)]) for i in range(230)]
+    main(["stats", one, other])
+    assert capsys.readouterr().out.startswith("correct: 230 / 230")
+    main(["tau", one, str(tmp_path / "tau")])
+    kept = transactions.read(spark, str(tmp_path / "tau")).rows.orderBy("row_id").collect()
+    assert [r.intent for r in kept] == [[i % 3] for i in range(230)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from latticeforge import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))) == storage.LOCAL_FALLBACK
+    assert storage.shared_dir(spark).startswith("file:/")
