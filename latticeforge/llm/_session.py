@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
+from ..storage import delete as drop_path
+from ..storage import scratch_path
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_FALLBACK = "file:///tmp/checkpoints"
+__all__ = ["documents", "drop", "drop_path", "release", "scratch_path", "stored", "tune"]
 
 
 def tune(spark: SparkSession) -> None:
@@ -19,15 +19,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
 
@@ -53,12 +44,5 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

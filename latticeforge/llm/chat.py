@@ -18,8 +18,9 @@ In texts `\\` becomes `\\\\`, `###` becomes `\\###`, `</turn>` becomes `\\</turn
 and `<` get a backslash.  So a line feed before an unescaped `</turn>` ends a turn and nothing else does.
 
 Defined results: null text is empty and null role is empty; a null conv_id is a conversation of its
-own; rows that share a turn number stay separate turns, ordered by role, then text; an empty table
-gives only the fixed conversation; extra columns are ignored.
+own; rows that share a turn number stay separate turns, ordered by role, then text; texts and roles
+may be as long as a string can be; an empty table gives only the fixed conversation; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,8 +83,15 @@ def render(messages: DataFrame) -> DataFrame:
 def parse(formatted: DataFrame) -> DataFrame:
     """Reads rendered conversations back: adds turns, an array of (role, text)."""
     pieces = F.filter(F.split("formatted", "\n</turn>\n", -1), lambda p: p != "")
-    pattern = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
-    turn = lambda p: F.struct(unescape_role(F.regexp_extract(p, pattern, 1)).alias("role"), unescape_text(F.regexp_extract(p, pattern, 2)).alias("text"))
+
+    def turn(p: Column) -> Column:
+        # The role ends at the first colon without a backslash; no pattern repeats a group, so roles may be long.
+        plain = F.replace(F.replace(p, F.lit("\\\\"), F.lit("..")), F.lit("\\:"), F.lit(".."))
+        colon = F.instr(plain, ":")
+        skip = len(HEAD)
+        role, text = p.substr(F.lit(skip + 1), colon - F.lit(skip + 1)), p.substr(colon + F.lit(2), F.length(p))
+        return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"))
+
     return formatted.withColumn("turns", F.transform(pieces, turn))
 
 

@@ -3,11 +3,14 @@
 Character 1- to 3-grams of case-folded letters, hashed to DIMENSIONS features; the value of a feature is its
 relative frequency times its inverse document frequency; a sparse multinomial logistic regression
 is trained by FTRL with elastic-net penalties and calibrated by temperature.  Inverse document
-frequencies count every training document; the weights are fitted on at most `train_rows` of them.
+frequencies count every training document, and the classes are all languages that any of them has; the
+weights are fitted on at most `train_rows` of them, drawn by a hash so that rare languages are not lost: all languages
+have the same quota, and one with fewer documents gives all it has.
 
 Defined results: `und` with score 1 for null text or text without letters; a null lang is never
-learned; a null doc_id counts as the empty text in the split; without any training row everything
-is `und` with score 0.
+learned; a null doc_id counts as the empty text in the split; of equal probabilities the first
+language in text order wins; repeated rows are scored alike; a very long text is a chunk of its own; extra columns
+are ignored; without any training row everything is `und` with score 0.
 """
 
 from __future__ import annotations
@@ -132,10 +135,25 @@ def _crc_group(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def sample_below(df: DataFrame, key, rows: int) -> DataFrame:
-    """At most `rows` keys' worth of df, the same ones whatever the partitioning: those of least hash."""
-    limit = df.select(F.xxhash64(key).alias("h")).orderBy("h").limit(rows).agg(F.max("h")).head()[0]
-    return df.where(F.xxhash64(key) <= F.lit(limit if limit is not None else -(2**63)))
+def sample_by_language(training: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of (doc_id, lang, text), the same ones whatever the partitioning.
+
+    A first pass counts each language, so a hash of the row keeps about its quota; a tenth of the rows is room
+    for chance, and beyond the bound those of least hash for their language stay.
+    """
+    counts = {r.lang: r.k for r in training.groupBy("lang").agg(F.count("*").alias("k")).collect()}  # one row a language
+    quota, left, room = 0, sorted(counts.values()), rows * 9 // 10
+    for k, n in enumerate(left):  # the largest quota that all languages together stay within
+        quota = max(1, room // (len(left) - k))
+        if n >= quota:
+            break
+        room -= n
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, quota / n)).otherwise(share)
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    kept = training.where(chance < share).select("doc_id", "lang", "text", F.when(share >= 1.0, 0.0).otherwise(chance / share).alias("rank"))
+    return kept.orderBy("rank", "doc_id").limit(rows).drop("rank")
 
 
 class LanguageModel:
@@ -166,7 +184,7 @@ def train_language_model(docs: DataFrame, *, train_rows: int = TRAIN_ROWS) -> La
     _session.tune(docs.sparkSession)
     training = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = inverse_document_frequencies(training)
-    sample = sample_below(training, "doc_id", train_rows).select("doc_id", "lang", "text")
+    sample = sample_by_language(training.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"), train_rows)
     table = sample.mapInArrow(_training_features, "doc_id long, lang string, features array<int>, shares array<float>").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
     classes = sorted(set(table["lang"].to_pylist()))

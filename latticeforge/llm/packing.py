@@ -11,7 +11,8 @@ only steps that increase the sum of squared fills are taken, so the search ends,
 last document has moved disappears.
 
 Defined results: null text is empty (one piece holding only the end id); repeated rows are packed as
-rows of their own; an empty table gives no rows.
+rows of their own, in shards that their place in the table deals them to; a null doc_id is one like any other; a very long text is a chunk of
+its own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from .wordwise import TOKENIZE_BYTES, default_vocabulary, word_tokenizer
 CAPACITY = 2048
 #: Pieces that one shard holds on average.
 SHARD_PIECES = 40_000
-#: Bins that one pass over a shard works on, emptiest first, and passes at most.
-MAX_TARGETS, MAX_PASSES = 400, 12
+#: Bounds of the search: bins that one pass over a shard works on, emptiest first; passes; emptiest partners that an
+#: exchange looks at.  They bound a shard's time and cost no piece; the README gives the sequences that result.
+MAX_TARGETS, MAX_PASSES, PARTNERS = 400, 12, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -116,7 +118,7 @@ class _Search:
                 return True
             # The receiving bin must gain, at most its room, and end fuller than the target was.
             best: tuple[int, int, tuple[int, ...]] | None = None
-            for k in range(len(open_bins) - 1, max(-1, len(open_bins) - 65), -1):
+            for k in range(len(open_bins) - 1, max(-1, len(open_bins) - PARTNERS - 1), -1):
                 room, home = open_bins[k]
                 if self.capacity - room < self.capacity - self.room[target]:
                     continue
@@ -189,7 +191,7 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, end_id: in
     shards = max(1, -(-pieces.where(F.col("length") < capacity).count() // shard_pieces))
     # A full piece is a sequence of its own: it needs no shard, only a number that no shard uses.
     full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    rest = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     return rest.groupBy("shard").applyInArrow(_pack_shard(capacity), PACKED).unionByName(full)
 
 

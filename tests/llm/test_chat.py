@@ -87,3 +87,11 @@ def test_query_equals_sql(spark, tmp_path):
 def test_plan_stays_in_the_engine(spark):
     plan = chat.op6_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_roles_and_texts(spark):
+    """Roles of a million colons, backslashes or letters come back whole; no pattern recurses over them."""
+    rows = [(1, 0, c * 1_000_000, "a: b\\" * 1000) for c in (":", "\\", "<", "x", "\\:")] + [(1, 1, "assistant", "y" * 1_000_000), (2, 0, ": ", ": "), (2, 1, "", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: sorted(map(tuple, r.turns)) for r in chat.parse(chat.render(table)).collect()}
+    assert got == {i: sorted((r, t) for c, _, r, t in rows if c == i) for i in (1, 2)}

@@ -235,6 +235,15 @@ def test_language_id(spark, docs, nothing):
     assert langid.predict_language(nothing, model).count() == 0
 
 
+def test_rare_languages_are_learned_and_the_sample_is_bounded(spark):
+    rows = [(None if i % 5 == 0 else i, f"wort{i % 9} und haus", "de") for i in range(900)] + [(i, f"rivière{i % 3} été", "fr") for i in range(1000, 1004)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_by_language(table, 60).collect()
+    assert len(sample) <= 60 and sum(r.lang == "fr" for r in sample) == 4 and sum(r.lang == "de" for r in sample) > 20
+    assert langid.train_language_model(table, train_rows=60).classes == ["de", "fr"]
+    assert langid.sample_by_language(table.limit(0), 60).count() == 0
+
+
 def test_idf_counts_all_documents(spark):
     table = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in range(40)], "doc_id long, text string").repartition(7)
     idf = langid.inverse_document_frequencies(table)
