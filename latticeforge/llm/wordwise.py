@@ -22,7 +22,7 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 #: Code points where lower-casing, NFC and the classes above need no further thought.
 PLAIN = regex.compile("[\t-\r !-~\xa1-į]*")
 #: Bytes that a worker's memo may take, as estimated by UNIT_COST and the arrays.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 144 << 20
 #: Bytes that Python takes for a key of a memo besides its text: its object, its number and its slot in the table.
 UNIT_COST = 150
 #: Text tokenised at once: the more, the fewer distinct units a byte.
