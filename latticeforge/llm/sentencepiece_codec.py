@@ -1,7 +1,7 @@
 """Operator 9: SentencePiece encoding and decoding with a batched numpy Viterbi.
 
-Text is cut where no piece can cross (before runs of spaces, and around characters that are in no
-piece), and only distinct units are segmented.  Units of equal length advance together, position by
+Text is cut before runs of spaces into units, and these between characters that stand side by side in no piece, where
+no piece can cross; only distinct parts are segmented.  Parts of equal length advance together, position by
 position: substring hashes probe the sorted keys of all pieces, every candidate that ends at the
 position gets a score, and vectorised maxima store the backpointers.
 
@@ -11,8 +11,14 @@ instead: a segmentation is what merging gives exactly if all neighbours in it st
 on their own, and for each position there is one last piece of that kind; a candidate scores only if
 it stays apart from the last piece at its beginning.  The ids then equal the library's.
 
+A long part of a BPE model is cut into overlapping blocks that advance together like parts of equal length.  Where
+two blocks have the same piece in common, one may go on from the other: all neighbours stay apart as before, so
+the joined segmentation is the whole part's.  Should blocks never meet, or for a unigram model, the part advances alone.
+
 Characters in no piece fall back to byte pieces.  Defined results: null and empty text has no ids;
-decoding gives the library's text (U+2581 in a text comes back as a space).
+decoding gives the library's text (U+2581 in a text comes back as a space); a very long text is a chunk of its own,
+with or without spaces; repeated rows and null doc_ids are rows like any other; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _session
 from ._kernels import mix64, power_table, segment_sums, text_chunks
-from .wordwise import MEMO_BYTES, TOKENIZE_BYTES, UnitMemo
+from .wordwise import MEMO_BYTES, TOKENIZE_BYTES, PartMemo, _grown
 
 SPACE = "▁"
 _BASE = 0xD1342543DE82EF95
@@ -36,6 +42,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 PAIR_SLOTS = 1 << 20
 #: Characters segmented at once.
 BATCH_CHARS = 200_000
+#: Characters by which blocks of a long part follow each other; a block is twice as long.
+SPAN = 64
+#: A code point beyond all characters, in UTF-32: it fills up rows of characters and stands in no piece.
+PAD = (0x110000).to_bytes(4, "little")
 
 
 def _codes(points: np.ndarray) -> np.ndarray:
@@ -69,9 +79,20 @@ class PieceTable:
         order = np.argsort(keys)
         self.keys, self.order = keys[order], order
         self.longest = int(self.lengths.max(initial=1))
+        names = self._names()
+        self.neighbours = np.unique(np.asarray([ord(n[k]) << 32 | ord(n[k + 1]) for n in names for k in range(len(n) - 1)], np.int64))
         if self.kind == "bpe" and not len(self.left):
             self._find_merges()
 
+    def _names(self) -> list[str]:
+        return [self.texts[i].decode("utf-8").replace(" ", SPACE) for i in self.ids.tolist()]
+
+    def never_joined(self, points: np.ndarray) -> np.ndarray:
+        """For each two characters side by side, whether they are so in no piece."""
+        pair = points[:-1].astype(np.int64) << 32 | points[1:]
+        at = np.searchsorted(self.neighbours, pair)
+        return (at == len(self.neighbours)) | (np.append(self.neighbours, -1)[at] != pair)
+
     @staticmethod
     def _key(values: np.ndarray, lengths) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -95,7 +116,7 @@ class PieceTable:
         self.left, self.right = np.full(n, -1), np.full(n, -1)
         single = self.lengths == 1
         self.left[single] = self.right[single] = np.flatnonzero(single)
-        names = [self.texts[i].decode("utf-8").replace(" ", SPACE) for i in self.ids.tolist()]
+        names = self._names()
         rank = {name: r for r, name in enumerate(names)}
         for r in np.flatnonzero(~single).tolist():
             symbols = list(names[r])
@@ -142,7 +163,17 @@ def load_pieces(path: str) -> PieceTable:
     )
 
 
-class PieceTokenizer(UnitMemo):
+def _blocks(points: np.ndarray) -> np.ndarray:
+    """The block that begins at each character of a part, filled up behind the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([points, np.frombuffer(PAD * 2 * SPAN, "<u4")]), 2 * SPAN)
+
+
+def _begins(at: int, n: int, blocks: int) -> np.ndarray:
+    """Where at most so many blocks of a part of n characters begin, from a place on."""
+    return np.arange(at, max(n - SPAN, at + 1), SPAN)[:blocks]
+
+
+class PieceTokenizer(PartMemo):
     def __init__(self, table: PieceTable, memo_bytes: int = MEMO_BYTES) -> None:
         self.table = table
         self.pair_key, self.pair_apart = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
@@ -223,50 +254,125 @@ class PieceTokenizer(UnitMemo):
         return last, length
 
     def _learn(self, units: list[bytes]) -> None:
+        """Adds the ids of new units to the memo, put together from those of their parts."""
         rows = len(self.place)
-        total = rows + len(units)
-        while len(self.start) < total:
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         texts = [u.decode("utf-8", "replace").replace(" ", SPACE) for u in units]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        order = np.argsort(sizes, kind="stable")
-        bounds = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+        bound = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        cut = np.ones(len(points) + 1, bool)
+        cut[1:-1] = self.table.never_joined(points)
+        cut[bound] = True
+        edge = np.flatnonzero(cut)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge * 4), pa.py_buffer(points)]).dictionary_encode()
+        part_rows = self._part_rows(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        self._compose(part_rows, np.diff(np.searchsorted(edge, bound)))
+        self.place.update(zip(units, range(rows, rows + len(units))))
+
+    def _part_rows(self, parts: list[bytes]) -> np.ndarray:
+        """Rows of parts (UTF-32), after segmenting those not met yet."""
+        new = [p for p in parts if p not in self.part_place]
+        rows = len(self.part_place)
+        self.part_start, self.part_size = _grown(self.part_start, rows + len(new)), _grown(self.part_size, rows + len(new))
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
+        grid = 1 << np.maximum(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 3, 0)
+        widths = -(-sizes // grid) * grid  # parts of nearly equal length are padded to advance together
+        order = np.argsort(widths, kind="stable")[: int((sizes <= 2 * SPAN).sum())]
+        bounds = np.flatnonzero(np.diff(widths[order], prepend=-1))
         for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
-            n = int(sizes[order[a]])
-            step = max(1, BATCH_CHARS // n)
+            width = int(widths[order[a]])
+            step = BATCH_CHARS // width
             for at in range(a, b, step):
                 own = order[at : min(b, at + step)]
-                points = np.frombuffer("".join(texts[i] for i in own.tolist()).encode("utf-32-le"), np.uint32).reshape(len(own), n)
-                self._keep(rows + own, points, *self.segment(points))
-        self.place.update(zip(units, range(rows, total)))
-
-    def _keep(self, rows: np.ndarray, points: np.ndarray, last: np.ndarray, length: np.ndarray) -> None:
-        """Walks the backpointers of all words together and stores their ids in order."""
-        t = self.table
+                size = sizes[own]
+                points = np.frombuffer(b"".join(new[i] + PAD * (width - n) for i, n in zip(own.tolist(), size.tolist())), "<u4").reshape(len(own), width)
+                marks = self._marks(points)
+                word, place = np.nonzero((marks > -2) & (np.arange(width) < size[:, None]))
+                self._keep(rows + own, word, marks[word, place], points[word, place])
+        long = np.flatnonzero(sizes > 2 * SPAN)
+        for own in np.split(long, np.flatnonzero(np.diff(np.cumsum(sizes[long]) // BATCH_CHARS)) + 1) if len(long) else []:
+            points = [np.frombuffer(new[i], "<u4") for i in own.tolist()]
+            found = self._long(points)
+            word = np.repeat(np.arange(len(own)), [len(place) for _, place in found])
+            self._keep(rows + own, word, np.concatenate([ranks for ranks, _ in found]), np.concatenate([p[place] for p, (_, place) in zip(points, found)]))
+        self.part_place.update(zip(new, range(rows, rows + len(new))))
+        return np.asarray(list(map(self.part_place.__getitem__, parts)), np.int64)
+
+    def _marks(self, points: np.ndarray) -> np.ndarray:
+        """Walks the backpointers of words of one length together: the rank of the piece that begins at a character, else -2."""
+        last, length = self.segment(points)
         words, n = points.shape
-        end = np.full(words, n)
-        word, place, ids = [], [], []
-        live = np.arange(words)
+        marks, end, live = np.full((words, n), -2), np.full(words, n), np.arange(words)
         while len(live):
-            rank, size = last[live, end[live]], length[live, end[live]]
-            start = end[live] - size
-            known = rank >= 0
-            word.append(live[known])
-            place.append(start[known] * 4)
-            ids.append(t.ids[rank[known]])
-            for w, s in zip(live[~known].tolist(), start[~known].tolist()):  # a character in no piece
-                coded = chr(int(points[w, s])).encode("utf-8", "replace")
-                own = t.byte_ids[list(coded)] if len(t.byte_ids) else np.asarray([t.unknown_id])
-                word.append(np.full(len(own), w))
-                place.append(s * 4 + np.arange(len(own)))
-                ids.append(own)
+            here = end[live]
+            start = here - length[live, here]
+            marks[live, start] = last[live, here]
             end[live] = start
             live = live[start > 0]
-        word, place, ids = np.concatenate(word), np.concatenate(place), np.concatenate(ids)
-        order = np.lexsort((place, word))
-        count = np.bincount(word, minlength=words)
-        self.start[rows] = self._store(ids[order].astype(np.uint32)) + np.cumsum(count) - count
-        self.size[rows] = count
+        return marks
+
+    def _long(self, parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each long part the ranks of its pieces, and where they begin; the first blocks of all parts advance together."""
+        found: list = [None] * len(parts)
+        if self.table.kind == "bpe":
+            windows = [_blocks(p) for p in parts]
+            begins = [_begins(0, len(p), BATCH_CHARS // (2 * SPAN)) for p in parts]
+            marks = np.split(self._marks(np.concatenate([w[b] for w, b in zip(windows, begins)])), np.cumsum([len(b) for b in begins])[:-1])
+            found = [self._joined_blocks(len(p), *blocks) for p, *blocks in zip(parts, windows, begins, marks)]
+        for k in (k for k, x in enumerate(found) if x is None):
+            marks = self._marks(parts[k][None])[0]
+            place = np.flatnonzero(marks > -2)
+            found[k] = marks[place], place
+        return found
+
+    def _joined_blocks(self, n: int, windows: np.ndarray, begin: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """One long part by blocks; None where a block that should go on from another has no piece in common with it.
+
+        Blocks that do not meet (in a run of one letter, say) begin anew where a piece of the last good one does.
+        """
+        width = 2 * SPAN
+        column = np.arange(width)
+        ranks, place = [], []
+        expected = None
+        while True:
+            if expected is not None and marks[0, 0] != expected:
+                return None
+            same = (marks[:-1, SPAN:] == marks[1:, :SPAN]) & (marks[1:, :SPAN] > -2)
+            met = same.any(axis=1)
+            good = len(met) if met.all() else int(met.argmin())
+            joint = same.argmax(axis=1)[:good]
+            if begin[good] + width >= n:
+                stop = n - begin[good]
+            else:
+                later = np.flatnonzero(marks[good, SPAN:] > -2)
+                if not len(later):
+                    return None
+                stop = SPAN + later[0]
+            low, high = np.append(0, joint), np.append(SPAN + joint, stop)
+            row, col = np.nonzero((marks[: good + 1] > -2) & (column >= low[:, None]) & (column < high[:, None]))
+            ranks.append(marks[row, col])
+            place.append(begin[row] + col)
+            if begin[good] + width >= n:
+                return np.concatenate(ranks), np.concatenate(place)
+            expected = marks[good, stop]
+            blocks = min(2 * len(begin), BATCH_CHARS // width) if good == len(begin) - 1 else max(1, good)
+            begin = _begins(int(begin[good] + stop), n, blocks)
+            marks = self._marks(windows[begin])
+
+    def _keep(self, rows: np.ndarray, word: np.ndarray, ranks: np.ndarray, points: np.ndarray) -> None:
+        """Stores the ids of pieces, given in order of words; for a character in no piece those of its bytes."""
+        t = self.table
+        known = ranks >= 0
+        rest = [t.byte_ids[list(chr(c).encode("utf-8", "replace"))] if len(t.byte_ids) else [t.unknown_id] for c in points[~known].tolist()]
+        count = np.ones(len(ranks), np.int64)
+        count[~known] = [len(x) for x in rest]
+        at = np.cumsum(count) - count
+        ids = np.zeros(int(count.sum()), np.uint32)
+        ids[at[known]] = t.ids[ranks[known]]
+        for k, x in zip(at[~known].tolist(), rest):
+            ids[k : k + len(x)] = x
+        size = np.bincount(word, weights=count, minlength=len(rows)).astype(np.int64)
+        self.part_start[rows] = self._store(ids) + np.cumsum(size) - size
+        self.part_size[rows] = size
 
     def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk, and offsets of each document in them."""

@@ -119,7 +119,29 @@ class UnitMemo:
         return self.flat[ragged_index(self.start[rows], lengths)], run[np.searchsorted(bounds, off)]
 
 
-class WordTokenizer(UnitMemo):
+class PartMemo(UnitMemo):
+    """A memo that puts new units together from parts, which it keeps as well."""
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.part_place: dict = {}  # part -> its row in part_start and part_size
+        self.part_start, self.part_size = self.start.copy(), self.size.copy()
+
+    def held_bytes(self) -> int:
+        return super().held_bytes() + len(self.part_place) * (UNIT_COST + 8) + self.part_start.nbytes + self.part_size.nbytes
+
+    def _compose(self, part_rows: np.ndarray, count: np.ndarray) -> None:
+        """Stores new units after those held, each made of `count` parts."""
+        rows, end = len(self.place), len(self.place) + len(count)
+        self.start, self.size = _grown(self.start, end), _grown(self.size, end)
+        lengths = self.part_size[part_rows].astype(np.int64)
+        run = np.concatenate([[0], np.cumsum(lengths)])
+        bound = np.concatenate([[0], np.cumsum(count)])
+        self.size[rows:end] = run[bound[1:]] - run[bound[:-1]]
+        self.start[rows:end] = self._store(self.flat[ragged_index(self.part_start[part_rows], lengths)]) + run[bound[:-1]]
+
+
+class WordTokenizer(PartMemo):
     """ids(texts) of a `tokenizers` word BPE file, equal to encode_batch(add_special_tokens=False)."""
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES) -> None:
@@ -133,14 +155,6 @@ class WordTokenizer(UnitMemo):
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         super().__init__(memo_bytes)
 
-    def _forget(self) -> None:
-        super()._forget()
-        self.word_place: dict[str, int] = {}  # pre-token -> its row in word_start and word_size
-        self.word_start, self.word_size = self.start.copy(), self.size.copy()
-
-    def held_bytes(self) -> int:
-        return super().held_bytes() + len(self.word_place) * (UNIT_COST + 8) + self.word_start.nbytes + self.word_size.nbytes
-
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens, sizes of each)."""
         ids = np.asarray(self.bare.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
@@ -152,36 +166,29 @@ class WordTokenizer(UnitMemo):
 
     def _word_rows(self, words: list[str]) -> np.ndarray:
         """Rows of pre-tokens, after encoding those not met yet."""
-        new = list({w for w in words if w not in self.word_place})
-        rows = len(self.word_place)
-        self.word_start, self.word_size = _grown(self.word_start, rows + len(new)), _grown(self.word_size, rows + len(new))
+        new = list({w for w in words if w not in self.part_place})
+        rows = len(self.part_place)
+        self.part_start, self.part_size = _grown(self.part_start, rows + len(new)), _grown(self.part_size, rows + len(new))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             ids, size = self._encode(part)
             end = rows + at + len(part)
-            self.word_start[rows + at : end] = self._store(ids) + np.cumsum(size) - size
-            self.word_size[rows + at : end] = size
-        self.word_place.update(zip(new, range(rows, rows + len(new))))
-        return np.asarray(list(map(self.word_place.__getitem__, words)), np.int64)
+            self.part_start[rows + at : end] = self._store(ids) + np.cumsum(size) - size
+            self.part_size[rows + at : end] = size
+        self.part_place.update(zip(new, range(rows, rows + len(new))))
+        return np.asarray(list(map(self.part_place.__getitem__, words)), np.int64)
 
     def _learn(self, units: list[bytes]) -> None:
         """Adds the ids of new units to the memo."""
         rows = len(self.place)
-        end = rows + len(units)
-        self.start, self.size = _grown(self.start, end), _grown(self.size, end)
         parts = [pretokens(u.decode("utf-8", "replace")) for u in units]
         word_rows = self._word_rows([w for p in parts if p for w in p])
-        count = np.asarray([len(p) if p is not None else 0 for p in parts])
-        lengths = self.word_size[word_rows].astype(np.int64)
-        run = np.concatenate([[0], np.cumsum(lengths)])
-        bound = np.concatenate([[0], np.cumsum(count)])
-        self.size[rows:end] = run[bound[1:]] - run[bound[:-1]]
-        self.start[rows:end] = self._store(self.flat[ragged_index(self.word_start[word_rows], lengths)]) + run[bound[:-1]]
+        self._compose(word_rows, np.asarray([len(p) if p is not None else 0 for p in parts]))
         for i, p in enumerate(parts):
             if p is None:  # the library's whole pipeline
                 ids = np.asarray(self.full.encode(units[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
                 self.start[rows + i], self.size[rows + i] = self._store(ids), len(ids)
-        self.place.update(zip(units, range(rows, end)))
+        self.place.update(zip(units, range(rows, rows + len(units))))
 
     def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk, and offsets of each document in them."""

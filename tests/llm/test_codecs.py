@@ -63,6 +63,22 @@ def test_sentencepiece_equals_library():
     assert pieces.decode_ids(table, ids, at) == [library.decode(w) for w in want]
 
 
+def test_sentencepiece_long_texts_without_spaces():
+    """Parts longer than a block: joined blocks, blocks that never meet, and padded last blocks."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    own = pieces.PieceTokenizer(pieces.load_pieces(pieces.default_model()))
+    rng = random.Random(4)
+    words = "the of and training corpora language repeated holiday ization".split()
+    texts = ["a" * 5000, "ab" * 2000 + "c" * 999, "".join(rng.choice(words) for _ in range(150_000))]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (126, 127, 128, 129, 191, 192, 193, 255, 256, 257, 20_000)]
+    texts += ["".join(rng.choice("aab") for _ in range(rng.randrange(100, 3000))) for _ in range(20)]
+    texts += ["".join(rng.choice("abcé汉_/=01") for _ in range(5000)), "x" * 300 + "汉" + "x" * 300]
+    ids, at = own.ids(*text_buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t) for t in texts]
+
+
 def test_unigram_scores_add_up():
     """A made-up unigram table against a plain dynamic program."""
     names = ["a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a"]
