@@ -295,6 +295,7 @@ class PieceTokenizer(PartMemo):
             word = np.repeat(np.arange(len(own)), [len(place) for _, place in found])
             self._keep(rows + own, word, np.concatenate([ranks for ranks, _ in found]), np.concatenate([p[place] for p, (_, place) in zip(points, found)]))
         self.part_place.update(zip(new, range(rows, rows + len(new))))
+        self.part_bytes += sum(map(len, new))
         return np.asarray(list(map(self.part_place.__getitem__, parts)), np.int64)
 
     def _marks(self, points: np.ndarray) -> np.ndarray:

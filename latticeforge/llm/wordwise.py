@@ -125,10 +125,20 @@ class PartMemo(UnitMemo):
     def _forget(self) -> None:
         super()._forget()
         self.part_place: dict = {}  # part -> its row in part_start and part_size
-        self.part_start, self.part_size = self.start.copy(), self.size.copy()
+        self.part_start, self.part_size, self.part_bytes = self.start.copy(), self.size.copy(), 0
 
     def held_bytes(self) -> int:
-        return super().held_bytes() + len(self.part_place) * (UNIT_COST + 8) + self.part_start.nbytes + self.part_size.nbytes
+        return super().held_bytes() + len(self.part_place) * (UNIT_COST + 8) + self.part_bytes + self.part_start.nbytes + self.part_size.nbytes
+
+    def _shrink(self) -> None:
+        """Units are cheap to put together again, so their parts stay unless these alone fill half of the memo."""
+        place, text_bytes = self.part_place, self.part_bytes
+        start, size = self.part_start[: len(place)], self.part_size[: len(place)].copy()
+        flat = self.flat[ragged_index(start, size.astype(np.int64))]
+        super()._shrink()
+        if len(place) * (UNIT_COST + 8) + text_bytes + flat.nbytes + 12 * len(place) <= self.memo_bytes // 2:
+            self.part_place, self.part_bytes = place, text_bytes
+            self.part_start, self.part_size = self._store(flat) + np.cumsum(size) - size, size
 
     def _compose(self, part_rows: np.ndarray, count: np.ndarray) -> None:
         """Stores new units after those held, each made of `count` parts."""
@@ -176,6 +186,7 @@ class WordTokenizer(PartMemo):
             self.part_start[rows + at : end] = self._store(ids) + np.cumsum(size) - size
             self.part_size[rows + at : end] = size
         self.part_place.update(zip(new, range(rows, rows + len(new))))
+        self.part_bytes += sum(map(len, new))
         return np.asarray(list(map(self.part_place.__getitem__, words)), np.int64)
 
     def _learn(self, units: list[bytes]) -> None:
