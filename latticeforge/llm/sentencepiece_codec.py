@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _session
-from ._kernels import mix64, power_table, segment_sums, text_chunks
+from ._kernels import mix64, power_table, text_chunks
 from .wordwise import MEMO_BYTES, TOKENIZE_BYTES, PartMemo, _grown
 
 SPACE = "▁"
@@ -400,13 +400,14 @@ class PieceTokenizer(PartMemo):
 
 def decode_ids(table: PieceTable, ids: np.ndarray, off: np.ndarray) -> list[str]:
     """The texts of documents' ids."""
-    flat = pa.array(table.texts, pa.binary()).take(pa.array(ids.astype(np.int64)))
-    sizes = np.asarray([len(x) for x in table.texts])[ids.astype(np.int64)]
-    ends = np.concatenate([[0], segment_sums(sizes, off).cumsum()]).tolist()
-    data = b"".join(flat.to_pylist())
+    if not len(ids):
+        return [""] * (len(off) - 1)
+    _, offsets, text = pa.array(table.texts, pa.binary()).take(pa.array(ids.astype(np.int64))).buffers()
+    ends = np.frombuffer(offsets, np.int32)[off].tolist()
+    data = memoryview(text)
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
-        text = data[a:b].decode("utf-8", "replace")
+        text = str(data[a:b], "utf-8", "replace")
         out.append(text[1:] if text.startswith(" ") else text)
     return out
 
