@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import intents
 from ..functions.labels import is_conflict
+from ..storage import stored
 from .context import Context, compress, count_names
 from .mining import mine_compressed
 from .prediction import majority_of_predictions, predict
@@ -27,5 +28,5 @@ def fold_models(context: Context, folded: DataFrame, *, min_support: int = 2) ->
 
 def bagged_predict(train: Context, test: Context, *, folds: int = FOLDS, min_support: int = 2, seed: int = 0, folded: DataFrame | None = None) -> DataFrame:
     """(row_id, intent, prop): the vote of the fold models; `folded` gives the folds' rows (fold, row_id, intent, prop)."""
-    models = fold_models(train, folded if folded is not None else fold_samples(train.rows, folds, seed=seed), min_support=min_support)
+    models = stored(fold_models(train, folded if folded is not None else fold_samples(train.rows, folds, seed=seed), min_support=min_support), "models")
     return majority_of_predictions(predict(models, test, by=("fold",)), test.labels)

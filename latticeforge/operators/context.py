@@ -71,12 +71,11 @@ def mask_labels(context: Context) -> Context:
 
 def reorder_by_support(context: Context) -> tuple[Context, DataFrame]:
     """Renumbers attributes rarest first (ties by id); also the map (attr_id, new_id). Result-neutral."""
-    from pyspark.sql import Window as W
-
     ids = context.rows.sparkSession.range(context.n_attrs).select(F.col("id").cast("int").alias("attr_id"))
-    ranked = ids.join(attribute_support(context), "attr_id", "left").select("attr_id", F.coalesce("support", F.lit(0)).alias("support"))
-    mapping = ranked.select("attr_id", (F.row_number().over(W.orderBy("support", "attr_id")) - 1).alias("new_id"))
-    pairs = {r.attr_id: r.new_id for r in mapping.collect()}  # one entry an attribute
-    lookup = F.array(*(F.lit(pairs[a]) for a in range(context.n_attrs)))
-    moved = context.rows.withColumn("intent", F.array_sort(F.transform("intent", lambda a: F.element_at(lookup, a + 1))))
+    ranked = ids.join(attribute_support(context), "attr_id", "left").select(F.struct(F.coalesce("support", F.lit(0)).alias("support"), "attr_id").alias("a"))
+    order = ranked.agg(F.array_sort(F.collect_list("a")).alias("order"))  # one row, one entry an attribute
+    mapping = order.select(F.posexplode("order").alias("new_id", "a")).select("a.attr_id", "new_id")
+    lookup = mapping.agg(F.array_sort(F.collect_list(F.struct("attr_id", "new_id")))["new_id"].alias("lookup"))
+    moved = context.rows.join(F.broadcast(lookup))  # with that one row
+    moved = moved.withColumn("intent", F.array_sort(F.transform("intent", lambda a: F.element_at("lookup", a + 1)))).drop("lookup")
     return context.with_rows(moved), mapping

@@ -32,6 +32,8 @@ ALGORITHMS = ("cbo", "fcbo", "pcbo", "pfcbo", "dynsort-cbo")
 DATA_STRUCTURES = ("dense", "sparse")
 #: Compressed rows of one concept that a task finishes in memory.
 TASK_ROWS = 50_000
+#: And their cells, a byte each.
+TASK_CELLS = 64_000_000
 #: Below this many rows in a group a single task mines it from the root.
 SMALL_ROWS = 256
 
@@ -111,7 +113,7 @@ def mine_compressed(rows: DataFrame, n_attrs: int, payload: list[str], min_suppo
     largest = rows.groupBy("group").agg(F.count("*").alias("k")).agg(F.max("k")).head()[0] or 0
     limit = SMALL_ROWS
     while largest > limit:
-        limit = task_rows  # expand once for parallelism, and further only while an extent is too large
+        limit = max(1, min(task_rows, TASK_CELLS // max(1, n_attrs)))  # expand once for parallelism, and further only while an extent is too large
         exploded, children = close_concepts(extents, n_attrs, payload, min_support)
         children = stored(children.select("group", *b, "a", *d, "support", "first_row", *payload), "concepts")
         found.append(children.select(order))

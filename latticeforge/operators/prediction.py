@@ -2,7 +2,8 @@
 
 A hypothesis can only match an example that holds its rarest attribute, so both meet in an equi-join
 on that anchor, and the bitmap test is the residual.  Examples are compressed to distinct intents
-first.  Hypotheses without attributes match everything; they anchor at -1, which every example has.
+first.  Hypotheses without attributes match everything; their votes are counted once for each model
+and added to those of every row.
 """
 
 from __future__ import annotations
@@ -11,27 +12,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import intents
 from ..functions.labels import LabelSchema
-from .context import Context, label_counts
+from .context import Context, count_names, label_counts
 from .strategies import strategy as strategy_by_name
 
-EVERYTHING = -1
 
-
-def anchored(model: DataFrame, examples: DataFrame) -> DataFrame:
-    """The model with each hypothesis's anchor: its attribute that fewest examples hold."""
+def anchored(model: DataFrame, examples: DataFrame, n_attrs: int) -> DataFrame:
+    """The model with each hypothesis's anchor: its attribute that fewest examples hold; null without attributes."""
     held = examples.select(F.explode("intent").alias("a")).groupBy("a").agg(F.count("*").alias("k"))
-    ids = model.select("hyp_id", F.explode("intent").alias("a")).join(held, "a", "left")
-    rarest = ids.groupBy("hyp_id").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "a")).alias("m"))
-    return model.join(rarest, "hyp_id", "left").withColumn("anchor", F.coalesce(F.col("m.a"), F.lit(EVERYTHING))).drop("m")
+    ids = examples.sparkSession.range(n_attrs).select(F.col("id").cast("int").alias("a"))
+    counted = F.collect_list(F.struct("a", F.coalesce("k", F.lit(0)).alias("k")))
+    held = ids.join(held, "a", "left").agg(F.array_sort(counted)["k"].alias("held"))  # one row, one entry an attribute
+    rarest = F.array_min(F.transform("intent", lambda a: F.struct(F.get("held", a).alias("k"), a.alias("a"))))
+    return model.join(F.broadcast(held)).withColumn("anchor", rarest["a"]).drop("held")
 
 
 def matches(model: DataFrame, examples: DataFrame, n_attrs: int) -> DataFrame:
-    """Every (example words e*, hypothesis) pair with the hypothesis inside the example."""
+    """Every (example words e*, hypothesis) pair with the hypothesis, which has attributes, inside the example."""
     e, h = intents.word_names(n_attrs, "e"), intents.word_names(n_attrs, "h")
-    key = F.xxhash64("intent", *[c for c in model.columns if c != "intent"])
-    hyps = anchored(model.withColumn("hyp_id", key), examples)
-    hyps = hyps.select("anchor", "prop", *[c for c in ("fold",) if c in model.columns], *(w.alias(x) for w, x in zip(intents.to_words(F.col("intent"), n_attrs), h)))
-    probes = examples.select(*e, F.explode(F.concat(F.array(F.lit(EVERYTHING)), "intent")).alias("anchor"))
+    hyps = anchored(model, examples, n_attrs)
+    hyps = hyps.select("anchor", *[c for c in model.columns if c != "intent"], *(w.alias(x) for w, x in zip(intents.to_words(F.col("intent"), n_attrs), h)))
+    probes = examples.select(*e, F.explode("intent").alias("anchor"))
     return probes.join(hyps, "anchor").where(intents.words_subset([F.col(x) for x in h], [F.col(x) for x in e]))
 
 
@@ -49,12 +49,14 @@ def predict(model: DataFrame, context: Context, *, strategy: str = "votingMajori
     examples = _distinct(context.rows, context.n_attrs)
     found = matches(model.select("intent", "prop", *by), examples, context.n_attrs)
     votes = found.groupBy(*by, *e).agg(F.count("*").alias("n"), *label_counts(context.labels, F.col("prop")))
-    decided = votes.select(*by, *e, strategy_by_name(strategy)(context.labels).alias("decided"))
+    counts = ("n", *count_names(context.labels))
+    bare = F.when(F.size("intent") == 0, F.col("prop"))
+    always = model.groupBy(*by).agg(F.count(bare).alias("n"), *label_counts(context.labels, bare)).withColumnsRenamed({c: f"all_{c}" for c in counts})
     rows = context.rows.select("row_id", "intent", *(w.alias(x) for w, x in zip(intents.to_words(F.col("intent"), context.n_attrs), e)))
-    if by:
-        rows = rows.join(F.broadcast(model.select(*by).distinct()))  # as many rows as models
-    out = rows.join(decided, [*by, *e], "left")
-    return out.select("row_id", "intent", F.coalesce("decided", context.labels.unknown()).alias("prop"), *by)
+    rows = rows.join(F.broadcast(always))  # one row for each model
+    out = rows.join(votes, [*by, *e], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) + F.col(f"all_{c}") for c in counts})
+    decided = F.when(F.col("n") > 0, strategy_by_name(strategy)(context.labels)).otherwise(context.labels.unknown())
+    return out.select("row_id", "intent", decided.alias("prop"), *by)
 
 
 def majority_of_predictions(predictions: DataFrame, labels: LabelSchema) -> DataFrame:

@@ -49,10 +49,21 @@ def column_kinds(values: DataFrame) -> DataFrame:
     return values.groupBy("col_idx").agg(F.count("*").alias("n_values"), F.bool_and(number.isNotNull()).alias("all_numbers")).select("col_idx", "n_values", (F.col("all_numbers") & (F.col("n_values") > NUMERIC_MIN)).alias("numeric"))
 
 
-def nominal_dictionary(values: DataFrame) -> DataFrame:
-    """(col_idx, value, rank): the place of each text in its column's text order."""
-    rank = F.row_number().over(W.partitionBy("col_idx").orderBy("value")) - 1
-    return values.select("col_idx", "value", rank.alias("rank"))
+def nominal_dictionary(values: DataFrame, *, ranges: bool = False) -> DataFrame:
+    """(col_idx, value, rank): the place of each text in its column's text order.
+
+    One task ranks a column; with `ranges` one ranks a range of texts, behind the sizes of the ranges before.
+    """
+    if not ranges:
+        rank = F.row_number().over(W.partitionBy("col_idx").orderBy("value")) - 1
+        return values.select("col_idx", "value", rank.alias("rank"))
+    cut = values.select("col_idx", "value").repartitionByRange("col_idx", "value").withColumn("part", F.spark_partition_id())
+    cut = stored(cut, "ranges")  # a range must not move once it is counted
+    sizes = cut.groupBy("col_idx", "part").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(W.partitionBy("col_idx").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("col_idx", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("col_idx", "part").orderBy("value")) - 1
+    return cut.select("col_idx", "part", "value", own.alias("own")).join(sizes, ["col_idx", "part"]).select("col_idx", "value", (F.col("before") + F.col("own")).cast("int").alias("rank"))
 
 
 def bisect(values: np.ndarray, weights: np.ndarray) -> list[float]:
@@ -112,6 +123,12 @@ def numeric_histogram(values: DataFrame) -> DataFrame:
     return values.select("col_idx", F.col("value").try_cast("double").alias("v"), "cnt").groupBy("col_idx", "v").agg(F.sum("cnt").alias("n"))
 
 
+def number_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col_idx, v, n) of columns that are numbers already; nulls are left out."""
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("col_idx"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
+    return df.select(cells.alias("cell")).where("cell.v is not null").groupBy("cell.col_idx", "cell.v").agg(F.count("*").alias("n"))
+
+
 def _segment_thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("v")
     return pd.DataFrame({"col_idx": [pdf["col_idx"].iloc[0]], "thresholds": [bisect(pdf["v"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64))]})
@@ -148,7 +165,7 @@ def numeric_thresholds(histogram: DataFrame, *, task_values: int = TASK_VALUES)
     rows = histogram.join(F.broadcast(parts), "col_idx").where("v >= lo and (v < hi or last)").select("segment", "col_idx", "v", "n")
     for r in rows.groupBy("segment", "col_idx").applyInPandas(lambda key, pdf: _segment_thresholds(pdf), "col_idx int, thresholds array<double>").collect():
         cuts.setdefault(r.col_idx, []).extend(float("nan") if t is None else t for t in r.thresholds)  # pandas' nulls
-    return {c: sorted(t) for c, t in cuts.items()}
+    return {c: np.sort(t).tolist() for c, t in cuts.items()}
 
 
 def _within(histogram: DataFrame, c: int, low: float | None, high: float | None) -> DataFrame:
@@ -159,10 +176,12 @@ def _within(histogram: DataFrame, c: int, low: float | None, high: float | None)
 
 def numeric_ids(value: Column, thresholds: list[float], offset: int) -> Column:
     """Attribute ids of a double: of its interval and the one before; of the one before alone on a threshold."""
-    ladder = F.array(*(F.lit(float(t)) for t in thresholds))
-    below = F.size(F.filter(ladder, lambda t: t < value))
+    ladder = F.array(*(F.lit(float(t)) for t in np.sort(thresholds)))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(thresholds).bit_length())))))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ladder, at + step - 1) < value, at + step).otherwise(at))  # binary search
     first, second = (F.lit(offset) + below - 1), (F.lit(offset) + below)
-    return F.when(F.array_contains(ladder, value) | (below == 0), F.array(second)).otherwise(F.array(first, second))
+    met = F.coalesce(F.get(ladder, below) == value, F.lit(False))
+    return F.when(met | (below == 0), F.array(second)).otherwise(F.array(first, second))
 
 
 @dataclass(frozen=True)
@@ -185,7 +204,10 @@ def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn |
     kinds = {r.col_idx: r for r in column_kinds(values).collect()}  # one row a column
     numeric = [i for i, k in kinds.items() if k.numeric]
     thresholds = numeric_thresholds(numeric_histogram(values.where(F.col("col_idx").isin(numeric)))) if numeric else {}
-    dictionary = nominal_dictionary(values.where(~F.col("col_idx").isin(numeric)) if numeric else values)
+    nominal = [k.n_values for k in kinds.values() if not k.numeric]
+    dictionary = nominal_dictionary(values.where(~F.col("col_idx").isin(numeric)) if numeric else values, ranges=max(nominal, default=0) > TASK_VALUES)
+    if max(nominal, default=0) > LITERAL_VALUES:  # joined once for each such column
+        dictionary = stored(dictionary, "dictionary")
     small = [i for i, k in kinds.items() if not k.numeric and k.n_values <= LITERAL_VALUES]
     held: dict[int, list[str]] = {i: [] for i in small}
     for r in dictionary.where(F.col("col_idx").isin(small)).orderBy("col_idx", "rank").collect() if small else []:

@@ -104,6 +104,18 @@ SELECT count(*) FILTER (WHERE p0 = q) AS correct, count(*) FILTER (WHERE q = -2)
 100.0 * count(*) FILTER (WHERE p0 = q) / count(*) AS correct_pct, 100.0 * count(*) FILTER (WHERE q = -2) / count(*) AS unknown_pct, 100.0 * count(*) FILTER (WHERE q = -1) / count(*) AS conflicts_pct FROM p"""
 
 
+def predict_all_rows(source: Source, folds: int) -> str:
+    """Each of the folds (row_id modulo their number) by the model of all others."""
+    parts = ", ".join(f"t{f} AS (SELECT * FROM obj WHERE row_id % {folds} <> {f}), {concept_ctes(source, f't{f}', f'_{f}')}" for f in range(folds))
+    models = " UNION ALL ".join(f"SELECT {f} AS fold, m, {UNANIMOUS} AS q FROM x_{f}" for f in range(folds))
+    return f"""WITH RECURSIVE {context_ctes(source)}, {parts},
+h AS (SELECT * FROM ({models}) WHERE q <> -1),
+e AS (SELECT DISTINCT m, row_id % {folds} AS fold FROM obj),
+v AS (SELECT e.m, e.fold, count(*) AS n, count(*) FILTER (WHERE q = 0) AS n0_0 FROM e JOIN h ON h.fold = e.fold AND (e.m & h.m) = h.m GROUP BY ALL),
+p AS (SELECT o.row_id, o.m, CASE WHEN v.n IS NULL THEN -2 ELSE {MAJORITY} END AS q FROM obj o LEFT JOIN v ON v.m = o.m AND v.fold = o.row_id % {folds})
+SELECT row_id, {ids('m')} AS intent, {label_text(0, 'q')} AS label FROM p"""
+
+
 def digest(*keys: str) -> str:
     """15 hexadecimal digits of an MD5 as a number."""
     text = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
@@ -204,6 +216,7 @@ def oracles() -> dict[str, str]:
         "hyp_composite": hypotheses(GRADED, mode(0), mode(1)),
         "mask_labels": f"WITH {context_ctes(GRADED)} SELECT row_id, {ids('m')} AS intent, '? ?' AS label FROM obj",
         "predict": predict(EVENTS),
+        "predict_all_rows": predict_all_rows(EVENTS, 5),
         "evaluate": evaluate(EVENTS),
         "bagging": bagging(CUSTOMER, 3),
         "bagging_random": bagging(CUSTOMER, 8, 3),

@@ -132,6 +132,11 @@ def test_empty_hypothesis_matches_everything(spark):
     model = spark.createDataFrame([([], [1])], "intent array<int>, prop array<int>")
     examples = context(spark, [((), (0,)), ((0, 1), (0,))], 2)
     assert {tuple(r.prop) for r in predict(model, examples).collect()} == {(1,)}
+    votes = [([], [1], 0), ([0], [0], 0), ([1], [0], 0), ([0], [0], 1)]
+    models = spark.createDataFrame(votes, "intent array<int>, prop array<int>, fold int")
+    got = {(r.row_id, r.fold): r.prop[0] for r in predict(models, examples, by=("fold",)).collect()}
+    assert got == {(0, 0): 1, (0, 1): -2, (1, 0): majority([1, 0, 0]), (1, 1): 0}
+    assert {tuple(r.prop) for r in predict(model.limit(0), examples).collect()} == {(-2,)}
 
 
 def test_split_folds_and_bagging(spark):
@@ -155,6 +160,8 @@ def test_reordering_is_neutral(spark):
     back = {r.new_id: r.attr_id for r in mapping.collect()}
     a = {frozenset(r.intent) for r in mining.generate(c).collect()}
     assert a == {frozenset(back[x] for x in r.intent) for r in mining.generate(moved).collect()}
+    held = [sum(x in r for r, _ in rows) for x in range(8)]
+    assert [back[k] for k in range(8)] == sorted(range(8), key=lambda x: (held[x], x))
     assert abs(density(c).head().density - 100 * sum(len(r) for r, _ in rows) / 160) < 1e-9
 
 

@@ -51,6 +51,12 @@ def test_numeric_ids(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 9.0)], "v double")
     got = [r.i for r in df.select(scaling.numeric_ids(F.col("v"), [1.0, 2.0], 7).alias("i")).collect()]
     assert got == [[7], [7], [7, 8], [8], [8, 9]]
+    for n in (1, 7, 8, 33):  # the binary search against a plain count
+        cuts = [float(k * k) for k in range(n)]
+        values = [-1.0, *cuts, *(c + 0.5 for c in cuts), float("inf")]
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scaling.numeric_ids(F.col("v"), cuts, 3).alias("i")).collect()
+        below = {v: sum(c < v for c in cuts) for v in values}
+        assert {r.v: r.i for r in rows} == {v: [3 + b] if v in cuts or b == 0 else [2 + b, 3 + b] for v, b in below.items()}
 
 
 def test_encoding_kinds(spark):
@@ -70,6 +76,15 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
     want = scaling.encode(df, ["lab"]).rows.orderBy("row_id").collect()
     monkeypatch.setattr(scaling, "LITERAL_VALUES", 3)
     assert scaling.encode(df, ["lab"]).rows.orderBy("row_id").collect() == want
+    monkeypatch.setattr(scaling, "TASK_VALUES", 2)
+    assert scaling.encode(df, ["lab"]).rows.orderBy("row_id").collect() == want
+
+
+def test_ranks_over_ranges(spark):
+    values = spark.createDataFrame([(i % 3, f"{i * 7919 % 1009:x}") for i in range(600)], "col_idx int, value string").distinct()
+    want = sorted(tuple(r) for r in scaling.nominal_dictionary(values).collect())
+    assert sorted(tuple(r) for r in scaling.nominal_dictionary(values, ranges=True).collect()) == want
+    assert scaling.nominal_dictionary(values.limit(0), ranges=True).count() == 0
 
 
 def test_line_parser(spark):
