@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, ngram_join, packing, quality, secret_scan, sentencepiece_codec, suffix_dedup, token_output
+from . import chat, importance, langid, media, ngram_join, packing, quality, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_sharding": sharding.op12_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.ORACLE}
+    return {"op6_chat_format": chat.ORACLE, "op11_importance_resampling": importance.ORACLE}
