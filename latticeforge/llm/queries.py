@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, importance, langid, media, ngram_join, packing, quality, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_output
+from . import alignment, chat, importance, langid, media, ngram_join, packing, quality, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_importance_resampling": importance.op11_importance_resampling,
         "op12_sharding": sharding.op12_sharding,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
