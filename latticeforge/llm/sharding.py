@@ -31,7 +31,7 @@ RANGES, SAMPLES_EACH = 1024, 16
 OVERFULL = 3
 #: Pieces into which a share's bytes of one text are subdivided.
 PIECES_A_SHARE = 16
-#: Rows that one task numbers.
+#: Rows that one task numbers, at most; with fewer rows in all, so many as OVERFULL ranges hold on average.
 RANGE_ROWS = 500_000
 #: Cells by the leading bits of a key, each with the few cuts inside it.
 CELL_BITS = 10
@@ -108,10 +108,11 @@ def dealt(atoms: DataFrame, shards: int) -> DataFrame:
 
 def placed_rows(rows: DataFrame, shards: int, ranges: int, range_rows: int) -> DataFrame:
     """Adds shard and slot to a stored table of `measured` rows."""
-    total = rows.agg(F.sum("size")).head()[0]
+    total, n_rows = rows.agg(F.sum("size"), F.count("*")).head()
     if not total:
         return rows.limit(0).select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     placed, sizes = split_ranges(rows, total, ranges)
+    range_rows = min(range_rows, 1 + OVERFULL * n_rows // ranges)
     beyond = F.col("one_key") & (F.col("bytes") * shards > total)
     pieces = F.greatest(F.when(beyond, F.ceil(F.col("bytes") * float(shards * PIECES_A_SHARE) / total)).otherwise(1), F.ceil(F.col("n") / range_rows))
     plan = sizes.select("range", beyond.alias("beyond"), pieces.cast("long").alias("pieces"))
