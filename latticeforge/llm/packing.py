@@ -4,11 +4,11 @@ Pieces are hashed into shards of bounded expected size, each packed alone, so on
 in a worker whatever the corpus size; a shard wastes less than one bin against global packing.
 Within a shard: best fit decreasing builds the start, then swap-based local search lowers the number
 of bins.  It goes over the underfull bins, emptiest first, and empties each into fuller ones by
-  * moving one of its documents into a bin with room,
+  * moving one of its documents (or two) into a bin with room,
   * exchanging one of its documents for a shorter one of another bin,
-  * exchanging one of its documents for two shorter ones of another bin;
+  * exchanging one for two shorter ones of another bin, two for one, or two pairs;
 only steps that increase the sum of squared fills are taken, so the search ends, and a bin whose
-last document has moved disappears.
+last document has moved disappears.  It ends when no bin has such a step left, or no bin could be spared.
 
 Defined results: null text is empty (one piece holding only the end id); repeated rows are packed as
 rows of their own, in shards that their place in the table deals them to; a null doc_id is one like any other; a very long text is a chunk of
@@ -18,8 +18,9 @@ its own; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,6 @@ from .wordwise import TOKENIZE_BYTES, default_vocabulary, word_tokenizer
 CAPACITY = 2048
 #: Pieces that one shard holds on average.
 SHARD_PIECES = 40_000
-#: Bounds of the search: bins that one pass over a shard works on, emptiest first; passes; emptiest partners that an
-#: exchange looks at.  They bound a shard's time and cost no piece; the README gives the sequences that result.
-MAX_TARGETS, MAX_PASSES, PARTNERS = 400, 12, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -89,84 +87,117 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search over the underfull bins of one shard."""
+    """Local search over the underfull bins of one shard.
+
+    Bins that may receive are indexed by their room and by what they can give back: the size of a member, or the sum of
+    two.  So the best exchange for a document is found without looking at bins one by one.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
         self.size, self.capacity, self.bins = lengths.tolist(), capacity, bins
         self.room = [capacity - sum(self.size[i] for i in b) for b in bins]
-
-    def _order(self, target: int) -> list[tuple[int, int]]:
-        return sorted((r, b) for b, r in enumerate(self.room) if r and self.bins[b] and b != target)
-
-    def _shift(self, item: int, source: int, home: int, back: tuple[int, ...] = ()) -> None:
-        moved = self.size[item] - sum(self.size[x] for x in back)
-        self.bins[source].remove(item)
-        self.bins[home].append(item)
-        for x in back:
-            self.bins[home].remove(x)
-            self.bins[source].append(x)
-        self.room[source] += moved
-        self.room[home] -= moved
-
-    def _step(self, target: int, open_bins: list[tuple[int, int]]) -> bool:
-        """One move or exchange out of the target that raises the squared fill."""
-        for item in sorted(self.bins[target], key=lambda i: -self.size[i]):
-            size = self.size[item]
-            at = bisect_left(open_bins, (size, -1))
-            if at < len(open_bins) and open_bins[at][0] <= self.room[target]:
-                self._changed(open_bins, at, lambda home: self._shift(item, target, home))
-                return True
-            # The receiving bin must gain, at most its room, and end fuller than the target was.
-            best: tuple[int, int, tuple[int, ...]] | None = None
-            for k in range(len(open_bins) - 1, max(-1, len(open_bins) - PARTNERS - 1), -1):
-                room, home = open_bins[k]
-                if self.capacity - room < self.capacity - self.room[target]:
-                    continue
-                own = sorted((self.size[x], x) for x in self.bins[home])
-                j = bisect_left(own, (size - room, -1))
-                if j < len(own) and own[j][0] < size:
-                    gain = size - own[j][0]
-                    if best is None or gain > best[0]:
-                        best = (gain, k, (own[j][1],))
-                lo, hi = 0, len(own) - 1
-                while lo < hi:  # two for one: the smallest pair sum that still fits
-                    pair = own[lo][0] + own[hi][0]
-                    if pair >= size - room:
-                        if pair < size and (best is None or size - pair > best[0]):
-                            best = (size - pair, k, (own[lo][1], own[hi][1]))
-                        hi -= 1
-                    else:
-                        lo += 1
-            if best is not None:
-                _, k, back = best
-                self._changed(open_bins, k, lambda home: self._shift(item, target, home, back))
-                return True
+        self.at: dict[int, set[int]] = {}  # back * (capacity + 1) + room -> bins; back 0 stands for nothing given back
+        self.rooms = [0] * (capacity + 1)  # for each back the rooms of such bins, as bits
+        self.ladder = np.arange(capacity + 1)
+        self.most = np.full(capacity + 1, -1)  # and the largest of them
+
+    def _backs(self, home: int) -> list[int]:
+        """All that a bin can give for one document: nothing, one document, or two."""
+        sizes = sorted(self.size[i] for i in self.bins[home])
+        singles = pairs = 0
+        for s in sizes:
+            pairs |= singles << s
+            singles |= 1 << s
+        backs, bits = [], singles | pairs | 1
+        while bits:
+            low = bits & -bits
+            backs.append(low.bit_length() - 1)
+            bits ^= low
+        return backs
+
+    def _enter(self, home: int) -> None:
+        room = self.room[home]
+        for back in self._backs(home):
+            self.at.setdefault(back * (self.capacity + 1) + room, set()).add(home)
+            self.rooms[back] |= 1 << room
+            self.most[back] = max(self.most[back], room)
+
+    def _leave(self, home: int) -> None:
+        room = self.room[home]
+        for back in self._backs(home):
+            key = back * (self.capacity + 1) + room
+            self.at[key].discard(home)
+            if not self.at[key]:
+                del self.at[key]
+                self.rooms[back] &= ~(1 << room)
+                self.most[back] = self.rooms[back].bit_length() - 1
+
+    def _given(self, home: int, back: int) -> list[int]:
+        """The documents of a bin that make up `back`: one if there is such a one, else two."""
+        by_size = {self.size[i]: i for i in self.bins[home]}
+        if back in by_size or not back:
+            return [by_size[back]] if back else []
+        for i in self.bins[home]:
+            j = by_size.get(back - self.size[i])
+            if j is not None and j != i:
+                return [i, j]
+        return [i for i in self.bins[home] if 2 * self.size[i] == back][:2]
+
+    def _step(self, target: int) -> bool:
+        """One move or exchange out of the target, which is no fuller than any indexed bin, so that the squared fill rises."""
+        own = sorted(self.bins[target], key=lambda i: (-self.size[i], i))
+        by_size = {self.size[i]: (i,) for i in own}
+        few = [i for k, i in enumerate(own) if k < 2 or self.size[own[k - 2]] != self.size[i]]  # two of a size are enough
+        pairs = {self.size[i] + self.size[j]: (i, j) for i, j in combinations(few, 2)}
+        for items in (*by_size.values(), *pairs.values()):
+            size = sum(self.size[i] for i in items)
+            # The less comes back, the more the other bin gains; it must have room for the difference.
+            fits = np.flatnonzero(self.most[:size] >= size - self.ladder[:size])
+            if not len(fits):
+                continue
+            back = int(fits[0])
+            fitting = self.rooms[back] >> (size - back)
+            room = size - back + (fitting & -fitting).bit_length() - 1
+            home = min(self.at[back * (self.capacity + 1) + room])
+            self._leave(home)
+            given = self._given(home, back)
+            for x in given:
+                self.bins[home].remove(x)
+            for x in items:
+                self.bins[target].remove(x)
+            self.bins[home] += items
+            self.bins[target] += given
+            self.room[home] -= size - back
+            self.room[target] += size - back
+            if self.room[home]:
+                self._enter(home)
+            return True
         return False
 
-    def _changed(self, open_bins: list[tuple[int, int]], k: int, do) -> None:
-        _, home = open_bins.pop(k)
-        do(home)
-        if self.room[home]:
-            entry = (self.room[home], home)
-            open_bins.insert(bisect_left(open_bins, entry), entry)
-
-    def run(self, max_targets: int, passes: int = MAX_PASSES) -> list[list[int]]:
-        for _ in range(passes):
-            if sum(r for b, r in zip(self.bins, self.room) if b) < self.capacity:  # no bin can be spared
-                break
+    def run(self) -> list[list[int]]:
+        """Passes over all underfull bins, emptiest first, until no step is left or no bin can be spared."""
+        changed = True
+        while changed and sum(r for b, r in zip(self.bins, self.room) if b) >= self.capacity:
             changed = False
-            for target in sorted((k for k, b in enumerate(self.bins) if b and self.room[k]), key=lambda k: -self.room[k])[:max_targets]:
-                open_bins = self._order(target)
-                while self.bins[target] and self._step(target, open_bins):
+            queue = [(-r, k) for k, r in enumerate(self.room) if r and self.bins[k]]
+            heapify(queue)
+            for _, k in queue:
+                self._enter(k)
+            while queue:
+                room, target = heappop(queue)
+                if self.room[target] != -room:  # it has received since; its turn comes later
+                    if self.room[target]:
+                        heappush(queue, (-self.room[target], target))
+                    continue
+                self._leave(target)
+                while self.bins[target] and self._step(target):
                     changed = True
-            if not changed:
-                break
         return [b for b in self.bins if b]
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, max_targets: int = MAX_TARGETS) -> list[list[int]]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of item numbers for lengths of 1 to capacity."""
-    return _Search(best_fit_decreasing(lengths, capacity), lengths, capacity).run(max_targets)
+    return _Search(best_fit_decreasing(lengths, capacity), lengths, capacity).run()
 
 
 def _pack_shard(capacity: int):
