@@ -8,14 +8,19 @@ four characters, so others of the alphabet may stand before it.  Runs that only
 are joined; what then lies on several lines maps to all lines wrapped alike.  Every new layer is scanned with the
 base patterns and unwrapped in turn until nothing new appears; layers already seen at the same place
 are not entered again, so cycles end.  A secret found in a layer is reported at the span of the
-original text that holds it.  Base spans always stay, decoding only adds spans.
+original text that holds it.  Base spans always stay, decoding only adds spans.  Where a layer has URL escapes, `+` is also read as a
+space.  An escape of an escape of an escape (`%252525...`) beyond DEEP levels is peeled to three levels in one step, so that nesting costs
+time in proportion to the text; what lies between looks the same but for the number of levels.
 
 Decoded bytes stay one character each (Latin-1): all patterns are ASCII, so text in UTF-8 or any
 other ASCII-based encoding is found, binary fields beside it do no harm and compressed data is kept.
 
 Defined results: null and empty text has no spans; offsets are code points, ends exclusive; of
-compressed data that is cut off or damaged, what comes before is scanned; a layer that would inflate
-beyond MAX_LAYER_BYTES is not entered (a guard against decompression bombs).
+compressed data that is cut off or damaged, what comes before is scanned; very long texts are chunks of their own; compressed data
+that inflates beyond LAYER_BYTES is inflated piece by piece, each a layer of its own that begins with the end of the one
+before (OVERLAP, or the base64 run that the piece ends in, up to half a piece), so memory is bounded and nothing is dropped: only
+what a further layer holds beyond half a piece, compressed once more, is seen as cut off where a piece ends.  Equal pieces are scanned
+once.  Repeated rows and null doc_ids are rows like any other; an empty table gives no rows; further columns are ignored (`redact_secrets` keeps them).
 """
 
 from __future__ import annotations
@@ -38,7 +43,10 @@ from ._kernels import LOWER_ASCII, text_chunks
 
 #: Output order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex")
-MAX_LAYER_BYTES = 64 << 20
+#: Bytes of decoded content that are a layer at most, and those that the next piece begins with.
+LAYER_BYTES, OVERLAP = 16 << 20, 1 << 16
+#: Levels of one nested escape that are peeled one by one.
+DEEP = 5
 #: The shortest base64 run that can hold a secret: 14 bytes, without padding.
 MIN_BASE64 = 19
 
@@ -51,8 +59,10 @@ _NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "tok
 ASSIGN = re.compile(rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
+_DEEP_URL = rf"%(?:25){{{DEEP},}}(?=[0-9A-Fa-f]{{2}})"
+_DEEP_UNICODE = rf"\\(?:u005[cC]){{{DEEP},}}(?=u[0-9A-Fa-f]{{4}})|\\(?:x5[cC]){{{DEEP},}}(?=x[0-9A-Fa-f]{{2}})"
+URL_ESCAPE = re.compile(rf"{_DEEP_URL}|(?:%[0-9A-Fa-f]{{2}}(?<!%25)|%25(?!(?:25){{{DEEP - 1},}}[0-9A-Fa-f]{{2}}))+")
+UNICODE_ESCAPE = re.compile(rf"{_DEEP_UNICODE}|(?:\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}}|\\u\{{[0-9A-Fa-f]{{1,6}}\}}|\\x[0-9A-Fa-f]{{2}})+")
 _UNICODE_ITEM = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 #: ASCII text of two or four bytes a character, in either byte order.
@@ -70,13 +80,17 @@ BASE64_BLOCK = re.compile(rf"(?<![{_ALPHABET}])[{_ALPHABET}]++(?:[ \t]*+[\r\n]\s
 _AFTER = re.compile(r"[/_-]")
 _CLEAN = re.compile(r"[\t\n\r\x20-\x7e]{12}")
 _LINE = re.compile(rf"[{_ALPHABET}]+")
+_RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
+
+#: What every match of a pattern begins with or holds.
+SIGNS = {URL_ESCAPE: "%", UNICODE_ESCAPE: "\\", WIDE: "\0"}
 
 Span = tuple[str, int, int]
 
 
 def base_spans(text: str) -> list[Span]:
     """All base matches, by start, then kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8] if ":" in text or "=" in text else []
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return ordered(found)
@@ -87,10 +101,14 @@ def ordered(spans) -> list[Span]:
 
 
 def _unescape_url(run: str) -> str:
+    if len(run) > 3 and run[3] != "%":  # a deep escape
+        return "%252525"
     return bytes.fromhex(run.replace("%", "")).decode("latin-1")
 
 
 def _unescape_unicode(run: str) -> str:
+    if (head := re.match(r"\\(u005[cC]|x5[cC])\1", run, re.IGNORECASE)) is not None:  # a deep escape
+        return "\\" + head[1] * 3
     codes = [int(m[1], 16) for m in _UNICODE_ITEM.finditer(run)]
     joined, k = [], 0
     while k < len(codes):
@@ -155,24 +173,39 @@ class _Inflated:
             self.end, self.whole = yield from _member(self.text, self.end)
 
 
-def _streams(text: str) -> Iterator[tuple[int, int, str, bool]]:
-    """(start, end, content, whether it is whole) of all compressed data in a layer."""
+def _streams(text: str) -> Iterator[tuple[int, int, list[bytes] | None, bool]]:
+    """(start, end, content, whether it is whole) of all compressed data in a layer; None for content beyond LAYER_BYTES."""
     at = 0
     while head := STREAM.search(text, at):
         start, size, parts, data = head.start(), 0, [], _Inflated(text, head.start())
         for part in data:
-            parts.append(part)
             size += len(part)
-            if size > MAX_LAYER_BYTES:
-                parts = []
-                break
+            if size <= LAYER_BYTES:
+                parts.append(part)
+            else:
+                parts.clear()
         # Two bytes alone may be chance; then what a broken stream gives is noise, and short.
         sure = data.whole or head[0][0] in "\x1fB\xfd" or data.end - start >= SURE_BYTES or start == 0 and head[0][0] == "x"
-        if parts and sure:
-            yield start, data.end, b"".join(parts).decode("latin-1"), data.whole
+        if size and sure:
+            yield start, data.end, parts if size <= LAYER_BYTES else None, data.whole
         at = data.end if data.whole and data.end > start else start + 1
 
 
+def _pieces(text: str, at: int) -> Iterator[str]:
+    """The content of compressed data in overlapping pieces."""
+    parts, size = [], 0
+    for part in _Inflated(text, at):
+        parts.append(part)
+        size += len(part)
+        if size >= LAYER_BYTES:
+            piece = b"".join(parts)
+            yield piece.decode("latin-1")
+            run = len(piece.rstrip(_RUN_BYTES))
+            parts = [piece[max(len(piece) // 2, min(len(piece) - OVERLAP, run)) :]]
+            size = len(parts[0])
+    yield b"".join(parts).decode("latin-1")
+
+
 def _decoded(body: str) -> str:
     """What base64 characters hold; a last one that fills no byte is left out."""
     body = body[: len(body) - (len(body) % 4 == 1)]
@@ -245,6 +278,8 @@ class _Layer:
 
     def replaced(self, pattern: re.Pattern, decode, without=()) -> _Layer | None:
         """This layer with every match of the pattern decoded in place, but for those in the spans `without`."""
+        if not any(c in self.text for c in SIGNS[pattern]):
+            return None
         parts, starts, ends, at, fixed = [], [], [], 0, isinstance(self.starts, int)
         for m in pattern.finditer(self.text):
             if _within(without, m):
@@ -260,7 +295,7 @@ class _Layer:
             return None
         text = "".join([*parts, self.text[at:]])
         if fixed:
-            return _Layer(text, self.starts, self.ends)
+            return self.derived(text, self.starts, self.ends)
         return self.derived(text, np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
 
 
@@ -311,41 +346,57 @@ def _widest(found: set[Span], wrapped: set[tuple[int, int]]) -> set[Span]:
     return out
 
 
+def _unwrapped(layer: _Layer, root: bool) -> Iterator[_Layer]:
+    """The layers one step below a layer, one at a time."""
+    packed = []
+    for start, end, content, whole in () if root else _streams(layer.text):
+        if whole:
+            packed.append((start, end))
+        if (where := layer.place(start, end)) is not None:
+            for piece in [b"".join(content).decode("latin-1")] if content is not None else _pieces(layer.text, start):
+                yield _Layer(piece, *where)
+    steps = [(layer, URL_ESCAPE, _unescape_url), (layer, UNICODE_ESCAPE, _unescape_unicode)]
+    if "+" in layer.text and "%" in layer.text:
+        steps.append((layer.derived(layer.text.replace("+", " "), layer.starts, layer.ends), URL_ESCAPE, _unescape_url))
+    if not root:
+        steps.append((layer, WIDE, _narrowed))
+    for source, pattern, decode in steps:
+        if (new := source.replaced(pattern, decode, packed)) is not None:
+            yield new
+    for m in BASE64_RUN.finditer(layer.text):
+        if not _within(packed, m):
+            yield from layer.opened(m)
+    for m in BASE64_BLOCK.finditer(layer.text):
+        if not _within(packed, m):
+            yield from layer.joined(m)
+
+
 def added_spans(text: str, base: list[Span]) -> set[Span]:
     """Spans of secrets that only decoding shows."""
     place = np.arange(len(text))
     root = _Layer(text, place, place + 1)
-    work = [root]
+    work = [(root, _unwrapped(root, True))]
     seen, found, wrapped, known = set(), set(), set(), set(base)
     while work:
-        layer = work.pop()
-        streams = list(_streams(layer.text)) if layer is not root else []
-        packed = [(s, e) for s, e, _, whole in streams if whole]
-        inner = [layer.replaced(URL_ESCAPE, _unescape_url, packed), layer.replaced(UNICODE_ESCAPE, _unescape_unicode, packed)]
-        if layer is not root and "\0" in layer.text:
-            inner.append(layer.replaced(WIDE, _narrowed, packed))
-        inner += [_Layer(content, *where) for s, e, content, _ in streams if (where := layer.place(s, e)) is not None]
-        for m in BASE64_RUN.finditer(layer.text):
-            if not _within(packed, m):
-                inner += layer.opened(m)
-        for m in BASE64_BLOCK.finditer(layer.text):
-            if not _within(packed, m):
-                inner += layer.joined(m)
-        for new in inner:
-            if new is None or not new.text:
-                continue
-            where = (new.starts, new.ends) if isinstance(new.starts, int) else (*new.wrap[0], *new.wrap[-1]) if isinstance(new, _Wrapped) else (int(new.starts[0]), int(new.starts[-1]), int(new.ends[0]), int(new.ends[-1]))
-            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where)
-            if key in seen:
-                continue
-            seen.add(key)
-            work.append(new)
-            spans = {(kind, *at) for kind, s, e in base_spans(new.text) if (at := new.place(s, e)) is not None}
-            found |= spans
-            if isinstance(new, _Wrapped):
-                wrapped.update(span[1:] for span in spans)
-            elif isinstance(layer, _Wrapped):
-                wrapped.add(where)
+        layer, below = work[-1]
+        new = next(below, None)
+        if new is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        where = (new.starts, new.ends) if isinstance(new.starts, int) else (*new.wrap[0], *new.wrap[-1]) if isinstance(new, _Wrapped) else (int(new.starts[0]), int(new.starts[-1]), int(new.ends[0]), int(new.ends[-1]))
+        key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where)
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append((new, _unwrapped(new, False)))
+        spans = {(kind, *at) for kind, s, e in base_spans(new.text) if (at := new.place(s, e)) is not None}
+        found |= spans
+        if isinstance(new, _Wrapped):
+            wrapped.update(span[1:] for span in spans)
+        elif isinstance(layer, _Wrapped):
+            wrapped.add(where)
     return (_widest(found, wrapped) if wrapped else found) - known
 
 
