@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
 from . import _session
 
@@ -36,7 +37,10 @@ RANGE_ROWS = 500_000
 #: Cells by the leading bits of a key, each with the few cuts inside it.
 CELL_BITS = 10
 
-_ALL = W.partitionBy(F.lit(0))  # only over tables that parameters bound
+
+def _all() -> WindowSpec:
+    """One window over a whole table, for tables that parameters bound."""
+    return W.partitionBy(F.lit(0))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def sampled_cuts(rows: DataFrame, total: int, ranges: int, seed: int) -> DataFra
     chance = F.xxhash64("key", "place", F.lit(seed)).bitwiseAND((1 << 31) - 1) / float(1 << 31)
     drawn = rows.where(chance < F.col("size") * float(draws) / total).select("key", F.greatest(F.col("size").cast("double"), F.lit(total / draws)).alias("weight"))
     keys = drawn.groupBy("key").agg(F.sum("weight").alias("weight"))  # about `draws` rows at most twice
-    upto, whole = F.sum("weight").over(_ALL.orderBy("key")), F.sum("weight").over(_ALL)
+    upto, whole = F.sum("weight").over(_all().orderBy("key")), F.sum("weight").over(_all())
     keys = keys.select("key", (F.col("weight") * ranges / whole).alias("width"), (upto * ranges / whole).alias("upto"))
     heavy = F.col("width") >= 1
     ends = F.floor("upto") > F.floor(F.col("upto") - F.col("width"))
@@ -69,7 +73,7 @@ def in_ranges(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     cells = rows.sparkSession.range(-half, half).withColumnRenamed("id", "cell")
     held = cuts.groupBy(_cell(F.col("cut")).alias("cell")).agg(F.collect_list("cut").alias("cuts"))
     cells = cells.join(held, "cell", "left").select("cell", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"))
-    cells = cells.withColumn("before", F.sum(F.size("cuts")).over(_ALL.orderBy("cell")) - F.size("cuts"))
+    cells = cells.withColumn("before", F.sum(F.size("cuts")).over(_all().orderBy("cell")) - F.size("cuts"))
     placed = rows.withColumn("cell", _cell(F.col("key"))).join(F.broadcast(cells), "cell")  # 2 ** CELL_BITS rows
     return placed.withColumn("range", F.col("before") + F.size(F.filter("cuts", lambda c: c < F.col("key")))).drop("cell", "cuts", "before")
 
