@@ -32,7 +32,8 @@ def folders(spark, tmp_path_factory):
     labels = spark.createDataFrame([(i, int(k % 2), 0) for k, (i, _) in enumerate(rows())] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     said = [(c, t, r, x) for c in range(4) for t, (r, x) in enumerate((("user", "a ### b"), ("assistant", "\\</turn> c"), (None, None), ("assistant", "")))]
     talks = spark.createDataFrame([*said, (None, 0, "user", "hm"), (1, 1, "assistant", "same turn")], "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
-    for name, table in (("documents", docs), ("labels", labels), ("conversations", talks)):
+    benchmark = spark.createDataFrame([(0, "One two three"), (1, None)], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("conversations", talks), ("benchmark", benchmark)):
         table.write.parquet(f"{full}/{name}.parquet")
         table.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return full, empty
@@ -164,3 +165,12 @@ def test_op10(spark, folders):
         said = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
         want[(i, *(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(said.encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in run(spark, folders, 10)) == want
+
+
+def test_op11_to_op13(spark, folders):
+    """With production parameters over whole tables; small cases are in test_resampling_sharding_alignment."""
+    from test_resampling_sharding_alignment import aligned, check_shards, drawn
+
+    assert Counter(map(tuple, run(spark, folders, 11))) == drawn(rows(), ["One two three", None], 10_000, 1, 20, 10)
+    check_shards(run(spark, folders, 12), rows(), 8)
+    assert Counter(map(tuple, run(spark, folders, 13))) == aligned(rows())
