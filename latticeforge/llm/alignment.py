@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _session
-from ._kernels import mix64, ragged_index, segment_sums, text_chunks
+from ._kernels import give_back, mix64, ragged_index, segment_sums, text_chunks
 from .byte_bpe import ByteTokenizer
 from .sentencepiece_codec import SPACE, PieceTokenizer, load_pieces
 
 #: Bytes of text tokenised at once, tokens of one event row, tokens that the sweep takes at once, and links that it unfolds at once.
-CHUNK_BYTES, EVENT_TOKENS, SWEEP_TOKENS, UNFOLD = 2 << 20, 1 << 14, 1 << 20, 1 << 22
+CHUNK_BYTES, EVENT_TOKENS, SWEEP_TOKENS, UNFOLD = 2 << 20, 1 << 14, 1 << 18, 1 << 20
 #: Bytes of the memo of either tokenizer in a worker.
 MEMO_BYTES = 64 << 20
 #: Beyond so many links, ids of a group are counted before they are paired.
@@ -64,6 +64,13 @@ class TokenPair:
         apart[:128, :128] = np.reshape([self.b.table.never_joined(p)[0] for p in pairs], (128, 128))
         self.apart = apart.ravel()
 
+    def forget(self) -> None:
+        """Empties both memos."""
+        if self.a.place:
+            self.a._forget()
+            self.b._forget()
+            give_back()
+
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
         """(ids and offsets of A, the same of B, which documents both give back) for texts that begin with their space."""
         a = self.a.ids(raw, off)
@@ -303,6 +310,7 @@ def swept(path_a: str, path_b: str, sweep_tokens: int = SWEEP_TOKENS):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, held, waiting = token_pair(path_a, path_b), [], 0
+        pair.forget()  # this stage needs the tokens' bytes only
         sweep = Sweep(pair.bytes_a.size, pair.bytes_b.size, TaskContext.get().partitionId())
         for batch in batches:
             if batch.num_rows:
@@ -368,7 +376,7 @@ def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n > UNFOLD // 4:
+        if n > UNFOLD:
             yield _packed(held)
             held, n = [], 0
     if n:
