@@ -7,7 +7,8 @@ peak is paired with the next few peaks nearby, and a pair becomes one number: th
 the high 32 bits (the time code), and both bins and their distance in time in the low ones.
 
 Defined results: null text is empty, its payload is 64 zero bytes; a silent payload has no pairs;
-equal texts give equal values.
+equal texts give equal values, also under repeated or null doc_ids; a very long text is a chunk and a file of its own; of peaks
+or bins of one height the lowest counts; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ rows are known candidates and skip the meeting), so a hot key's traffic is bound
 
 Defined results: null, empty or blank text has no shingles and is its own component; fewer words
 than n make one shingle; rows that share a doc_id are separate rows; a component's id is its least
-non-null doc_id.
+non-null doc_id; repeated rows are one class; a very long text is a chunk of its own and compared whole; a similarity that equals the
+threshold is a link; an empty table gives no rows; further columns are ignored (`keep_one_each` keeps them, whatever their names).
 """
 
 from __future__ import annotations

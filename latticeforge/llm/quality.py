@@ -6,7 +6,9 @@ rows, calibrated by temperature and compared with a fixed threshold.
 
 Defined results: null and empty text has zero words and fails the base rule; labels without a
 quality, or that contradict each other for a document, are not learned; without labelled rows of
-both classes the base rule alone decides; repeated rows are scored alike.
+both classes the base rule alone decides; repeated rows are scored alike; a null doc_id has no labels and is scored like any
+other; a probability that equals the threshold is kept; a very long text is a chunk of its own and is scored whole; an empty table
+gives no rows; further columns are ignored (`keep_good` keeps them, whatever their names).
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ partitioned by doc_id, so a part is a contiguous range and the global position o
 over part totals, one row a part.
 
 Defined results: null text counts as empty (just the end id); null doc_id sorts first; rows that
-share a doc_id stay rows of their own in order of their texts; an empty table gives no rows.
+share a doc_id stay rows of their own in order of their texts; a very long text is a chunk of its own, in as many words as it
+needs; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
