@@ -7,6 +7,7 @@ Neither is ever NULL.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -115,7 +116,8 @@ def encode_text(domain: Domain, text: Column) -> Column:
 
 
 def decode_code(domain: Domain, code: Column) -> Column:
-    known = F.try_element_at(F.array(*(F.lit(v) for v in domain.values)), code + 1) if domain.values else F.lit(None)
+    values = F.from_json(F.lit(json.dumps(domain.values)), "array<string>")  # one literal, however many values
+    known = F.try_element_at(values, code + 1) if domain.values else F.lit(None)
     return F.when(code == UNKNOWN, F.lit(UNKNOWN_TEXT)).when(code == CONFLICT, F.lit(CONFLICT_TEXT)).otherwise(F.when(code >= 0, known))
 
 

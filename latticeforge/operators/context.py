@@ -44,6 +44,35 @@ def label_counts(labels: LabelSchema, prop: Column) -> list[Column]:
     return [F.count_if(prop[i] == code).alias(count_name(i, code)) for i, d in enumerate(labels.domains) for code in (UNKNOWN, CONFLICT, *d.codes)]
 
 
+#: Codes up to so many are counted in a column each, more in a map from the codes that occur to their counts.
+DENSE_CODES = 64
+#: That map: (component << 32) + code + 2 -> count.
+HISTOGRAM = "label_counts"
+
+
+def payload_of(labels: LabelSchema) -> tuple[list[str], bool]:
+    """(columns that count label codes, whether a map counts them instead)."""
+    dense = sum(len(d.values) + 2 for d in labels.domains) <= DENSE_CODES
+    return (count_names(labels) if dense else []), not dense
+
+
+def code_key(component: Column | int, code: Column | int) -> Column:
+    component = component if isinstance(component, Column) else F.lit(component)
+    return F.call_function("shiftleft", component.cast("long"), F.lit(32)) + code + 2
+
+
+def merged_counts(rows: DataFrame, *keys) -> DataFrame:
+    """(keys, HISTOGRAM) from rows (keys, key, k): counts are summed as rows, on the map side first, and only then put into a map."""
+    summed = rows.groupBy(*keys, "key").agg(F.sum("k").alias("k"))
+    return summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias(HISTOGRAM))
+
+
+def label_rows(rows: DataFrame, *keys) -> DataFrame:
+    """(keys, component, key): a row for each component of each row's label."""
+    codes = rows.select(*keys, F.posexplode("prop").alias("component", "code"))
+    return codes.withColumn("key", code_key(F.col("component"), F.col("code"))).drop("code")
+
+
 def compress(context: Context, *keys: Column) -> DataFrame:
     """One row for each distinct intent (and key): words, n, label counts and the first row's id.
 
@@ -51,6 +80,12 @@ def compress(context: Context, *keys: Column) -> DataFrame:
     map side, so it shuffles distinct intents, not rows.
     """
     words = [c.alias(name) for c, name in zip(intents.to_words(F.col("intent"), context.n_attrs), intents.word_names(context.n_attrs))]
+    if payload_of(context.labels)[1]:
+        named = context.rows.select(*keys, *words, "row_id", "prop")
+        own = [c for c in named.columns if c not in ("row_id", "prop")]
+        counted = label_rows(named, *own, "row_id").groupBy(*own, "component", "key").agg(F.count("*").alias("k"), F.min("row_id").alias("first_row"))
+        n = F.sum(F.when(F.col("component") == 0, F.col("k")))
+        return counted.groupBy(*own).agg(n.alias("n"), F.min("first_row").alias("first_row"), F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias(HISTOGRAM))
     return context.rows.groupBy(*keys, *words).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), *label_counts(context.labels, F.col("prop")))
 
 

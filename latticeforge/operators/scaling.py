@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ..functions.labels import Domain, LabelSchema, checked
+from ..functions.labels import CONFLICT, CONFLICT_TEXT, UNKNOWN, UNKNOWN_TEXT, Domain, LabelSchema, checked, encode_text
 from ..shipping import ship_package
 from ..storage import stored
 from .context import Context
@@ -253,6 +253,15 @@ def encode(df: DataFrame, label_columns: list[str] | list[int], *, row_id: str =
             rows = rows.join(own, text == F.col(f"_v{i}"), "left")
             parts.append(F.array(F.col(f"_a{i}").cast("int")))
     intent = F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<int>")
-    prop = schema.encode_column([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels])
+    codes = []
+    for i, (name, domain) in enumerate(zip(labels, schema.domains)):
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        if len(domain.values) <= LITERAL_VALUES:
+            codes.append(encode_text(domain, text))
+            continue
+        table = df.sparkSession.createDataFrame([*((v, k) for k, v in enumerate(domain.values)), *((t, c) for t, c in ((UNKNOWN_TEXT, UNKNOWN), (CONFLICT_TEXT, CONFLICT)))], f"_l{i} string, _k{i} int")
+        rows = rows.join(table, text == F.col(f"_l{i}"), "left")  # a text outside the domain keeps null, and is refused below
+        codes.append(F.col(f"_k{i}"))
+    prop = F.array(*codes).cast("array<int>")
     out = rows.select(F.col(row_id).cast("long").alias("row_id"), intent.alias("intent"), prop.alias("prop"))
     return Context(checked(out) if labels else out, sum(c.size for c in coders), schema)

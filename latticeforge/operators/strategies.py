@@ -1,7 +1,7 @@
 """Merge strategies: from counts of label codes to one label, as column expressions.
 
-Every strategy works on n and the counts of each component's codes (see context.count_names), so a
-merge is a projection over sums that aggregate anywhere.  Ties in a mode go to the smallest code.
+Every strategy works on n and the counts of each component's codes, in columns or, for large domains, in a map of the
+codes that occur (see context.payload_of), so a merge is a projection over sums that aggregate anywhere.  Ties in a mode go to the smallest code.
 """
 
 from __future__ import annotations
@@ -11,55 +11,80 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.labels import CONFLICT, UNKNOWN, Domain, LabelSchema
-from .context import count_name
+from ..functions.labels import CONFLICT, UNKNOWN, LabelSchema
+from .context import HISTOGRAM, code_key, count_name, payload_of
 
 Strategy = Callable[[LabelSchema], Column]
 
 
-def _count(component: int, code: int) -> Column:
-    return F.col(count_name(component, code))
+class _Columns:
+    """Counts of label codes in a column each."""
 
+    def __init__(self, labels: LabelSchema) -> None:
+        self.codes = [(UNKNOWN, CONFLICT, *d.codes) for d in labels.domains]
 
-def _codes(domain: Domain) -> tuple[int, ...]:
-    return (UNKNOWN, CONFLICT, *domain.codes)
+    def count(self, i: int, code: int) -> Column:
+        return F.col(count_name(i, code))
 
+    def unanimous(self, i: int) -> Column:
+        """The one value that all known labels have; unknown if none is known."""
+        known = self.codes[i][1:]
+        held = reduce(lambda a, b: a + b, (F.when(self.count(i, c) > 0, 1).otherwise(0) for c in known))
+        out = F.when(held == 0, UNKNOWN).when((held > 1) | (self.count(i, CONFLICT) > 0), CONFLICT)
+        for c in known[1:]:
+            out = out.when(self.count(i, c) > 0, c)
+        return out.cast("int")
 
-def _unanimous(i: int, domain: Domain) -> Column:
-    """The one value that all known labels have; unknown if none is known."""
-    held = reduce(lambda a, b: a + b, (F.when(_count(i, c) > 0, 1).otherwise(0) for c in (CONFLICT, *domain.codes)))
-    out = F.when(held == 0, UNKNOWN).when((held > 1) | (_count(i, CONFLICT) > 0), CONFLICT)
-    for c in domain.codes:
-        out = out.when(_count(i, c) > 0, c)
-    return out.cast("int")
+    def mode(self, i: int) -> tuple[Column, Column]:
+        """(most frequent code, its count)."""
+        best = F.greatest(*(self.count(i, c) for c in self.codes[i]))
+        first, *others = self.codes[i]
+        out = F.when(self.count(i, first) == best, first)
+        for c in others:
+            out = out.when(self.count(i, c) == best, c)
+        return out.cast("int"), best
 
 
-def _mode(i: int, domain: Domain) -> tuple[Column, Column]:
-    """(most frequent code, its count)."""
-    best = F.greatest(*(_count(i, c) for c in _codes(domain)))
-    out = F.when(_count(i, UNKNOWN) == best, UNKNOWN).when(_count(i, CONFLICT) == best, CONFLICT)
-    for c in domain.codes:
-        out = out.when(_count(i, c) == best, c)
-    return out.cast("int"), best
+class _Map:
+    """Counts of the codes that occur, in one map."""
 
+    def count(self, i: int, code: int) -> Column:
+        return F.coalesce(F.try_element_at(F.col(HISTOGRAM), code_key(i, code)), F.lit(0))
 
-def _votes(i: int) -> Column:
+    def unanimous(self, i: int) -> Column:
+        known = F.filter(F.map_keys(HISTOGRAM), lambda k: (k > code_key(i, UNKNOWN)) & (k < code_key(i + 1, UNKNOWN)))
+        code = (F.get(known, F.lit(0)) - code_key(i, 0)).cast("int")
+        return F.when(F.size(known) == 0, UNKNOWN).when(F.size(known) > 1, CONFLICT).otherwise(code).cast("int")
+
+    def mode(self, i: int) -> tuple[Column, Column]:
+        own = F.filter(F.map_entries(HISTOGRAM), lambda e: (e["key"] >= code_key(i, UNKNOWN)) & (e["key"] < code_key(i + 1, UNKNOWN)))
+        best = F.array_max(F.transform(own, lambda e: F.struct(e["value"].alias("k"), (-e["key"]).alias("less"))))
+        return (-best["less"] - code_key(i, 0)).cast("int"), best["k"]
+
+
+def counts_of(labels: LabelSchema) -> _Columns | _Map:
+    return _Map() if payload_of(labels)[1] else _Columns(labels)
+
+
+def _votes(labels: LabelSchema) -> Column:
     """First value minus all others; unknown and conflict vote against."""
-    return 2 * _count(i, 0) - F.col("n")
+    return 2 * counts_of(labels).count(0, 0) - F.col("n")
 
 
 def no_counter_examples(labels: LabelSchema) -> Column:
     """Unanimity, component by component."""
-    return F.array(*(_unanimous(i, d) for i, d in enumerate(labels.domains)))
+    counts = counts_of(labels)
+    return F.array(*(counts.unanimous(i) for i in range(labels.width)))
 
 
 def voting_majority(labels: LabelSchema) -> Column:
     """Binary: votes beyond half of n; ordinal: the mode; several components: the mode of each."""
     if labels.width == 1 and labels.domains[0].binary:
         half = F.expr("n div 2")
-        v = _votes(0)
+        v = _votes(labels)
         return F.array(F.when(v > half, 0).when(v < -half, 1).otherwise(CONFLICT).cast("int"))
-    return F.array(*(_mode(i, d)[0] for i, d in enumerate(labels.domains)))
+    counts = counts_of(labels)
+    return F.array(*(counts.mode(i)[0] for i in range(labels.width)))
 
 
 def bounded_voting_majority(bound: int) -> Strategy:
@@ -70,9 +95,9 @@ def bounded_voting_majority(bound: int) -> Strategy:
             return voting_majority(labels)
         domain, n = labels.domains[0], F.col("n")
         if domain.binary:
-            v = _votes(0)
+            v = _votes(labels)
             return F.array(F.when(v > n - bound, 0).when(v < bound - n, 1).otherwise(CONFLICT).cast("int"))
-        code, times = _mode(0, domain)
+        code, times = counts_of(labels).mode(0)
         return F.array(F.when(n == 1, code).when(times > n - bound, code).otherwise(CONFLICT).cast("int"))
 
     return merge

@@ -64,3 +64,8 @@ GRADED = Source(
     "SELECT d.doc_id AS row_id, lang AS a0, source AS a1, CAST(least(n_chars div 500, 5) AS STRING) AS a2, CAST(quality AS STRING) AS l0, CAST(toxic AS STRING) AS l1 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
     "SELECT d.doc_id AS row_id, lang AS a0, source AS a1, CAST(least(n_chars // 500, 5) AS VARCHAR) AS a2, CAST(quality AS VARCHAR) AS l0, CAST(toxic AS VARCHAR) AS l1 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
 )
+#: A label with as many values as there are customers.
+BUYERS = Source(
+    ("orders",), ("a0", "a1"), ("l0",),
+    "SELECT o_orderkey AS row_id, o_orderpriority AS a0, concat('m', CAST(month(o_orderdate) AS STRING)) AS a1, CAST(o_custkey AS STRING) AS l0 FROM {orders}",
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .contexts import CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
+from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
 
 
 def _raw(source: Source) -> str:
@@ -74,6 +74,26 @@ def hypotheses(source: Source, *codes: str) -> str:
     return f"WITH RECURSIVE {context_ctes(source)}, {concept_ctes(source)}, y AS (SELECT *, {named} FROM x) SELECT {ids('m')} AS intent, {text} AS label, n AS support FROM y WHERE {some}"
 
 
+def many_labels(source: Source) -> str:
+    """The mode of a label with many values, ties to the first value."""
+    return f"""WITH RECURSIVE {context_ctes(source)},
+d AS (SELECT DISTINCT m FROM obj), c(m) AS (SELECT m FROM d UNION SELECT c.m & d.m FROM c, d),
+k AS (SELECT c.m, p0, count(*) AS k FROM c JOIN obj o ON (o.m & c.m) = c.m GROUP BY ALL),
+x AS (SELECT m, CAST(sum(k) AS BIGINT) AS n, arg_min(p0, p0 - k * 10000000) AS q FROM k GROUP BY m HAVING sum(k) >= 2)
+SELECT {ids('m')} AS intent, value AS label, n AS support FROM x JOIN codes ON comp = 0 AND code = q"""
+
+
+def extent_weights(source: Source) -> str:
+    return f"""WITH RECURSIVE {context_ctes(source)}, {concept_ctes(source)}
+SELECT {ids('x.m')} AS intent, CAST(attr_id AS INTEGER) AS attr_id, count(*) AS weight FROM x JOIN obj o ON (o.m & x.m) = x.m JOIN dict ON (o.m >> attr_id) & 1 = 1 GROUP BY x.m, attr_id"""
+
+
+def label_meets(source: Source) -> str:
+    met = lambda a, b: f"CAST(CASE WHEN {a} = -2 THEN {b} WHEN {b} = -2 THEN {a} WHEN {a} = {b} THEN {a} ELSE -1 END AS INTEGER)"
+    return f"""WITH {context_ctes(source)}, r AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN -2 ELSE p0 END AS s, CAST(list_min(list_filter(range(0, 63), lambda i: (m >> i) & 1 = 1)) % 2 AS INTEGER) AS t FROM obj)
+SELECT a.row_id, {met('a.s', 'b.s')} AS status, {met('a.t', 'b.t')} AS place FROM r a JOIN r b ON b.row_id = a.row_id + 1"""
+
+
 def classwise(source: Source) -> str:
     return f"""WITH RECURSIVE {context_ctes(source)},
 d AS (SELECT p0, m, count(*) AS n FROM obj GROUP BY ALL),
@@ -214,6 +234,14 @@ def oracles() -> dict[str, str]:
         "hyp_ordinal_mode": hypotheses(ORDERS, mode(0)),
         "hyp_ordinal_bounded": hypotheses(ORDERS, bounded_mode(150)),
         "hyp_composite": hypotheses(GRADED, mode(0), mode(1)),
+        "hyp_composite_bounded": hypotheses(GRADED, mode(0), mode(1)),
+        "hyp_many_labels": many_labels(BUYERS),
+        "extent_weights": extent_weights(ORDERS),
+        "label_meets": label_meets(ORDERS),
+        "label_descriptor": f"WITH {context_ctes(GRADED)} SELECT comp AS component, CASE WHEN count(*) = 2 THEN 'B' ELSE 'O' END AS kind, string_agg(value, '|' ORDER BY value) AS labels FROM codes GROUP BY comp",
+        "prediction_file": f"SELECT intent || ' | ' || label AS line FROM ({predict(EVENTS)})",
+        "csv_context": f"WITH {context_ctes(CUSTOMER)} SELECT {ids('m')} || ' | ' || {label_text(0, 'p0')} AS line FROM obj",
+        "csv_cells": "SELECT doc_id, coalesce(lang, '') AS lang, md5(coalesce(text, '')) AS text_md5 FROM documents",
         "mask_labels": f"WITH {context_ctes(GRADED)} SELECT row_id, {ids('m')} AS intent, '? ?' AS label FROM obj",
         "predict": predict(EVENTS),
         "predict_all_rows": predict_all_rows(EVENTS, 5),

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import intents
-from ..functions.labels import meet
+from ..functions.labels import LabelSchema, meet, meet_labels
 from ..operators import bagging as bagging_
 from ..operators import context as ctx
 from ..operators import evaluation, mining, prediction, sampling, scaling
-from ..sources import transactions
+from ..sources import tables, transactions
 from ..storage import scratch_path, stored
-from .contexts import CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
+from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,11 +87,26 @@ def root_concept(s: SparkSession, d: str) -> DataFrame:
 def closure_step(s: SparkSession, d: str) -> DataFrame:
     """The closure of every single attribute: children of the empty set, canonical or not."""
     context = EVENTS.context(s, d)
-    rows = ctx.compress(context)
-    names = intents.word_names(context.n_attrs)
-    exploded = rows.withColumn("attr_id", F.explode(intents.from_words([F.col(w) for w in names], context.n_attrs)))
-    closed = exploded.groupBy("attr_id").agg(*(F.bit_and(w).alias(w) for w in names), F.sum("n").alias("support"))
-    return closed.select("attr_id", intents.text(intents.from_words([F.col(w) for w in names], context.n_attrs)).alias("intent"), "support")
+    shape = mining.Shape(context.n_attrs, ())
+    zero = {x: F.lit(0).cast("long") for prefix in "bvp" for x in shape.words(prefix)}
+    extents = ctx.compress(context, F.lit("").alias("group")).withColumns(zero)
+    closed = mining.close_concepts(extents, shape)[1]
+    return closed.select(F.col("a").alias("attr_id"), intents.text(intents.from_words(shape.columns("d"), context.n_attrs)).alias("intent"), "support")
+
+
+def search_counters(s: SparkSession, d: str) -> DataFrame:
+    """What each search closes, fails and rules out on the same context."""
+    context = EVENTS.context(s, d)
+    context = context.with_rows(stored(context.rows, "encoded"))
+    found = [mining.counters(context, algorithm=a).select(F.lit(a).alias("algorithm"), "closures", "failures", "pruned") for a in ("cbo", "fcbo", "dynsort-cbo")]
+    return reduce(DataFrame.unionByName, found)
+
+
+def extent_weights(s: SparkSession, d: str) -> DataFrame:
+    context = ORDERS.context(s, d)
+    context = context.with_rows(stored(context.rows, "encoded"))
+    found = stored(mining.concepts(context).select("intent"), "concepts")
+    return mining.extent_weights(context, found).select(intents.text(F.col("intent")).alias("intent"), "attr_id", "weight")
 
 
 def mask_labels(s: SparkSession, d: str) -> DataFrame:
@@ -115,7 +131,9 @@ def predict_all_rows(s: SparkSession, d: str) -> DataFrame:
     context = context.with_rows(stored(context.rows, "encoded"))
     folded = context.rows.withColumn("fold", F.explode(F.array(*(F.lit(f) for f in range(5))))).where("fold <> row_id % 5")
     models = stored(bagging_.fold_models(context, folded), "models")
-    return _rows_text(context, prediction.predict(models, ctx.mask_labels(context), by=("fold",)).where("fold = row_id % 5"))
+    masked = ctx.mask_labels(context)
+    masked = masked.with_rows(masked.rows.withColumn("fold", (F.col("row_id") % 5).cast("int")))
+    return _rows_text(context, prediction.predict(models, masked, by=("fold",)))
 
 
 def evaluate(s: SparkSession, d: str) -> DataFrame:
@@ -151,6 +169,47 @@ def label_algebra(s: SparkSession, d: str) -> DataFrame:
     return a.select("a", "b", meet(F.col("a"), F.col("b")).alias("met"))
 
 
+def label_meets(s: SparkSession, d: str) -> DataFrame:
+    """The component-wise meet of every order's label (its status, its priority's place) with the next order's; some are unknown."""
+    context = ORDERS.context(s, d)
+    unknown = F.when(F.col("row_id") % 3 == 0, -2).otherwise(F.col("prop")[0])
+    rows = context.rows.select("row_id", F.array(unknown, F.get("intent", F.lit(0)) % 2).cast("array<int>").alias("label"))
+    others = rows.select((F.col("row_id") - 1).alias("row_id"), F.col("label").alias("other"))
+    met = meet_labels(F.col("label"), F.col("other"))
+    return rows.join(others, "row_id").select("row_id", met[0].alias("status"), met[1].alias("place"))
+
+
+def label_descriptor(s: SparkSession, d: str) -> DataFrame:
+    """The components of a label descriptor, built from the table's labels, written and parsed again."""
+    schema = LabelSchema.parse(GRADED.context(s, d).labels.descriptor())
+    rows = [(i, "B" if x.binary else "O", "|".join(x.values)) for i, x in enumerate(schema.domains)]
+    return s.createDataFrame(rows, "component int, kind string, labels string")
+
+
+def prediction_file(s: SparkSession, d: str) -> DataFrame:
+    """Writes predictions as a file, reads it back and gives its lines."""
+    path = scratch_path(s, "predictions")
+    test, found = _trained(s, d)
+    transactions.write(test.with_rows(found), path, ordered=True)
+    return transactions.lines(transactions.read(s, path)).select(F.col("value").alias("line"))
+
+
+def csv_context(s: SparkSession, d: str) -> DataFrame:
+    """Writes a table as CSV, reads and encodes it: the lines of its context."""
+    path = scratch_path(s, "csv")
+    CUSTOMER.table(s, d).select("l0", "a0", "a1").write.csv(path)
+    return transactions.lines(scaling.encode(tables.read_csv(s, path), [0])).select(F.col("value").alias("line"))
+
+
+def csv_cells(s: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes and line feeds through a CSV file that is read in splits."""
+    path = scratch_path(s, "csv")
+    rows = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
+    rows.write.option("escape", '"').option("quoteAll", True).csv(path)
+    back = tables.read_csv(s, path)
+    return back.select(F.col("_c0").cast("long").alias("doc_id"), F.col("_c1").alias("lang"), F.md5(F.col("_c2").cast("binary")).alias("text_md5"))
+
+
 def set_algebra(s: SparkSession, d: str) -> DataFrame:
     context = EVENTS.context(s, d)
     word = intents.to_words(F.col("intent"), context.n_attrs)[0]
@@ -192,6 +251,8 @@ def queries() -> dict[str, Query]:
         "attribute_order": attribute_order,
         "root_concept": root_concept,
         "closure_step": closure_step,
+        "search_counters": search_counters,
+        "extent_weights": extent_weights,
         "concepts_customer": _concepts(CUSTOMER),
         "concepts_events": _concepts(EVENTS),
         "concepts_lineitem": _concepts(LINEITEM),
@@ -205,6 +266,8 @@ def queries() -> dict[str, Query]:
         "hyp_ordinal_mode": _hypotheses(ORDERS, "votingMajority"),
         "hyp_ordinal_bounded": _hypotheses(ORDERS, "boundedVotingMajority:150"),
         "hyp_composite": _hypotheses(GRADED, "votingMajority"),
+        "hyp_composite_bounded": _hypotheses(GRADED, "boundedVotingMajority:3", "fcbo"),
+        "hyp_many_labels": _hypotheses(BUYERS, "votingMajority"),
         "mask_labels": mask_labels,
         "predict": predict,
         "predict_all_rows": predict_all_rows,
@@ -214,6 +277,11 @@ def queries() -> dict[str, Query]:
         "split": split,
         "hypothesis_sample": hypothesis_sample,
         "label_algebra": label_algebra,
+        "label_meets": label_meets,
+        "label_descriptor": label_descriptor,
         "set_algebra": set_algebra,
         "transaction_file": transaction_file,
+        "prediction_file": prediction_file,
+        "csv_context": csv_context,
+        "csv_cells": csv_cells,
     }

@@ -2,52 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
+
+def _file_order() -> WindowSpec:
+    """Splits in the order of files, and of places in a file; part files are ordered by their number."""
+    part = F.regexp_extract("_path", r"part-(\d+)[^/]*$", 1)
+    return W.orderBy(F.regexp_replace("_path", r"[^/]*$", ""), F.when(part != "", part.cast("long")), "_path", "_start")
 
-_CORRUPT = "_corrupt_record"
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan with their file, split and an id that rises within a split."""
+    path, start = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
+    return rows.select("*", path, start).withColumn("_id", F.monotonically_increasing_id())
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
     """`rows` of a file scan with row_id 0, 1, 2, ... in the order of files, and of rows in a file.
 
-    Spark deals large files out first, so ids given at the scan follow sizes, not names.  Part files are
-    ordered by their number.  Only one row a split is put in order in one task.
+    Spark deals large files out first, so ids given at the scan follow sizes, not names.  Only one row a split is put in
+    order in one task.
     """
     names = rows.columns
-    path, start = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
-    scanned = rows.select("*", path, start).withColumn("_id", F.monotonically_increasing_id())
+    scanned = _placed(rows)
     splits = scanned.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    part = F.regexp_extract("_path", r"part-(\d+)[^/]*$", 1)
-    order = W.orderBy(F.regexp_replace("_path", r"[^/]*$", ""), F.when(part != "", part.cast("long")), "_path", "_start")
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(_file_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
     return scanned.join(shift, ["_path", "_start"]).select((F.col("_id") + F.col("_shift")).alias("row_id"), *names)
 
 
-def _fields(record) -> F.Column:
+_QUOTED = r'(?:[^"]|"")*+'
+_CELLS = rf'(?:(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+#: Lines that end inside a quoted cell: of those that begin outside one, and of those that begin inside.
+_OPENS = rf'(?s)^{_CELLS}"{_QUOTED}$'
+_STAYS = rf'(?s)^{_QUOTED}(?:"[^,]*+,{_CELLS}"{_QUOTED})?$'
+
+
+def _state_before(order: WindowSpec) -> tuple[Column, Column]:
+    """(what the steps before fix, or null; how often they change over after that) for steps that fix, keep or change a state.
+
+    Steps have columns `fixed` (0, 1 or null) and `swap` (0 or 1); the order's partition is their sequence.
+    """
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    swaps = F.coalesce(F.sum("swap").over(before), F.lit(0))
+    at_fixed = F.last("fixed_at", ignorenulls=True).over(before)
+    return F.last("fixed", ignorenulls=True).over(before), swaps - F.coalesce(at_fixed, F.lit(0))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, record): the CSV records of files in their order; quoted cells may hold line feeds.
+
+    Files are read by lines, in splits.  A line either changes from outside a quoted cell to inside or back, keeps that, or fixes it;
+    running states within splits and over the few splits of a file tell where each line begins.  Only lines of
+    records over several lines are shuffled.  A record that is one empty cell is skipped; a record that is still open ends with its file.
+    """
+    lines = _placed(spark.read.option("lineSep", "\n").text(path))
+    opens, stays = F.col("value").rlike(_OPENS).cast("int"), F.col("value").rlike(_STAYS).cast("int")
+    lines = lines.withColumn("fixed", F.when(opens == stays, opens)).withColumn("swap", (opens > stays).cast("int"))
+    order = W.partitionBy("_path", "_start").orderBy("_id")
+    swaps_upto = F.sum("swap").over(order.rowsBetween(W.unboundedPreceding, 0))
+    lines = lines.withColumn("fixed_at", F.when(F.col("fixed").isNotNull(), swaps_upto))
+    own_fixed, own_swaps = _state_before(order)
+    lines = lines.withColumns({"own_fixed": own_fixed, "own_swaps": own_swaps})
+
+    splits = lines.groupBy("_path", "_start").agg(F.max_by("fixed", F.when(F.col("fixed").isNotNull(), F.col("_id"))).alias("last"), F.sum("swap").alias("swap"), F.max("fixed_at").alias("at"))
+    after = F.col("swap") - F.coalesce("at", F.lit(0))
+    splits = splits.select("_path", "_start", F.when(F.col("last").isNotNull(), (F.col("last") + after) % 2).alias("fixed"), F.when(F.col("last").isNull(), F.col("swap")).otherwise(0).alias("swap"))
+    inside_file = W.partitionBy("_path").orderBy("_start")  # a row for each split
+    splits = splits.withColumn("fixed_at", F.when(F.col("fixed").isNotNull(), F.sum("swap").over(inside_file.rowsBetween(W.unboundedPreceding, 0))))
+    fixed, swaps = _state_before(inside_file)
+    begins = splits.select("_path", "_start", ((F.coalesce(fixed, F.lit(0)) + swaps) % 2).alias("begins"))
+
+    inside = (F.coalesce("own_fixed", "begins") + F.col("own_swaps")) % 2
+    lines = lines.drop("fixed", "swap", "fixed_at").withColumns({"opens": opens, "stays": stays}).join(begins, ["_path", "_start"]).withColumn("inside", inside)
+    ends = F.when(F.col("inside") == 0, F.col("opens")).otherwise(F.col("stays")) == 0
+    bare = F.regexp_replace("value", r"\r$", "")
+    lines = lines.withColumn("alone", (F.col("inside") == 0) & ends)
+    lines = lines.where(~(F.col("alone") & bare.isin("", '""'))).select("_path", "_start", "_id", "value", "alone", (1 - F.col("inside")).alias("first"))
+    counts = lines.groupBy("_path", "_start").agg(F.sum("first").alias("n"))
+    before = F.coalesce(F.sum("n").over(_file_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_path", "_start", before.alias("before"))
+    number = F.sum("first").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1
+    lines = lines.withColumn("number", number).join(counts, ["_path", "_start"]).withColumn("row_id", (F.col("before") + F.col("number")).cast("long"))
+    single = lines.where("alone").select("row_id", bare.alias("record"))
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_id", "value")))
+    several = lines.where("not alone").groupBy("row_id").agg(parts.alias("parts"))
+    joined = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), r"\r$", "")
+    return single.unionByName(several.select("row_id", joined.alias("record")))
+
+
+def _fields(record: Column) -> Column:
     """How many cells a CSV record has: separators outside quotes, and one."""
-    return F.length(F.regexp_replace(F.regexp_replace(record, r'"(?:[^"]|"")*+"', ""), "[^,]", "")) + 1
+    return F.length(F.regexp_replace(F.regexp_replace(record, rf'(?s)(?<![^,])"{_QUOTED}"?', ""), "[^,]", "")) + 1
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """row_id (in file order) and text columns _c0, _c1, ...; quotes double inside quotes; blank lines are skipped.
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """row_id (in file order) and text columns _c0, _c1, ...; quotes double inside quotes.
 
-    Quoted cells may hold line feeds; with multi_line a file is read by one task, so a large table should
-    come in many files, or without line feeds in cells and with multi_line off.  There are as many
-    columns as the widest row has cells; cells that a shorter row lacks count as empty.
+    Quoted cells may hold line feeds, wherever files are split.  A line that is one empty cell is skipped, one of spaces is a cell; an empty
+    file has no rows.  There are as many columns as the widest row has cells; cells that a shorter row lacks count as empty.
     """
-    options = {"header": False, "quote": '"', "escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": _CORRUPT}
-    first = len(spark.read.options(**options).csv(path).columns)
-    read = lambda n: spark.read.options(**options).schema(", ".join(f"_c{i} string" for i in range(n)) + f", {_CORRUPT} string").csv(path)
-    whole = F.length(F.concat_ws("", *(f"_c{i}" for i in range(first))))  # a record is judged by the columns that are read
-    odd = read(first).where(F.col(_CORRUPT).isNotNull()).agg(F.max(_fields(F.col(_CORRUPT))), F.max(whole))
-    width = max(first, odd.head()[0] or 0)
+    found = records(spark, path)
+    width = found.agg(F.max(_fields(F.col("record")))).head()[0] or 1
     names = [f"_c{i}" for i in range(width)]
-    seen = read(width)
-    if width == 1:
-        seen = seen.where(F.coalesce("_c0", F.lit("")) != "")
-    return in_file_order(seen.drop(_CORRUPT)).select("row_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in names))
+    cells = F.from_csv("record", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return found.select("row_id", cells.alias("cells")).select("row_id", *(F.coalesce(F.col("cells")[n], F.lit("")).alias(n) for n in names))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: str | None = None) -> DataFrame:

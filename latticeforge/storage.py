@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,47 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_FALLBACK).rstrip("/")
 
 
+_opened: ContextVar[list[str] | None] = ContextVar("opened", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (opened := _opened.get()) is not None:
+        opened.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes all scratch tables made inside on leaving, after success and after errors; results must be written before."""
+    token = _opened.set(opened := [])
+    try:
+        yield
+    finally:
+        _opened.reset(token)
+        for path in opened:
+            delete(spark, path)
+
+
+class Journal:
+    """Named tables in a folder that outlive a run: what an earlier run has stored whole is read, not made again.
+
+    A table counts once Spark's committer has written its _SUCCESS file; the leavings of a run that ended within a table are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _there(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if not self._there(f"{path}/_SUCCESS"):
+            delete(self.spark, path)
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
