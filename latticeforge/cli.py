@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession, functions as F
 from .operators import context as ctx
 from .operators import evaluation, mining, prediction, sampling, scaling
 from .sources import tables, transactions
+from .storage import Journal, copied, scratch, stored
 
 log = logging.getLogger("latticeforge")
 
@@ -42,10 +43,10 @@ def parser() -> argparse.ArgumentParser:
         (("--seed",), {"type": int, "default": 0}),
         (("--data-structure",), {"default": "dense", "choices": mining.DATA_STRUCTURES}),
     )
-    command("encode", (("-p", "--properties"), {"type": int, "nargs": "*", "default": [], "help": "0-based label columns"}), (("input",), {}), (("output",), {"nargs": "?"}), help="CSV to a context")
+    command("encode", (("-p", "--properties"), {"type": int, "nargs": "*", "default": [], "help": "0-based label columns"}), (("input",), {"help": "a CSV file or folder, or - for standard input"}), (("output",), {"nargs": "?"}), help="CSV to a context")
     command("split", (("ratio",), {}), (("input",), {}), (("first",), {}), (("second",), {}), (("--seed",), {"type": int, "default": 0}), help="a random split a:b")
     command("tau", (("input",), {}), (("output",), {}), help="mask labels")
-    command("generate", *mining_options, (("-t", "--threads"), {"type": int, "help": "accepted; Spark's own settings decide"}), (("-m", "--model"), {}), (("input",), {}), help="mine hypotheses")
+    command("generate", *mining_options, (("-t", "--threads"), {"type": int, "help": "accepted; Spark's own settings decide"}), (("-m", "--model"), {}), (("--journal",), {"help": "a folder that keeps what is mined; a run that was ended goes on from there"}), (("--counters",), {"action": "store_true", "help": "log closures and failed tests"}), (("input",), {}), help="mine hypotheses")
     command("predict", (("-m", "--model"), {"required": True}), (("-o", "--output"), {"required": True}), (("--merge",), {"default": "votingMajority"}), (("tau",), {}), help="classify examples")
     command("jsm", *mining_options, (("--merge",), {"default": "votingMajority"}), (("-o", "--output"), {"required": True}), (("training",), {}), (("tau",), {}), help="mine and classify in one run")
     command("stats", (("validation",), {}), (("prediction",), {}), help="compare with the truth")
@@ -66,7 +67,8 @@ def _numbered(context: ctx.Context, rows) -> ctx.Context:
 
 
 def _generate(args, context: ctx.Context):
-    return mining.generate(context, strategy=args.strategy, min_support=args.support, algorithm=args.algorithm, data_structure=args.data_structure, sampling=args.sampling, seed=args.seed)
+    keep = Journal(context.rows.sparkSession, args.journal).keep if args.journal else stored
+    return mining.generate(context, keep=keep, strategy=args.strategy, min_support=args.support, algorithm=args.algorithm, data_structure=args.data_structure, sampling=args.sampling, seed=args.seed)
 
 
 def induce_and_predict(train: ctx.Context, test: ctx.Context, *, merge: str = "votingMajority", **options):
@@ -79,9 +81,10 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(message)s", stream=sys.stderr)
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("latticeforge").getOrCreate()
-    with timed(args.command):
+    with timed(args.command), scratch(spark):
         if args.command == "encode":
-            _put(scaling.encode(tables.read_csv(spark, args.input), args.properties), args.output, ordered=True)
+            path = copied(spark, sys.stdin.buffer) if args.input == "-" else args.input
+            _put(scaling.encode(tables.read_csv(spark, path), args.properties), args.output, ordered=True)
         elif args.command == "split":
             first, second = sampling.split(transactions.read(spark, args.input), *sampling.parse_ratio(args.ratio), seed=args.seed)
             _put(first, args.first, ordered=True)
@@ -90,6 +93,8 @@ def main(argv: list[str] | None = None) -> int:
             _put(ctx.mask_labels(transactions.read(spark, args.input)), args.output, ordered=True)
         elif args.command == "generate":
             context = transactions.read(spark, args.input)
+            if args.counters:
+                log.info("%s", mining.counters(context, min_support=args.support, algorithm=args.algorithm).head().asDict())
             _put(_numbered(context, _generate(args, context).select("intent", "prop")), args.model)
         elif args.command == "predict":
             model, examples = transactions.read(spark, args.model), transactions.read(spark, args.tau)

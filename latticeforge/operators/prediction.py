@@ -34,11 +34,6 @@ def rarest_two(hypotheses: DataFrame, examples: DataFrame, h: list[str]) -> Data
     return two.select(*h, F.get("order", F.lit(0))["a"].alias("first"), F.coalesce(F.get("order", F.lit(1))["a"], F.lit(REST)).alias("second"))
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """A table of keys, marked for broadcast if it is counted to be small."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def cells(model: DataFrame, examples: DataFrame, n_attrs: int, own: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
     """(hypotheses, examples, key columns): both sides dealt to cells; every hypothesis inside an example shares just one cell with it.
 
@@ -49,7 +44,8 @@ def cells(model: DataFrame, examples: DataFrame, n_attrs: int, own: tuple[str, .
     hyps = model.where(F.size("intent") > 0).select("*", *words)
     hyps = hyps.join(rarest_two(hyps, examples, h), h)
     many = hyps.groupBy("first").agg(F.count("*").alias("k")).where(F.col("k") > PAIR_FROM).select("first", F.lit(True).alias("paired"))
-    many = _small(many)
+    few = model.count() <= BROADCAST_KEYS  # there are no more keys than hypotheses
+    many = F.broadcast(many) if few else many
     hyps = hyps.join(many, "first", "left").withColumn("second", F.when(F.col("paired"), F.col("second")).otherwise(F.lit(REST))).drop("paired", "intent")
     probes = examples.select(*own, *e, "intent", F.explode("intent").alias("first")).join(many, "first", "left")
     others = F.concat(F.array(F.lit(REST)), F.filter("intent", lambda a: a != F.col("first")))
@@ -57,7 +53,8 @@ def cells(model: DataFrame, examples: DataFrame, n_attrs: int, own: tuple[str, .
     key = [*own, "first", "second"]
     # Keys of both sides with their sizes; an example's pair that no hypothesis is filed under ends here.
     keys = hyps.groupBy(*key).agg(F.count("*").alias("n_h")).join(probes.groupBy(*key).agg(F.count("*").alias("n_e")), key)
-    keys = _small(keys.select(*key, F.ceil(F.col("n_h") / CELL_HYPOTHESES).cast("int").alias("parts_h"), F.ceil(F.col("n_e") / CELL_EXAMPLES).cast("int").alias("parts_e")))
+    keys = keys.select(*key, F.ceil(F.col("n_h") / CELL_HYPOTHESES).cast("int").alias("parts_h"), F.ceil(F.col("n_e") / CELL_EXAMPLES).cast("int").alias("parts_e"))
+    keys = F.broadcast(keys) if few else keys
     part = lambda names, n: F.pmod(F.xxhash64(*names), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hyps = hyps.join(keys, key).withColumn("part_h", part([*h, F.to_json(F.struct("prop"))], "parts_h")).withColumn("part_e", upto("parts_e"))

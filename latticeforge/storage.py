@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +72,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def copied(spark: SparkSession, source: BinaryIO, piece: int = 1 << 20) -> str:
+    """Copies a stream of bytes, such as standard input, to a scratch file piece by piece."""
+    path = scratch_path(spark, "input")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        while part := source.read(piece):
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -185,3 +186,60 @@ def test_a_cluster_needs_a_shared_folder(spark):
         storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
     assert storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))) == storage.LOCAL_FALLBACK
     assert storage.shared_dir(spark).startswith("file:/")
+
+
+@pytest.mark.parametrize("split_bytes", [None, 150, 1000])
+def test_csv_in_splits_equals_the_library(spark, tmp_path, split_bytes):
+    """Cells with quotes, separators and line feeds, in several files, however the files are split."""
+    import csv
+    import io
+
+    rng = random.Random(3)
+    cells = ["a", "", "x,y", "l\nm", 'q"r', '""', "\n\n", " ", 'é\nü"', ",", "\r\n"]
+    want = []
+    for name in ("part-2.csv", "part-10.csv", "part-30.csv"):
+        rows = [[rng.choice(cells) for _ in range(rng.randint(1, 4))] for _ in range(60)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\r\n" if name == "part-10.csv" else "\n").writerows(rows)
+        (tmp_path / name).write_bytes(out.getvalue().encode())
+        want += [tuple(r + [""] * (4 - len(r))) for r in rows if r != [""]]
+    keys = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": 0}
+    try:
+        for key, value in keys.items() if split_bytes else ():
+            spark.conf.set(key, str(value))
+        got = [tuple(r) for r in tables.read_csv(spark, str(tmp_path)).orderBy("row_id").collect()]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == [(k, *r) for k, r in enumerate(want)]
+
+
+def test_csv_blank_lines_open_records_and_empty_files(spark, tmp_path):
+    read = lambda name: [tuple(r)[1:] for r in tables.read_csv(spark, str(tmp_path / name)).orderBy("row_id").collect()]
+    (tmp_path / "blank.csv").write_text('a,b\n   \nc,d\n\n""\n5" pipe,x\n')
+    assert read("blank.csv") == [("a", "b"), ("   ", ""), ("c", "d"), ('5" pipe', "x")]
+    (tmp_path / "open.csv").write_text('a\n"b\nc,d\n')
+    assert read("open.csv")[0] == ("a",) and len(read("open.csv")) == 2
+    (tmp_path / "empty.csv").write_text("")
+    assert read("empty.csv") == [] and tables.read_csv(spark, str(tmp_path / "empty.csv")).columns == ["row_id", "_c0"]
+
+
+def test_command_line_reads_standard_input_and_goes_on(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+    from types import SimpleNamespace
+
+    from latticeforge.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    text = "".join(f"{'yes' if k % 3 else 'no'},a{k % 3},b{k % 2}\n" for k in range(30))
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(text.encode())))
+    main(["encode", "-", str(tmp_path / "all"), "-p", "0"])
+    capsys.readouterr()
+    outs = []
+    for _ in range(2):
+        main(["generate", "--journal", (tmp_path / "journal").as_uri(), "--counters", str(tmp_path / "all")])
+        outs.append(sorted(capsys.readouterr().out.splitlines()))
+    assert outs[0] == outs[1] and len(outs[0]) > 1 and os.path.exists(tmp_path / "journal" / "rows" / "_SUCCESS")
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before  # no scratch table is left
