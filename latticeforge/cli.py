@@ -57,8 +57,8 @@ def _put(context: ctx.Context, path: str | None, *, ordered: bool = False) -> No
     if path:
         transactions.write(context, path, ordered=ordered)
         return
-    print(context.header)
-    for row in transactions.lines(context, context.rows.orderBy("row_id") if ordered else None).toLocalIterator():
+    print(context.header_row().head().value)
+    for row in (transactions.ordered_lines(context) if ordered else transactions.lines(context)).toLocalIterator():
         print(row.value)
 
 

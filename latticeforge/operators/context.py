@@ -22,13 +22,24 @@ class Context:
     def header(self) -> str:
         return f"# attributes: {self.n_attrs} properties: {self.labels.descriptor()}"
 
+    def header_row(self) -> DataFrame:
+        """(value): the header as one row, also where label domains are tables."""
+        descriptor = self.labels.descriptor_row(self.rows.sparkSession)
+        return descriptor.select(F.concat(F.lit(f"# attributes: {self.n_attrs} properties: "), "descriptor").alias("value"))
+
+    @property
+    def summary(self) -> str:
+        """The header, with the size of a domain in place of more than a few values."""
+        parts = (d.descriptor() if d.table is None and d.size <= 20 else f"{d.size} values" for d in self.labels.domains)
+        return repr(f"# attributes: {self.n_attrs} properties: {''.join(parts)}")
+
     def with_rows(self, rows: DataFrame) -> Context:
         return Context(rows, self.n_attrs, self.labels)
 
 
 def require_same_header(a: Context, b: Context) -> None:
-    if a.header != b.header:
-        raise LabelError(f"incompatible contexts: {a.header!r} and {b.header!r}")
+    if a.n_attrs != b.n_attrs or not a.labels.same(b.labels):
+        raise LabelError(f"incompatible contexts: {a.summary} and {b.summary}")
 
 
 def count_name(component: int, code: int) -> str:
@@ -52,7 +63,7 @@ HISTOGRAM = "label_counts"
 
 def payload_of(labels: LabelSchema) -> tuple[list[str], bool]:
     """(columns that count label codes, whether a map counts them instead)."""
-    dense = sum(len(d.values) + 2 for d in labels.domains) <= DENSE_CODES
+    dense = sum(d.size + 2 for d in labels.domains) <= DENSE_CODES
     return (count_names(labels) if dense else []), not dense
 
 

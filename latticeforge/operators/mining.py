@@ -472,4 +472,4 @@ def sample_hypotheses(model: DataFrame, fraction: float, seed: int = 0) -> DataF
 
 def model_text(model: DataFrame, context: Context) -> DataFrame:
     """(intent, label, support) as text."""
-    return model.select(intents.text(F.col("intent")).alias("intent"), context.labels.decode_column(F.col("prop")).alias("label"), "support")
+    return context.labels.with_text(model).select(intents.text(F.col("intent")).alias("intent"), "label", "support")

@@ -3,7 +3,8 @@
 A column becomes numeric when every distinct text reads as a double and there are more than ten of
 them, else nominal.  Nominal values get one attribute each, in text order; numeric columns are cut
 by recursive bisection of their histogram into overlapping intervals, a value setting the attributes
-of the interval it lies in and of the one before.
+of the interval it lies in and of the one before.  Thresholds and the values of large label domains are
+tables throughout: they are found, numbered and met with the rows by Spark, and never held by the driver or a plan.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ..functions.labels import CONFLICT, CONFLICT_TEXT, UNKNOWN, UNKNOWN_TEXT, Domain, LabelSchema, checked, encode_text
+from ..functions.labels import CONFLICT_TEXT, UNKNOWN_TEXT, Domain, LabelSchema, checked
 from ..shipping import ship_package
 from ..storage import stored
 from .context import Context
@@ -28,6 +29,8 @@ CANDIDATES, SIDE_MIN = 25, 10
 TASK_VALUES = 1_000_000
 #: Dictionaries up to so many values become map literals; larger ones are joined.
 LITERAL_VALUES = 2_000
+#: Segments of a level up to so many are sent to all tasks with their pivots (some 25 doubles each); more are joined.
+BROADCAST_SEGMENTS = 10_000
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,13 +60,18 @@ def nominal_dictionary(values: DataFrame, *, ranges: bool = False) -> DataFrame:
     if not ranges:
         rank = F.row_number().over(W.partitionBy("col_idx").orderBy("value")) - 1
         return values.select("col_idx", "value", rank.alias("rank"))
-    cut = values.select("col_idx", "value").repartitionByRange("col_idx", "value").withColumn("part", F.spark_partition_id())
+    return ranked_by_ranges(values.select("col_idx", "value"), "value", "rank")
+
+
+def ranked_by_ranges(rows: DataFrame, column: str, rank: str) -> DataFrame:
+    """(col_idx, column, rank): places from 0 in each column's ascending order; a task ranks one range of it."""
+    cut = rows.select("col_idx", column).repartitionByRange("col_idx", column).withColumn("part", F.spark_partition_id())
     cut = stored(cut, "ranges")  # a range must not move once it is counted
     sizes = cut.groupBy("col_idx", "part").agg(F.count("*").alias("k"))
     before = F.sum("k").over(W.partitionBy("col_idx").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("col_idx", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("col_idx", "part").orderBy("value")) - 1
-    return cut.select("col_idx", "part", "value", own.alias("own")).join(sizes, ["col_idx", "part"]).select("col_idx", "value", (F.col("before") + F.col("own")).cast("int").alias("rank"))
+    own = F.row_number().over(W.partitionBy("col_idx", "part").orderBy(column)) - 1
+    return cut.select("col_idx", "part", column, own.alias("own")).join(sizes, ["col_idx", "part"]).select("col_idx", column, (F.col("before") + F.col("own")).cast("int").alias(rank))
 
 
 def bisect(values: np.ndarray, weights: np.ndarray) -> list[float]:
@@ -102,20 +110,23 @@ def bisect(values: np.ndarray, weights: np.ndarray) -> list[float]:
     return out
 
 
-def first_split(histogram: DataFrame) -> DataFrame:
-    """(col_idx, candidate, pivot): the first bisection of each numeric column, by distributed counts."""
-    ends = histogram.groupBy("col_idx").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+def first_split(histogram: DataFrame, keys: tuple[str, ...] = ("col_idx",), *, small: bool = True) -> DataFrame:
+    """(keys, candidate, pivot): the first bisection of each numeric column or segment of one, by distributed counts.
+
+    `small` tells that there are few enough of them to send their pivots to all tasks.
+    """
+    ends = histogram.groupBy(*keys).agg(F.min("v").alias("first"), F.max("v").alias("last"))
     i = F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))).alias("candidate")
-    pivots = ends.select("col_idx", "first", "last", i).withColumn("pivot", F.col("first") + F.col("candidate") * ((F.col("last") - F.col("first")) / CANDIDATES))
+    pivots = ends.select(*keys, "first", "last", i).withColumn("pivot", F.col("first") + F.col("candidate") * ((F.col("last") - F.col("first")) / CANDIDATES))
     pivots = pivots.where(~F.isnan("pivot"))  # between infinities; nothing lies below such a one
-    ladder = pivots.groupBy("col_idx").agg(F.array_sort(F.collect_list(F.struct("candidate", "pivot"))).alias("ladder"))
-    pivots = ladder.select("col_idx", F.posexplode("ladder").alias("step", "p")).select("col_idx", "step", "p.candidate", "p.pivot")
+    ladder = pivots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("candidate", "pivot"))).alias("ladder"))
+    pivots = ladder.select(*keys, F.posexplode("ladder").alias("step", "p")).select(*keys, "step", "p.candidate", "p.pivot")
     place = F.size(F.filter("ladder", lambda p: p["pivot"] <= F.col("v")))  # steps that leave v on the right
-    binned = histogram.join(F.broadcast(ladder), "col_idx").groupBy("col_idx", place.alias("place")).agg(F.sum("n").alias("n"))
+    binned = histogram.join(F.broadcast(ladder) if small else ladder, list(keys)).groupBy(*keys, place.alias("place")).agg(F.sum("n").alias("n"))
     left = F.sum(F.when(F.col("place") <= F.col("step"), F.col("n")).otherwise(0))
-    scored = pivots.join(binned, "col_idx").groupBy("col_idx", "candidate", "pivot").agg(left.alias("l"), F.sum("n").alias("t"))
+    scored = pivots.join(binned, list(keys)).groupBy(*keys, "candidate", "pivot").agg(left.alias("l"), F.sum("n").alias("t"))
     balance = F.col("l").cast("double") * (F.col("t") - F.col("l")).cast("double")
-    return scored.groupBy("col_idx").agg(F.max_by(F.struct("candidate", "pivot"), F.struct(balance, -F.col("candidate"))).alias("best")).select("col_idx", "best.candidate", "best.pivot")
+    return scored.groupBy(*keys).agg(F.max_by(F.struct("candidate", "pivot"), F.struct(balance, -F.col("candidate"))).alias("best")).select(*keys, "best.candidate", "best.pivot")
 
 
 def numeric_histogram(values: DataFrame) -> DataFrame:
@@ -131,47 +142,79 @@ def number_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _segment_thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("v")
-    return pd.DataFrame({"col_idx": [pdf["col_idx"].iloc[0]], "thresholds": [bisect(pdf["v"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64))]})
+    cuts = bisect(pdf["v"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64))
+    return pd.DataFrame({"col_idx": np.full(len(cuts), pdf["col_idx"].iloc[0], np.int32), "threshold": cuts})
 
 
-def numeric_thresholds(histogram: DataFrame, *, task_values: int = TASK_VALUES) -> dict[int, list[float]]:
-    """Ascending thresholds of each column.
+def threshold_table(histogram: DataFrame, *, task_values: int = TASK_VALUES) -> DataFrame:
+    """(col_idx, place, threshold): the ascending thresholds of each column, numbered from 0.
 
-    Segments with more distinct values than a task takes are cut by distributed counts until all fit.
+    Segments with more distinct values than a task takes are cut by distributed counts, all of a level at once, until
+    every one fits; a column without rows has no thresholds.  Levels are stored, and the driver sees only how many
+    segments are still too large.
     """
-    ship_package(histogram.sparkSession)
-    histogram = stored(histogram, "histogram")
-    cuts: dict[int, list[float]] = {}
-    sizes = {r.col_idx: r.k for r in histogram.groupBy("col_idx").agg(F.count("*").alias("k")).collect()}
-    segments = [(c, None, None, k) for c, k in sizes.items()]
-    ready: list[tuple[int, float | None, float | None]] = []
-    while segments:
-        c, low, high, k = segments.pop()
-        if k <= task_values:
-            ready.append((c, low, high))
-            continue
-        own = _within(histogram, c, low, high)
-        best = first_split(own).head()
-        ends = own.agg(F.min("v"), F.max("v")).head()
-        pivot = best.pivot if best is not None else float("nan")
-        sides = own.agg(F.count_if(F.col("v") < pivot), F.count_if(F.col("v") >= pivot)).head()
-        if best is None or not (sides[0] and sides[1]):  # no candidate splits the segment
-            cuts.setdefault(c, []).append((ends[0] + ends[1]) / 2)
-            continue
-        cuts.setdefault(c, []).append(pivot)
-        segments += [(c, a, b, n) for a, b, n in ((low, pivot, sides[0]), (pivot, high, sides[1])) if n >= SIDE_MIN]
     spark = histogram.sparkSession
-    parts = spark.createDataFrame([(i, c, lo if lo is not None else float("-inf"), hi if hi is not None else float("inf"), hi is None) for i, (c, lo, hi) in enumerate(ready)], "segment int, col_idx int, lo double, hi double, last boolean")
-    rows = histogram.join(F.broadcast(parts), "col_idx").where("v >= lo and (v < hi or last)").select("segment", "col_idx", "v", "n")
-    for r in rows.groupBy("segment", "col_idx").applyInPandas(lambda key, pdf: _segment_thresholds(pdf), "col_idx int, thresholds array<double>").collect():
-        cuts.setdefault(r.col_idx, []).extend(float("nan") if t is None else t for t in r.thresholds)  # pandas' nulls
-    return {c: np.sort(t).tolist() for c, t in cuts.items()}
+    ship_package(spark)
+    key = ["col_idx", "segment"]
+    rows = stored(histogram.select("col_idx", F.lit("").alias("segment"), "v", "n"), "histogram")
+    found, ready = [], []
+    while True:
+        sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("k"), F.min("v").alias("first"), F.max("v").alias("last")), "sizes")
+        many = sizes.where(F.col("k") > task_values)
+        n_many = many.count()
+        if not n_many:
+            ready.append(rows)
+            break
+        ready.append(rows.join(many, key, "left_anti"))
+        large = rows.join(many.select(*key), key, "left_semi")
+        best = first_split(large, tuple(key), small=n_many <= BROADCAST_SEGMENTS).select(*key, "pivot")
+        best = stored(best, "pivots")
+        left = large.join(best, key).where(F.col("v") < F.col("pivot")).groupBy(*key).agg(F.count("*").alias("l"))
+        sides = many.join(best, key, "left").join(left, key, "left").withColumn("l", F.coalesce("l", F.lit(0)))
+        sides = stored(sides.withColumn("splits", (F.col("l") > 0) & (F.col("l") < F.col("k"))), "sides")
+        middle = (F.col("first") + F.col("last")) / 2  # where no candidate splits the segment
+        found.append(sides.select("col_idx", F.when(F.col("splits"), F.col("pivot")).otherwise(middle).alias("threshold")))
+        goes_left = F.col("v") < F.col("pivot")
+        kept = F.when(goes_left, F.col("l")).otherwise(F.col("k") - F.col("l")) >= SIDE_MIN
+        cut = large.join(sides.where("splits").select(*key, "pivot", "k", "l"), key).where(kept)
+        rows = stored(cut.select("col_idx", F.concat("segment", F.when(goes_left, F.lit("l")).otherwise(F.lit("r"))).alias("segment"), "v", "n"), "histogram")
+    whole = ready[0]
+    for more in ready[1:]:
+        whole = whole.union(more)
+    out = whole.groupBy(*key).applyInPandas(_segment_thresholds, "col_idx int, threshold double").withColumn("threshold", F.coalesce("threshold", F.lit(float("nan"))))  # pandas' nulls
+    for more in found:
+        out = out.union(more)
+    return ranked_by_ranges(out, "threshold", "place").select("col_idx", "place", "threshold")
+
+
+def numeric_thresholds(histogram: DataFrame, *, task_values: int = TASK_VALUES) -> dict[int, list[float]]:
+    """The threshold table as lists, for a look at a few columns; scaling itself works on the table."""
+    out: dict[int, list[float]] = {}
+    for r in threshold_table(histogram, task_values=task_values).orderBy("col_idx", "place").collect():
+        out.setdefault(r.col_idx, []).append(r.threshold)
+    return out
+
 
+def interval_dictionary(values: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(col_idx, value, rank, both): the interval of each numeric text, and whether the interval before is set as well.
 
-def _within(histogram: DataFrame, c: int, low: float | None, high: float | None) -> DataFrame:
-    out = histogram.where(F.col("col_idx") == c)
-    out = out if low is None else out.where(F.col("v") >= low)
-    return out if high is None else out.where(F.col("v") < high)
+    Texts and thresholds are merged by ranges of numbers: a text looks back for the last threshold that is not above it, and
+    where its range has none, the ranges before tell how many there were.
+    """
+    at = F.col("value").try_cast("double")
+    events = values.select("col_idx", at.alias("x"), F.lit(0).alias("kind"), "value", F.lit(None).cast("int").alias("place"))
+    events = events.union(thresholds.select("col_idx", F.col("threshold").alias("x"), F.lit(1), F.lit(None).cast("string"), "place"))
+    cut = stored(events.repartitionByRange("col_idx", "x").withColumn("part", F.spark_partition_id()), "intervals")  # equal numbers share a range
+    ends = cut.groupBy("col_idx", "part").agg(F.max("place").alias("top"))
+    before = F.max("top").over(W.partitionBy("col_idx").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("col_idx", "part", (F.coalesce(before, F.lit(-1)) + 1).alias("earlier"))
+    order = W.partitionBy("col_idx", "part").orderBy("x", F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)  # a threshold stands before the texts that equal it
+    last = F.last("place", ignorenulls=True).over(order)
+    cut_at = F.last(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(order)
+    swept = cut.withColumns({"last": last, "cut_at": cut_at}).where("kind = 0").join(ends, ["col_idx", "part"])
+    met = F.coalesce(F.col("cut_at") == F.col("x"), F.lit(False))
+    below = F.when(met, F.col("last")).otherwise(F.coalesce(F.col("last") + 1, F.col("earlier")))
+    return swept.select("col_idx", "value", below.alias("rank"), ((below > 0) & ~met).alias("both"))
 
 
 def numeric_ids(value: Column, thresholds: list[float], offset: int) -> Column:
@@ -194,19 +237,26 @@ class NominalColumn:
 @dataclass(frozen=True)
 class NumericColumn:
     offset: int
-    size: int
-    thresholds: tuple[float, ...]
+    size: int  # one more than there are thresholds
 
 
 def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn | NumericColumn], DataFrame]:
-    """The coder of each column, offsets running in column order; and the nominal dictionary."""
+    """The coder of each column, offsets running in column order; and the dictionary (col_idx, value, rank, both).
+
+    A text sets the attribute of its rank and, with `both`, the one before.
+    """
     values = stored(distribution(df, columns), "distribution")
     kinds = {r.col_idx: r for r in column_kinds(values).collect()}  # one row a column
     numeric = [i for i, k in kinds.items() if k.numeric]
-    thresholds = numeric_thresholds(numeric_histogram(values.where(F.col("col_idx").isin(numeric)))) if numeric else {}
     nominal = [k.n_values for k in kinds.values() if not k.numeric]
-    dictionary = nominal_dictionary(values.where(~F.col("col_idx").isin(numeric)) if numeric else values, ranges=max(nominal, default=0) > TASK_VALUES)
-    if max(nominal, default=0) > LITERAL_VALUES:  # joined once for each such column
+    dictionary = nominal_dictionary(values.where(~F.col("col_idx").isin(numeric)) if numeric else values, ranges=max(nominal, default=0) > TASK_VALUES).withColumn("both", F.lit(False))
+    steps: dict[int, int] = {}
+    if numeric:
+        own = values.where(F.col("col_idx").isin(numeric))
+        thresholds = stored(threshold_table(numeric_histogram(own)), "thresholds")
+        steps = {r.col_idx: r.k for r in thresholds.groupBy("col_idx").agg(F.count("*").alias("k")).collect()}  # one row a column
+        dictionary = dictionary.union(interval_dictionary(own, thresholds))
+    if numeric or max(nominal, default=0) > LITERAL_VALUES:  # joined once for each such column
         dictionary = stored(dictionary, "dictionary")
     small = [i for i, k in kinds.items() if not k.numeric and k.n_values <= LITERAL_VALUES]
     held: dict[int, list[str]] = {i: [] for i in small}
@@ -215,8 +265,8 @@ def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn |
     coders: list[NominalColumn | NumericColumn] = []
     offset = 0
     for i in range(len(columns)):
-        if i in thresholds:
-            coders.append(NumericColumn(offset, len(thresholds[i]) + 1, tuple(thresholds[i])))
+        if i in numeric:
+            coders.append(NumericColumn(offset, steps.get(i, 0) + 1))
         else:
             size = kinds[i].n_values if i in kinds else 0
             coders.append(NominalColumn(offset, size, tuple(held[i]) if i in held else (() if i not in kinds else None)))
@@ -224,44 +274,52 @@ def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn |
     return coders, dictionary
 
 
-def fit_labels(df: DataFrame, columns: list[str]) -> LabelSchema:
+def label_domains(values: DataFrame, columns: list[int], *, held: int = LITERAL_VALUES) -> dict[int, Domain]:
+    """The domain of each column of label texts (col_idx, value): held in full up to `held` values, else a table (code, value)."""
+    known = stored(values.where(~F.col("value").isin(UNKNOWN_TEXT, CONFLICT_TEXT)).distinct(), "labels")
+    sizes = {r.col_idx: r.k for r in known.groupBy("col_idx").agg(F.count("*").alias("k")).collect()}  # one row a column
+    large = [i for i in columns if sizes.get(i, 0) > max(held, 2)]
+    texts: dict[int, list[str]] = {i: [] for i in columns}
+    for r in known.where(~F.col("col_idx").isin(large)).collect() if large else known.collect():  # at most `held` a column
+        texts[r.col_idx].append(r.value)
+    out = {i: Domain.of(texts[i]) for i in columns}
+    if large:
+        ranked = nominal_dictionary(known.where(F.col("col_idx").isin(large)), ranges=max(sizes[i] for i in large) > TASK_VALUES)
+        ranked = stored(ranked.select("col_idx", F.col("rank").alias("code"), "value"), "domains")
+        out |= {i: Domain((), False, ranked.where(F.col("col_idx") == i).select("code", "value"), sizes[i]) for i in large}
+    return out
+
+
+def fit_labels(df: DataFrame, columns: list[str], *, held: int = LITERAL_VALUES) -> LabelSchema:
     """The domain of each label column."""
-    found: dict[int, list[str]] = {i: [] for i in range(len(columns))}
-    for r in distribution(df, columns).select("col_idx", "value").collect() if columns else []:  # the label texts
-        found[r.col_idx].append(r.value)
-    return LabelSchema(tuple(Domain.of(found[i]) for i in range(len(columns))))
+    if not columns:
+        return LabelSchema(())
+    found = label_domains(distribution(df, columns).select("col_idx", "value"), list(range(len(columns))), held=held)
+    return LabelSchema(tuple(found[i] for i in range(len(columns))))
+
 
+def encode(df: DataFrame, label_columns: list[str] | list[int], *, row_id: str = "row_id", attribute_columns: list[str] | None = None, held_labels: int = LITERAL_VALUES) -> Context:
+    """Scales a table into a context.  All columns but row_id and the labels become attributes.
 
-def encode(df: DataFrame, label_columns: list[str] | list[int], *, row_id: str = "row_id", attribute_columns: list[str] | None = None) -> Context:
-    """Scales a table into a context.  All columns but row_id and the labels become attributes."""
+    A label domain beyond `held_labels` values is a table that is joined; a label text outside its domain fails.
+    """
     names = [c for c in df.columns if c != row_id]
     labels = [names[c] if isinstance(c, int) else c for c in label_columns]
     columns = attribute_columns if attribute_columns is not None else [c for c in names if c not in labels]
     coders, dictionary = fit_columns(df, columns)
-    schema = fit_labels(df, labels)
+    schema = fit_labels(df, labels, held=held_labels)
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     rows = df
     parts = []
     for i, (name, coder) in enumerate(zip(columns, coders)):
-        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        if isinstance(coder, NumericColumn):
-            parts.append(numeric_ids(F.col(name).try_cast("double"), list(coder.thresholds), coder.offset))
-        elif coder.values is not None:
-            place = F.array_position(F.array(*(F.lit(v) for v in coder.values)), text)
+        if isinstance(coder, NominalColumn) and coder.values is not None:
+            place = F.array_position(F.array(*(F.lit(v) for v in coder.values)), text(name))
             parts.append(F.array((place + (coder.offset - 1)).cast("int")))
-        else:
-            own = dictionary.where(F.col("col_idx") == i).select(F.col("value").alias(f"_v{i}"), (F.col("rank") + coder.offset).alias(f"_a{i}"))
-            rows = rows.join(own, text == F.col(f"_v{i}"), "left")
-            parts.append(F.array(F.col(f"_a{i}").cast("int")))
-    intent = F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<int>")
-    codes = []
-    for i, (name, domain) in enumerate(zip(labels, schema.domains)):
-        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        if len(domain.values) <= LITERAL_VALUES:
-            codes.append(encode_text(domain, text))
             continue
-        table = df.sparkSession.createDataFrame([*((v, k) for k, v in enumerate(domain.values)), *((t, c) for t, c in ((UNKNOWN_TEXT, UNKNOWN), (CONFLICT_TEXT, CONFLICT)))], f"_l{i} string, _k{i} int")
-        rows = rows.join(table, text == F.col(f"_l{i}"), "left")  # a text outside the domain keeps null, and is refused below
-        codes.append(F.col(f"_k{i}"))
-    prop = F.array(*codes).cast("array<int>")
-    out = rows.select(F.col(row_id).cast("long").alias("row_id"), intent.alias("intent"), prop.alias("prop"))
+        own = dictionary.where(F.col("col_idx") == i).select(F.col("value").alias(f"_v{i}"), (F.col("rank") + coder.offset).cast("int").alias(f"_a{i}"), F.col("both").alias(f"_b{i}"))
+        rows = rows.join(own, text(name) == F.col(f"_v{i}"), "left")
+        parts.append(F.when(F.col(f"_b{i}"), F.array(F.col(f"_a{i}") - 1, F.col(f"_a{i}"))).otherwise(F.array(F.col(f"_a{i}"))))
+    intent = F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<int>")
+    rows = rows.select(F.col(row_id).cast("long").alias("row_id"), intent.alias("intent"), *(text(c).alias(f"_label{i}") for i, c in enumerate(labels)))
+    out = schema.with_codes(rows, [F.col(f"_label{i}") for i in range(len(labels))]).select("row_id", "intent", "prop")
     return Context(checked(out) if labels else out, sum(c.size for c in coders), schema)

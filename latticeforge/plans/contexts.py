@@ -69,3 +69,8 @@ BUYERS = Source(
     ("orders",), ("a0", "a1"), ("l0",),
     "SELECT o_orderkey AS row_id, o_orderpriority AS a0, concat('m', CAST(month(o_orderdate) AS STRING)) AS a1, CAST(o_custkey AS STRING) AS l0 FROM {orders}",
 )
+#: Two numeric columns, which are cut into intervals.
+PRICES = Source(
+    ("lineitem",), ("a0", "a1"), ("l0",),
+    "SELECT l_orderkey * 100 + l_linenumber AS row_id, CAST(l_quantity AS STRING) AS a0, CAST(l_extendedprice AS STRING) AS a1, l_returnflag AS l0 FROM {lineitem}",
+)

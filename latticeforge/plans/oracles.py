@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
+from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, PRICES, Source
 
 
 def _raw(source: Source) -> str:
@@ -176,6 +176,20 @@ SELECT col_idx, CAST(row_number() OVER (PARTITION BY col_idx ORDER BY threshold)
 FROM (SELECT col_idx, CASE WHEN k <= 2 OR balance = 0 THEN (a + b) / 2 ELSE cut END AS threshold FROM ({best.format(segments="s")}))"""
 
 
+def encode_numeric(source: Source, columns: list[tuple[str, str]]) -> str:
+    """Rows by the intervals of their numbers: that of the last threshold below, and the one before unless a threshold is met."""
+    n = len(columns)
+    sizes = ", ".join(f"(SELECT count(*) + 1 FROM t WHERE col_idx = {i}) AS s{i}" for i in range(n))
+    offset = lambda i: " + ".join(f"s{j}" for j in range(i)) or "0"
+    joins = " ".join(f"JOIN k k{i} ON k{i}.col_idx = {i} AND k{i}.v = CAST(r.a{i} AS DOUBLE)" for i in range(n))
+    texts = " || ' ' || ".join(f"CASE WHEN k{i}.both THEN CAST({offset(i)} + k{i}.below - 1 AS VARCHAR) || ' ' ELSE '' END || CAST({offset(i)} + k{i}.below AS VARCHAR)" for i in range(n))
+    values = " UNION ".join(f"SELECT {i} AS col_idx, CAST(a{i} AS DOUBLE) AS v FROM raw" for i in range(n))
+    return f"""WITH raw AS ({_raw(source)}), t AS ({numeric_thresholds(columns)}), s AS (SELECT {sizes}), v AS ({values}),
+k AS (SELECT v.col_idx, v.v, coalesce(b.place + 1, 0) AS below, b.place IS NOT NULL AND e.place IS NULL AS both
+      FROM v ASOF LEFT JOIN t b ON b.col_idx = v.col_idx AND v.v > b.threshold LEFT JOIN t e ON e.col_idx = v.col_idx AND e.threshold = v.v)
+SELECT r.row_id, {texts} AS intent, r.l0 AS label FROM raw r, s {joins}"""
+
+
 def bagging(source: Source, folds: int, seed: int | None = None) -> str:
     """Folds by row_id modulo their number or, with a seed, independent samples of n div folds rows."""
     parts = []
@@ -239,6 +253,12 @@ def oracles() -> dict[str, str]:
         "extent_weights": extent_weights(ORDERS),
         "label_meets": label_meets(ORDERS),
         "label_descriptor": f"WITH {context_ctes(GRADED)} SELECT comp AS component, CASE WHEN count(*) = 2 THEN 'B' ELSE 'O' END AS kind, string_agg(value, '|' ORDER BY value) AS labels FROM codes GROUP BY comp",
+        "encode_numeric": encode_numeric(PRICES, [("lineitem", "l_quantity"), ("lineitem", "l_extendedprice")]),
+        "label_codes": f"WITH {context_ctes(BUYERS)} SELECT row_id, p0 AS code, {label_text(0, 'p0')} AS label FROM obj",
+        "label_table_file": f"WITH {context_ctes(BUYERS)} SELECT {ids('m')} || ' | ' || value AS line FROM obj JOIN codes ON comp = 0 AND code = p0",
+        "command_induce": f"SELECT intent || ' | ' || label AS line FROM ({predict(EVENTS)})",
+        "command_generate_predict": evaluate(EVENTS),
+        "command_mask": f"WITH {context_ctes(GRADED)} SELECT {ids('m')} || ' | ? ?' AS line FROM obj",
         "prediction_file": f"SELECT intent || ' | ' || label AS line FROM ({predict(EVENTS)})",
         "csv_context": f"WITH {context_ctes(CUSTOMER)} SELECT {ids('m')} || ' | ' || {label_text(0, 'p0')} AS line FROM obj",
         "csv_cells": "SELECT doc_id, coalesce(lang, '') AS lang, md5(coalesce(text, '')) AS text_md5 FROM documents",

@@ -9,19 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import intents
 from ..functions.labels import LabelSchema, meet, meet_labels
+from .. import cli
 from ..operators import bagging as bagging_
 from ..operators import context as ctx
 from ..operators import evaluation, mining, prediction, sampling, scaling
 from ..sources import tables, transactions
 from ..storage import scratch_path, stored
-from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, Source
+from .contexts import BUYERS, CUSTOMER, EVENTS, GRADED, LINEITEM, ORDERS, PART, PRICES, Source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _rows_text(context: ctx.Context, rows: DataFrame | None = None) -> DataFrame:
     rows = context.rows if rows is None else rows
-    return rows.select("row_id", intents.text(F.col("intent")).alias("intent"), context.labels.decode_column(F.col("prop")).alias("label"))
+    return context.labels.with_text(rows).select("row_id", intents.text(F.col("intent")).alias("intent"), "label")
 
 
 def _concepts(source: Source) -> Query:
@@ -67,8 +68,7 @@ def numeric_first_split(s: SparkSession, d: str) -> DataFrame:
 
 def numeric_thresholds(s: SparkSession, d: str) -> DataFrame:
     table = s.read.parquet(f"{d}/lineitem.parquet")
-    found = scaling.numeric_thresholds(scaling.number_histogram(table, ["l_quantity", "l_extendedprice"]))
-    return s.createDataFrame([(c, k, float(t)) for c, ts in found.items() for k, t in enumerate(ts)], "col_idx int, place int, threshold double")
+    return scaling.threshold_table(scaling.number_histogram(table, ["l_quantity", "l_extendedprice"]))
 
 
 def numeric_scale(s: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,19 @@ def numeric_scale(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_id"), intents.text(ids).alias("intent"))
 
 
+def label_codes(s: SparkSession, d: str) -> DataFrame:
+    """Every order's label by a domain that stays a table: its code, and its text from the code."""
+    context = scaling.encode(BUYERS.table(s, d), ["l0"], attribute_columns=list(BUYERS.attributes), held_labels=0)
+    return context.labels.with_text(context.rows).select("row_id", F.col("prop")[0].alias("code"), "label")
+
+
+def label_table_file(s: SparkSession, d: str) -> DataFrame:
+    """Writes a context whose label domain is a table as a file, reads its long header back and gives its lines."""
+    path = scratch_path(s, "labels")
+    transactions.write(scaling.encode(BUYERS.table(s, d), ["l0"], attribute_columns=list(BUYERS.attributes), held_labels=0), path)
+    return transactions.lines(transactions.read(s, path, header_chars=40, held=0)).select(F.col("value").alias("line"))
+
+
 def attribute_order(s: SparkSession, d: str) -> DataFrame:
     return ctx.reorder_by_support(EVENTS.context(s, d))[1]
 
@@ -141,6 +154,40 @@ def evaluate(s: SparkSession, d: str) -> DataFrame:
     return evaluation.evaluate(test, test.with_rows(found))
 
 
+def _files(s: SparkSession, d: str) -> tuple[str, str, str]:
+    """Transaction files of the rows to learn from, the others and the others without labels."""
+    context = EVENTS.context(s, d)
+    rows = stored(context.rows, "encoded")
+    train, test = context.with_rows(rows.where("row_id % 5 <> 0")), context.with_rows(rows.where("row_id % 5 = 0"))
+    out = tuple(scratch_path(s, x) for x in ("train", "test", "tau"))
+    for c, path in zip((train, test, ctx.mask_labels(test)), out):
+        transactions.write(c, path, ordered=True)
+    return out
+
+
+def command_induce(s: SparkSession, d: str) -> DataFrame:
+    """The command that mines and classifies in one run, on files: the lines it writes."""
+    (train, _, tau), out = _files(s, d), scratch_path(s, "predictions")
+    cli.main(["jsm", "-o", out, train, tau])
+    return transactions.lines(transactions.read(s, out)).select(F.col("value").alias("line"))
+
+
+def command_generate_predict(s: SparkSession, d: str) -> DataFrame:
+    """The commands that mine a model file and classify with it, and the comparison of both files line by line."""
+    (train, test, tau), model, out = _files(s, d), scratch_path(s, "model"), scratch_path(s, "predictions")
+    cli.main(["generate", "-m", model, train])
+    cli.main(["predict", "-m", model, "-o", out, tau])
+    return evaluation.evaluate(transactions.read(s, test), transactions.read(s, out))
+
+
+def command_mask(s: SparkSession, d: str) -> DataFrame:
+    """The command that masks labels: the lines it writes."""
+    source, out = scratch_path(s, "context"), scratch_path(s, "masked")
+    transactions.write(GRADED.context(s, d), source)
+    cli.main(["tau", source, out])
+    return transactions.lines(transactions.read(s, out)).select(F.col("value").alias("line"))
+
+
 def bagging(s: SparkSession, d: str) -> DataFrame:
     context = CUSTOMER.context(s, d)
     context = context.with_rows(stored(context.rows, "encoded"))
@@ -246,6 +293,9 @@ def queries() -> dict[str, Query]:
         "numeric_first_split": numeric_first_split,
         "numeric_thresholds": numeric_thresholds,
         "numeric_scale": numeric_scale,
+        "encode_numeric": lambda s, d: _rows_text(PRICES.context(s, d)),
+        "label_codes": label_codes,
+        "label_table_file": label_table_file,
         "density": lambda s, d: ctx.density(EVENTS.context(s, d)),
         "attribute_support": lambda s, d: ctx.attribute_support(EVENTS.context(s, d)),
         "attribute_order": attribute_order,
@@ -282,6 +332,9 @@ def queries() -> dict[str, Query]:
         "set_algebra": set_algebra,
         "transaction_file": transaction_file,
         "prediction_file": prediction_file,
+        "command_induce": command_induce,
+        "command_generate_predict": command_generate_predict,
+        "command_mask": command_mask,
         "csv_context": csv_context,
         "csv_cells": csv_cells,
     }

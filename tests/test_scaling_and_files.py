@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from latticeforge.cli import main
 from latticeforge.functions.labels import LabelError
-from latticeforge.operators import scaling
+from latticeforge.operators import mining, scaling
+from latticeforge.operators.context import require_same_header
 from latticeforge.sources import tables, transactions
 
 
@@ -243,3 +244,63 @@ def test_command_line_reads_standard_input_and_goes_on(spark, tmp_path, capsys,
         outs.append(sorted(capsys.readouterr().out.splitlines()))
     assert outs[0] == outs[1] and len(outs[0]) > 1 and os.path.exists(tmp_path / "journal" / "rows" / "_SUCCESS")
     assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before  # no scratch table is left
+
+
+@pytest.mark.parametrize("task_values", [10**6, 30])
+def test_intervals_from_tables_equal_plain_counts(spark, task_values):
+    """Merged by ranges, every text gets the interval that counting thresholds gives; equal doubles may be several texts."""
+    rng = random.Random(task_values)
+    texts = {c: sorted({str(rng.randrange(-400, 400) / 4) for _ in range(300)} | {"1", "1.0", "1e0", "-0.0"}) for c in (0, 3)}
+    values = spark.createDataFrame([(c, t, 1 + i % 4) for c, ts in texts.items() for i, t in enumerate(ts)], "col_idx int, value string, cnt long")
+    table = scaling.threshold_table(scaling.numeric_histogram(values), task_values=task_values)
+    assert "createDataFrame" not in table._jdf.queryExecution().toString() and "LocalTableScan" not in table._jdf.queryExecution().toString()
+    cuts = {}
+    for r in table.orderBy("col_idx", "place").collect():
+        assert r.place == len(cuts.setdefault(r.col_idx, []))
+        cuts[r.col_idx].append(r.threshold)
+    for c, ts in texts.items():
+        held = {}
+        for i, t in enumerate(ts):
+            held[float(t)] = held.get(float(t), 0) + 1 + i % 4
+        assert cuts[c] == halves(sorted(held), [held[v] for v in sorted(held)])
+    got = {(r.col_idx, r.value): (r["rank"], r.both) for r in scaling.interval_dictionary(values, table).collect()}
+    want = {}
+    for c, ts in texts.items():
+        for t in ts:
+            below = sum(x < float(t) for x in cuts[c])
+            want[c, t] = (below, below > 0 and float(t) not in cuts[c])
+    assert got == want
+    assert scaling.interval_dictionary(values.limit(0), table.limit(0)).count() == 0
+
+
+def test_label_tables_do_what_held_domains_do(spark, tmp_path):
+    rows = [(i, f"v{i % 3}", ("?", "*", "", *(f"l{k}" for k in range(40)))[i * 7 % 43], "xy"[i % 2]) for i in range(129)]
+    df = spark.createDataFrame(rows, "row_id long, a string, l string, m string")
+    df = df.withColumn("l", F.when(F.col("l") == "", F.lit("l3")).otherwise(F.col("l")))
+    held, large = scaling.encode(df, ["l", "m"]), scaling.encode(df, ["l", "m"], held_labels=5)
+    assert [d.table is None for d in held.labels.domains] == [True, True] and [d.table is None for d in large.labels.domains] == [False, True]
+    assert large.labels.domains[0].size == 40 and large.header_row().head().value == held.header == held.header_row().head().value
+    assert held.rows.orderBy("row_id").collect() == large.rows.orderBy("row_id").collect()
+    text = lambda c: sorted(r.value for r in transactions.lines(c).collect())
+    assert text(held) == text(large) and {r.split(" | ")[1].split(" ")[0] for r in text(large)} >= {"?", "*", "l3"}
+    path = str(tmp_path / "c")
+    transactions.write(large, path, ordered=True)
+    back = transactions.read(spark, path, header_chars=20, held=5)
+    assert back.labels.domains[0].table is not None and back.labels.domains[1].binary and text(back) == text(held)
+    assert [r.prop for r in back.rows.orderBy("row_id").collect()] == [r.prop for r in held.rows.orderBy("row_id").collect()]
+    require_same_header(back, large)
+    with pytest.raises(LabelError, match="incompatible"):
+        require_same_header(large, scaling.encode(df.withColumn("l", F.regexp_replace("l", "^l", "k")), ["l", "m"], held_labels=5))
+    for held_model in (mining.generate(c, strategy="votingMajority") for c in (held,)):
+        want = sorted(tuple(r) for r in mining.model_text(held_model, held).collect())
+    assert sorted(tuple(r) for r in mining.model_text(mining.generate(large, strategy="votingMajority"), large).collect()) == want
+    with open(tmp_path / "unknown.txt", "w") as out:
+        out.write("# attributes: 1 properties: O(" + ",".join(f"l{k}" for k in range(40)) + ")\n0 | l99\n")
+    with pytest.raises(Exception, match="domain"):
+        transactions.read(spark, str(tmp_path / "unknown.txt"), header_chars=20, held=5).rows.collect()
+    with open(tmp_path / "bad.txt", "w") as out:
+        out.write("# attributes: 1 properties: B(" + ",".join(f"l{k}" for k in range(40)) + ")\n0 | l9\n")
+    with pytest.raises(LabelError, match="two values"):
+        transactions.read(spark, str(tmp_path / "bad.txt"), header_chars=20, held=5)
+    with pytest.raises(LabelError, match="cannot hold"):
+        transactions.write(scaling.encode(df.withColumn("l", F.concat("l", F.lit(",z"))), ["l"], held_labels=5), str(tmp_path / "no"))
