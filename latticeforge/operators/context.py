@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import intents
 from ..functions.labels import CONFLICT, UNKNOWN, LabelError, LabelSchema
+from ..storage import stored
+from .ranking import ranked_by_ranges
+
+#: Attributes up to so many are renumbered by one row of their numbers that all tasks get.
+BROADCAST_ATTRS = 100_000
 
 
 @dataclass(frozen=True)
@@ -115,11 +120,22 @@ def mask_labels(context: Context) -> Context:
     return context.with_rows(context.rows.withColumn("prop", context.labels.unknown()))
 
 
-def reorder_by_support(context: Context) -> tuple[Context, DataFrame]:
-    """Renumbers attributes rarest first (ties by id); also the map (attr_id, new_id). Result-neutral."""
+def reorder_by_support(context: Context, *, broadcast_attrs: int = BROADCAST_ATTRS) -> tuple[Context, DataFrame]:
+    """Renumbers attributes rarest first (ties by id); also the map (attr_id, new_id). Result-neutral.
+
+    Up to `broadcast_attrs` attributes their new numbers are sent to all tasks as one row; more are numbered by ranges and
+    joined to the attributes of the rows, equal intents once.
+    """
     ids = context.rows.sparkSession.range(context.n_attrs).select(F.col("id").cast("int").alias("attr_id"))
-    ranked = ids.join(attribute_support(context), "attr_id", "left").select(F.struct(F.coalesce("support", F.lit(0)).alias("support"), "attr_id").alias("a"))
-    order = ranked.agg(F.array_sort(F.collect_list("a")).alias("order"))  # one row, one entry an attribute
+    ranked = ids.join(attribute_support(context), "attr_id", "left").select(F.coalesce("support", F.lit(0)).alias("support"), "attr_id")
+    if context.n_attrs > broadcast_attrs:
+        mapping = stored(ranked_by_ranges(ranked, None, ["support", "attr_id"], "new_id").select("attr_id", "new_id"), "order")
+        distinct = context.rows.select("intent").distinct()
+        cells = distinct.select("intent", F.explode("intent").alias("attr_id")).join(mapping, "attr_id")
+        renamed = cells.groupBy("intent").agg(F.array_sort(F.collect_list("new_id")).alias("moved"))
+        moved = context.rows.join(renamed, "intent", "left")
+        return context.with_rows(moved.withColumn("intent", F.coalesce("moved", "intent")).select(context.rows.columns)), mapping
+    order = ranked.select(F.struct("support", "attr_id").alias("a")).agg(F.array_sort(F.collect_list("a")).alias("order"))  # one row, one entry an attribute
     mapping = order.select(F.posexplode("order").alias("new_id", "a")).select("a.attr_id", "new_id")
     lookup = mapping.agg(F.array_sort(F.collect_list(F.struct("attr_id", "new_id")))["new_id"].alias("lookup"))
     moved = context.rows.join(F.broadcast(lookup))  # with that one row

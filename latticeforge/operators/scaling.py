@@ -20,6 +20,7 @@ from ..functions.labels import CONFLICT_TEXT, UNKNOWN_TEXT, Domain, LabelSchema,
 from ..shipping import ship_package
 from ..storage import stored
 from .context import Context
+from .ranking import ranked_by_ranges
 
 #: A numeric column has more distinct texts than this.
 NUMERIC_MIN = 10
@@ -60,18 +61,7 @@ def nominal_dictionary(values: DataFrame, *, ranges: bool = False) -> DataFrame:
     if not ranges:
         rank = F.row_number().over(W.partitionBy("col_idx").orderBy("value")) - 1
         return values.select("col_idx", "value", rank.alias("rank"))
-    return ranked_by_ranges(values.select("col_idx", "value"), "value", "rank")
-
-
-def ranked_by_ranges(rows: DataFrame, column: str, rank: str) -> DataFrame:
-    """(col_idx, column, rank): places from 0 in each column's ascending order; a task ranks one range of it."""
-    cut = rows.select("col_idx", column).repartitionByRange("col_idx", column).withColumn("part", F.spark_partition_id())
-    cut = stored(cut, "ranges")  # a range must not move once it is counted
-    sizes = cut.groupBy("col_idx", "part").agg(F.count("*").alias("k"))
-    before = F.sum("k").over(W.partitionBy("col_idx").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select("col_idx", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("col_idx", "part").orderBy(column)) - 1
-    return cut.select("col_idx", "part", column, own.alias("own")).join(sizes, ["col_idx", "part"]).select("col_idx", column, (F.col("before") + F.col("own")).cast("int").alias(rank))
+    return ranked_by_ranges(values, "col_idx", ["value"], "rank")
 
 
 def bisect(values: np.ndarray, weights: np.ndarray) -> list[float]:
@@ -184,7 +174,7 @@ def threshold_table(histogram: DataFrame, *, task_values: int = TASK_VALUES) ->
     out = whole.groupBy(*key).applyInPandas(_segment_thresholds, "col_idx int, threshold double").withColumn("threshold", F.coalesce("threshold", F.lit(float("nan"))))  # pandas' nulls
     for more in found:
         out = out.union(more)
-    return ranked_by_ranges(out, "threshold", "place").select("col_idx", "place", "threshold")
+    return ranked_by_ranges(out, "col_idx", ["threshold"], "place").select("col_idx", "place", "threshold")
 
 
 def numeric_thresholds(histogram: DataFrame, *, task_values: int = TASK_VALUES) -> dict[int, list[float]]:

@@ -233,6 +233,7 @@ def oracles() -> dict[str, str]:
         "density": f"WITH {e} SELECT 100.0 * sum(bit_count(m)) / (count(*) * (SELECT count(*) FROM dict)) AS density FROM obj",
         "attribute_support": f"WITH {e} SELECT CAST(attr_id AS INTEGER) AS attr_id, count(*) AS support FROM cells JOIN dict USING (col_idx, value) GROUP BY attr_id",
         "attribute_order": f"WITH {e}, s AS (SELECT attr_id, count(*) AS k FROM cells JOIN dict USING (col_idx, value) GROUP BY attr_id) SELECT CAST(attr_id AS INTEGER) AS attr_id, CAST(row_number() OVER (ORDER BY k, attr_id) - 1 AS INTEGER) AS new_id FROM s",
+        "reordered_rows": f"WITH {e}, s AS (SELECT attr_id, count(*) AS k FROM cells JOIN dict USING (col_idx, value) GROUP BY attr_id), o AS (SELECT attr_id, row_number() OVER (ORDER BY k, attr_id) - 1 AS new_id FROM s) SELECT row_id, string_agg(CAST(new_id AS VARCHAR), ' ' ORDER BY new_id) AS intent, {label_text(0, 'any_value(p0)')} AS label FROM obj JOIN o ON (m >> attr_id) & 1 = 1 GROUP BY row_id",
         "root_concept": f"WITH {e} SELECT {ids('bit_and(m)')} AS intent, count(*) AS support FROM obj",
         "closure_step": f"WITH {e} SELECT CAST(a.attr_id AS INTEGER) AS attr_id, {ids('bit_and(m)')} AS intent, count(*) AS support FROM dict a JOIN obj ON (m >> a.attr_id) & 1 = 1 GROUP BY a.attr_id",
         "concepts_customer": concepts(CUSTOMER),
@@ -256,6 +257,8 @@ def oracles() -> dict[str, str]:
         "encode_numeric": encode_numeric(PRICES, [("lineitem", "l_quantity"), ("lineitem", "l_extendedprice")]),
         "label_codes": f"WITH {context_ctes(BUYERS)} SELECT row_id, p0 AS code, {label_text(0, 'p0')} AS label FROM obj",
         "label_table_file": f"WITH {context_ctes(BUYERS)} SELECT {ids('m')} || ' | ' || value AS line FROM obj JOIN codes ON comp = 0 AND code = p0",
+        "command_encode": f"WITH {context_ctes(CUSTOMER)} SELECT {ids('m')} || ' | ' || {label_text(0, 'p0')} AS line FROM obj",
+        "command_split": f"WITH {e}, n AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS place FROM obj) SELECT CASE WHEN {chance('place', '4')} < 0.7 THEN 'first' ELSE 'second' END AS part, {ids('m')} || ' | ' || {label_text(0, 'p0')} AS line FROM n",
         "command_induce": f"SELECT intent || ' | ' || label AS line FROM ({predict(EVENTS)})",
         "command_generate_predict": evaluate(EVENTS),
         "command_mask": f"WITH {context_ctes(GRADED)} SELECT {ids('m')} || ' | ? ?' AS line FROM obj",

@@ -93,6 +93,11 @@ def attribute_order(s: SparkSession, d: str) -> DataFrame:
     return ctx.reorder_by_support(EVENTS.context(s, d))[1]
 
 
+def reordered_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows with attributes renumbered rarest first, by numbers that stay a table."""
+    return _rows_text(ctx.reorder_by_support(EVENTS.context(s, d), broadcast_attrs=0)[0])
+
+
 def root_concept(s: SparkSession, d: str) -> DataFrame:
     return mining.root_concept(EVENTS.context(s, d)).select(intents.text(F.col("intent")).alias("intent"), "support")
 
@@ -180,6 +185,23 @@ def command_generate_predict(s: SparkSession, d: str) -> DataFrame:
     return evaluation.evaluate(transactions.read(s, test), transactions.read(s, out))
 
 
+def command_encode(s: SparkSession, d: str) -> DataFrame:
+    """The command that scales a CSV file: the lines it writes."""
+    source, out = scratch_path(s, "csv"), scratch_path(s, "context")
+    CUSTOMER.table(s, d).select("l0", "a0", "a1").write.csv(source)
+    cli.main(["encode", source, out, "-p", "0"])
+    return transactions.lines(transactions.read(s, out)).select(F.col("value").alias("line"))
+
+
+def command_split(s: SparkSession, d: str) -> DataFrame:
+    """The command that splits a file in two at random: the lines of both."""
+    source, first, second = scratch_path(s, "context"), scratch_path(s, "first"), scratch_path(s, "second")
+    transactions.write(EVENTS.context(s, d), source, ordered=True)
+    cli.main(["split", "7:3", source, first, second, "--seed", "4"])
+    parts = [transactions.lines(transactions.read(s, p)).select(F.lit(n).alias("part"), F.col("value").alias("line")) for n, p in (("first", first), ("second", second))]
+    return parts[0].union(parts[1])
+
+
 def command_mask(s: SparkSession, d: str) -> DataFrame:
     """The command that masks labels: the lines it writes."""
     source, out = scratch_path(s, "context"), scratch_path(s, "masked")
@@ -299,6 +321,7 @@ def queries() -> dict[str, Query]:
         "density": lambda s, d: ctx.density(EVENTS.context(s, d)),
         "attribute_support": lambda s, d: ctx.attribute_support(EVENTS.context(s, d)),
         "attribute_order": attribute_order,
+        "reordered_rows": reordered_rows,
         "root_concept": root_concept,
         "closure_step": closure_step,
         "search_counters": search_counters,
@@ -332,6 +355,8 @@ def queries() -> dict[str, Query]:
         "set_algebra": set_algebra,
         "transaction_file": transaction_file,
         "prediction_file": prediction_file,
+        "command_encode": command_encode,
+        "command_split": command_split,
         "command_induce": command_induce,
         "command_generate_predict": command_generate_predict,
         "command_mask": command_mask,

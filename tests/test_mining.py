@@ -173,3 +173,14 @@ def test_set_functions(spark):
         intents.words_subset(intents.to_words(b, 70), intents.to_words(a, 70)).alias("wsub"), intents.equal_until(a, b, 0).alias("eq"), intents.equal_within(a, b, F.array(F.lit(69))).alias("within"), intents.add(b, F.lit(5)).alias("added"),
     ).head()
     assert (r["round"], r.met, r.upto, r["sub"], r.n, r.wsub, r.eq, r.within, r.added) == ([0, 3, 64, 69], [3, 69], [0, 3], True, 4, True, True, True, [3, 5, 69])
+
+
+def test_reordering_by_a_table_equals_the_broadcast_row(spark):
+    """Numbers that are joined: rows without attributes, repeated rows, attributes that no row has, further columns."""
+    rng = random.Random(9)
+    rows = [({a for a in range(12) if a != 5 and rng.random() < 0.3}, (rng.randrange(2),)) for _ in range(40)] + [(set(), (0,)), ({1}, (1,)), ({1}, (1,))]
+    c = context(spark, rows, 12)
+    c = c.with_rows(c.rows.withColumn("fold", F.col("row_id") % 3))
+    (want, order), (got, table) = reorder_by_support(c), reorder_by_support(c, broadcast_attrs=0)
+    assert sorted(tuple(r) for r in table.collect()) == sorted(tuple(r) for r in order.collect())
+    assert got.rows.columns == c.rows.columns and got.rows.orderBy("row_id").collect() == want.rows.orderBy("row_id").select(got.rows.columns).collect()
