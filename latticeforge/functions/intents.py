@@ -95,4 +95,4 @@ def empty() -> Column:
 
 def text(intent: Column) -> Column:
     """Space-joined ascending ids."""
-    return F.concat_ws(" ", F.transform(intent, lambda a: a.cast("string")))
+    return F.concat_ws(" ", intent.cast("array<string>"))

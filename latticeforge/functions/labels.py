@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -189,9 +190,9 @@ def decode_code(domain: Domain, code: Column) -> Column:
     return F.when(code == UNKNOWN, F.lit(UNKNOWN_TEXT)).when(code == CONFLICT, F.lit(CONFLICT_TEXT)).otherwise(F.when(code >= 0, known))
 
 
-def checked(df: DataFrame, label: str = "prop") -> DataFrame:
-    """Fails when a label holds a text that its domain does not know."""
-    bad = F.exists(F.col(label), lambda c: c.isNull())
+def checked(df: DataFrame, width: int, label: str = "prop") -> DataFrame:
+    """Fails when one of a label's `width` components is a text that its domain does not know."""
+    bad = reduce(lambda a, b: a | b, (F.get(label, F.lit(i)).isNull() for i in range(width)), F.lit(False)) & F.col(label).isNotNull()
     return df.withColumn(label, F.when(bad, F.raise_error(F.lit("a label is outside its domain"))).otherwise(F.col(label)))
 
 

@@ -30,6 +30,8 @@ CANDIDATES, SIDE_MIN = 25, 10
 TASK_VALUES = 1_000_000
 #: Dictionaries up to so many values become map literals; larger ones are joined.
 LITERAL_VALUES = 2_000
+#: Texts of numeric columns (some 100 bytes each), smallest columns first, whose dictionaries are sent to all tasks; by larger ones rows may be shuffled.
+BROADCAST_TEXTS = 1_000_000
 #: Segments of a level up to so many are sent to all tasks with their pivots (some 25 doubles each); more are joined.
 BROADCAST_SEGMENTS = 10_000
 
@@ -172,6 +174,7 @@ def threshold_table(histogram: DataFrame, *, task_values: int = TASK_VALUES) ->
     for more in ready[1:]:
         whole = whole.union(more)
     out = whole.groupBy(*key).applyInPandas(_segment_thresholds, "col_idx int, threshold double").withColumn("threshold", F.coalesce("threshold", F.lit(float("nan"))))  # pandas' nulls
+    out = stored(out, "cuts")  # ranges are sampled first: segments must not be bisected for that as well
     for more in found:
         out = out.union(more)
     return ranked_by_ranges(out, "col_idx", ["threshold"], "place").select("col_idx", "place", "threshold")
@@ -228,6 +231,7 @@ class NominalColumn:
 class NumericColumn:
     offset: int
     size: int  # one more than there are thresholds
+    texts: int = 0  # distinct texts, all in the dictionary
 
 
 def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn | NumericColumn], DataFrame]:
@@ -256,7 +260,7 @@ def fit_columns(df: DataFrame, columns: list[str]) -> tuple[list[NominalColumn |
     offset = 0
     for i in range(len(columns)):
         if i in numeric:
-            coders.append(NumericColumn(offset, steps.get(i, 0) + 1))
+            coders.append(NumericColumn(offset, steps.get(i, 0) + 1, kinds[i].n_values))
         else:
             size = kinds[i].n_values if i in kinds else 0
             coders.append(NominalColumn(offset, size, tuple(held[i]) if i in held else (() if i not in kinds else None)))
@@ -300,16 +304,24 @@ def encode(df: DataFrame, label_columns: list[str] | list[int], *, row_id: str =
     schema = fit_labels(df, labels, held=held_labels)
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     rows = df
+    texts = {i: c.texts for i, c in enumerate(coders) if isinstance(c, NumericColumn)}
+    small, room = set(), BROADCAST_TEXTS
+    for i in sorted(texts, key=lambda i: texts[i]):
+        room -= texts[i]
+        if room >= 0:
+            small.add(i)
     parts = []
     for i, (name, coder) in enumerate(zip(columns, coders)):
         if isinstance(coder, NominalColumn) and coder.values is not None:
             place = F.array_position(F.array(*(F.lit(v) for v in coder.values)), text(name))
             parts.append(F.array((place + (coder.offset - 1)).cast("int")))
             continue
-        own = dictionary.where(F.col("col_idx") == i).select(F.col("value").alias(f"_v{i}"), (F.col("rank") + coder.offset).cast("int").alias(f"_a{i}"), F.col("both").alias(f"_b{i}"))
-        rows = rows.join(own, text(name) == F.col(f"_v{i}"), "left")
-        parts.append(F.when(F.col(f"_b{i}"), F.array(F.col(f"_a{i}") - 1, F.col(f"_a{i}"))).otherwise(F.array(F.col(f"_a{i}"))))
-    intent = F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<int>")
+        at = (F.col("rank") + coder.offset).cast("int")
+        ids = F.when(F.col("both"), F.array(at - 1, at)).otherwise(F.array(at))  # made once a text, not once a row
+        own = dictionary.where(F.col("col_idx") == i).select(F.col("value").alias(f"_v{i}"), ids.alias(f"_a{i}"))
+        rows = rows.join(F.broadcast(own) if i in small else own, text(name) == F.col(f"_v{i}"), "left")
+        parts.append(F.col(f"_a{i}"))
+    intent = F.concat(*parts) if parts else F.array().cast("array<int>")  # ascending: offsets run in column order
     rows = rows.select(F.col(row_id).cast("long").alias("row_id"), intent.alias("intent"), *(text(c).alias(f"_label{i}") for i, c in enumerate(labels)))
     out = schema.with_codes(rows, [F.col(f"_label{i}") for i in range(len(labels))]).select("row_id", "intent", "prop")
-    return Context(checked(out) if labels else out, sum(c.size for c in coders), schema)
+    return Context(checked(out, len(labels)) if labels else out, sum(c.size for c in coders), schema)

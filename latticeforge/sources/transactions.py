@@ -78,7 +78,7 @@ def read(spark: SparkSession, path: str, *, header_chars: int = HEADER_CHARS, he
     bad = in_body & (ids.isNull() | F.exists(ids, lambda a: a >= n_attrs))
     intent = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<int>")).otherwise(ids)
     rows = labels.with_codes(body, [F.try_element_at(texts, F.lit(i + 1)) for i in range(labels.width)])
-    return Context(checked(rows.select("row_id", intent.alias("intent"), F.when(in_body, F.col("prop")).alias("prop"))), n_attrs, labels)
+    return Context(checked(rows.select("row_id", intent.alias("intent"), F.when(in_body, F.col("prop")).alias("prop")), labels.width), n_attrs, labels)
 
 
 def lines(context: Context, rows: DataFrame | None = None) -> DataFrame:

@@ -82,6 +82,25 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
     assert scaling.encode(df, ["lab"]).rows.orderBy("row_id").collect() == want
 
 
+def test_small_dictionaries_are_sent_not_shuffled(spark, monkeypatch):
+    """Rows are not dealt out by a column of few texts, whatever Spark thinks of the dictionary's size."""
+    rows = [(i, str(i % 40 / 4), f"n{i % 3}", str(i * 37 % 200), "l") for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string, lab string")
+    plan = lambda c: c.rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = scaling.encode(df, ["lab"])
+        assert plan(sent).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan(sent)
+        want = sent.rows.orderBy("row_id").collect()
+        assert all(list(r.intent) == sorted(set(r.intent)) for r in want)
+        monkeypatch.setattr(scaling, "BROADCAST_TEXTS", 50)
+        mixed = scaling.encode(df, ["lab"])
+        assert plan(mixed).count("BroadcastHashJoin") == 1 and plan(mixed).count("SortMergeJoin") == 1
+        assert mixed.rows.orderBy("row_id").collect() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ranks_over_ranges(spark):
     values = spark.createDataFrame([(i % 3, f"{i * 7919 % 1009:x}") for i in range(600)], "col_idx int, value string").distinct()
     want = sorted(tuple(r) for r in scaling.nominal_dictionary(values).collect())
