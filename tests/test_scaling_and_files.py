@@ -234,6 +234,22 @@ def test_csv_in_splits_equals_the_library(spark, tmp_path, split_bytes):
     assert got == [(k, *r) for k, r in enumerate(want)]
 
 
+def test_csv_lines_are_not_shuffled(spark, tmp_path):
+    """Only pieces of records that lie over several splits are dealt out; the other records stand in the file's order of their splits."""
+    (tmp_path / "a.csv").write_text("".join(f'{k},"l{k}\n{k}"\n' for k in range(400)))
+    keys = {"spark.sql.files.maxPartitionBytes": 1000, "spark.sql.files.openCostInBytes": 0}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, str(value))
+        found = tables.records(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("Aggregate") == 1 and "fields" in found.columns
+        assert sorted(tuple(r) for r in found.collect()) == [(k, f'{k},"l{k}\n{k}"', 2) for k in range(400)]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
 def test_csv_blank_lines_open_records_and_empty_files(spark, tmp_path):
     read = lambda name: [tuple(r)[1:] for r in tables.read_csv(spark, str(tmp_path / name)).orderBy("row_id").collect()]
     (tmp_path / "blank.csv").write_text('a,b\n   \nc,d\n\n""\n5" pipe,x\n')
