@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import intents
 from ..functions.labels import is_conflict
 from ..storage import stored
-from .context import Context, compress, payload_of
-from .mining import mine_compressed
+from .context import Context
+from .mining import mine_labelled
 from .prediction import majority_of_predictions, predict
 from .sampling import fold_samples
 from .strategies import no_counter_examples
@@ -18,11 +18,9 @@ FOLDS = 8
 
 def fold_models(context: Context, folded: DataFrame, *, min_support: int = 2) -> DataFrame:
     """(fold, intent, prop, support): the unanimous hypotheses of each fold's rows."""
-    payload, histogram = payload_of(context.labels)
-    rows = compress(context.with_rows(folded), F.col("fold").cast("string").alias("group"))
-    mined = mine_compressed(rows, context.n_attrs, payload, min_support, histogram=histogram).withColumnRenamed("support", "n")
+    mined = mine_labelled(context.with_rows(folded), F.col("fold").cast("string"), min_support, summed=True)[0].withColumnRenamed("support", "n")
     words = [F.col(x) for x in intents.word_names(context.n_attrs, "d")]
-    model = mined.select(F.col("group").cast("int").alias("fold"), intents.from_words(words, context.n_attrs).alias("intent"), no_counter_examples(context.labels).alias("prop"), F.col("n").alias("support"))
+    model = mined.select(F.col("group").cast("int").alias("fold"), intents.from_words(words, context.n_attrs).alias("intent"), no_counter_examples(context.labels, summed=True).alias("prop"), F.col("n").alias("support"))
     return model.where(~is_conflict(F.col("prop")))
 
 

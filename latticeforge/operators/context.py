@@ -83,25 +83,52 @@ def merged_counts(rows: DataFrame, *keys) -> DataFrame:
     return summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias(HISTOGRAM))
 
 
+def summary_name(what: str, component: int) -> str:
+    return f"{what}{component}"
+
+
+def summed_counts(rows: DataFrame, width: int, *keys) -> DataFrame:
+    """(keys, what a merge asks of each component) from rows (keys, key, k), without a map of them.
+
+    top: (count, -key) of the most frequent code; low, high: the least and greatest key of known codes; zero: the count of code 0.
+    """
+    out = []
+    for i in range(width):
+        own = (F.col("key") >= code_key(i, UNKNOWN)) & (F.col("key") < code_key(i + 1, UNKNOWN))
+        known = F.when(own & (F.col("key") > code_key(i, UNKNOWN)), F.col("key"))
+        out.append(F.max(F.when(own, F.struct("k", (-F.col("key")).alias("less")))).alias(summary_name("top", i)))
+        first = F.coalesce(F.sum(F.when(F.col("key") == code_key(i, 0), F.col("k"))), F.lit(0))
+        out += [F.min(known).alias(summary_name("low", i)), F.max(known).alias(summary_name("high", i)), first.alias(summary_name("zero", i))]
+    return rows.groupBy(*keys, "key").agg(F.sum("k").alias("k")).groupBy(*keys).agg(*out)
+
+
 def label_rows(rows: DataFrame, *keys) -> DataFrame:
     """(keys, component, key): a row for each component of each row's label."""
     codes = rows.select(*keys, F.posexplode("prop").alias("component", "code"))
     return codes.withColumn("key", code_key(F.col("component"), F.col("code"))).drop("code")
 
 
-def compress(context: Context, *keys: Column) -> DataFrame:
+def compress_labels(context: Context, *keys: Column) -> DataFrame:
+    """(keys, w*, component, key, k, first_row): how often each label code occurs with each distinct intent, a row each."""
+    words = [c.alias(name) for c, name in zip(intents.to_words(F.col("intent"), context.n_attrs), intents.word_names(context.n_attrs))]
+    named = context.rows.select(*keys, *words, "row_id", "prop")
+    own = [c for c in named.columns if c not in ("row_id", "prop")]
+    return label_rows(named, *own, "row_id").groupBy(*own, "component", "key").agg(F.count("*").alias("k"), F.min("row_id").alias("first_row"))
+
+
+def compress(context: Context, *keys: Column, counted: DataFrame | None = None) -> DataFrame:
     """One row for each distinct intent (and key): words, n, label counts and the first row's id.
 
     Concepts, supports and every merge depend on a context only through this; it aggregates on the
-    map side, so it shuffles distinct intents, not rows.
+    map side, so it shuffles distinct intents, not rows.  Labels of large domains are not counted here but in rows of
+    their own: `counted`, as compress_labels gives them.
     """
     words = [c.alias(name) for c, name in zip(intents.to_words(F.col("intent"), context.n_attrs), intents.word_names(context.n_attrs))]
     if payload_of(context.labels)[1]:
-        named = context.rows.select(*keys, *words, "row_id", "prop")
-        own = [c for c in named.columns if c not in ("row_id", "prop")]
-        counted = label_rows(named, *own, "row_id").groupBy(*own, "component", "key").agg(F.count("*").alias("k"), F.min("row_id").alias("first_row"))
+        counted = compress_labels(context, *keys) if counted is None else counted
+        own = [c for c in counted.columns if c not in ("component", "key", "k", "first_row")]
         n = F.sum(F.when(F.col("component") == 0, F.col("k")))
-        return counted.groupBy(*own).agg(n.alias("n"), F.min("first_row").alias("first_row"), F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias(HISTOGRAM))
+        return counted.groupBy(*own).agg(n.alias("n"), F.min("first_row").alias("first_row"))
     return context.rows.groupBy(*keys, *words).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), *label_counts(context.labels, F.col("prop")))
 
 

@@ -34,7 +34,7 @@ from ..functions import intents
 from ..functions.labels import class_key, is_conflict
 from ..shipping import ship_package
 from ..storage import stored
-from .context import HISTOGRAM, Context, compress, merged_counts, payload_of
+from .context import Context, compress, compress_labels, merged_counts, payload_of, summed_counts
 from .prediction import matches
 from .sampling import chance
 from .strategies import strategy as strategy_by_name
@@ -65,7 +65,7 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 @dataclass(frozen=True)
 class Shape:
-    """What the tables of a search hold: attributes, summed columns, and whether labels are counted in a map."""
+    """What the tables of a search hold: attributes and summed columns; `histogram` tells that labels are counted in rows beside it."""
 
     n_attrs: int
     payload: tuple[str, ...]
@@ -74,10 +74,6 @@ class Shape:
     def words(self, prefix: str) -> list[str]:
         return intents.word_names(self.n_attrs, prefix)
 
-    @property
-    def sums(self) -> list[str]:
-        return [*self.payload, *([HISTOGRAM] if self.histogram else [])]
-
     def columns(self, prefix: str) -> list[Column]:
         return [F.col(x) for x in self.words(prefix)]
 
@@ -163,12 +159,6 @@ def _children(kids: DataFrame, heads: DataFrame, shape: Shape, search: str) -> D
     return kids.where("canonical").select("group", *shape.words("b"), "a", *shape.words("d"), *shape.words("e")).withColumns(zero).withColumn("failed", F.array().cast(_failed_type(shape)))
 
 
-def _histograms(extents: DataFrame, shape: Shape) -> DataFrame:
-    """(group, b*, counts of labels) of every concept of a frontier; counts are summed as rows, then put into a map."""
-    b = shape.words("b")
-    return merged_counts(extents.select("group", *b, F.explode(HISTOGRAM).alias("key", "k")), "group", *b)
-
-
 class _Subtree:
     """Depth-first search under one concept, in memory."""
 
@@ -180,10 +170,6 @@ class _Subtree:
         bits = self._bits([rows[w].to_numpy() for w in shape.words("w")])
         self.weight, self.first = rows["n"].to_numpy(), rows["first_row"].to_numpy()
         self.sums = np.stack([rows[p].to_numpy() for p in shape.payload], axis=1) if shape.payload else np.zeros((len(bits), 0), np.int64)
-        if shape.histogram:
-            keys = rows["keys"].combine_chunks()
-            self.keys, self.times = keys.flatten().to_numpy(), rows["times"].combine_chunks().flatten().to_numpy()
-            self.at = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
         self.group, self.root, self.found, self.counters = group, root, [], [0, 0, 0]
         own, seen = self._one(root), self._one([head[v] for v in shape.words("v")])
         failed = {x["a"]: self._one([x[f] for f in shape.words("f")]) for x in head["failed"]}
@@ -264,9 +250,6 @@ class _Subtree:
         columns["first_row"] = pa.array(pad([self.first[sub].min() for sub, *_ in found], 0, rest))
         summed = np.asarray([self.sums[sub].sum(axis=0) for sub, *_ in found], np.int64).reshape(len(found), len(shape.payload))
         columns |= {p: pa.array(pad(summed[:, k], 0, rest)) for k, p in enumerate(shape.payload)}
-        if shape.histogram:
-            held = [self._labels(sub) for sub, *_ in found] + [((), ())] * rest
-            columns |= {name: pa.array([x[k] for x in held], pa.list_(pa.int64())) for k, name in enumerate(("keys", "times"))}
         failed = [[{"a": a} | {f: int(w[0]) for f, w in zip(shape.words("f"), self._words([x]))} for a, x in failed.items()] for *_, failed in pending]
         struct = pa.struct([("a", pa.int32()), *((f, pa.int64()) for f in shape.words("f"))])
         columns["failed"] = pa.array([[]] * len(found) + failed + [[]] * end, pa.list_(struct))
@@ -274,20 +257,13 @@ class _Subtree:
             columns[name] = pa.array(pad([self.counters[k]] * end, len(found) + len(pending), 0))
         return pa.record_batch(list(columns.values()), names=list(columns))
 
-    def _labels(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spans = [slice(s, e) for s, e in zip(self.at[rows].tolist(), self.at[rows + 1].tolist())]
-        keys, place = np.unique(np.concatenate([self.keys[s] for s in spans]), return_inverse=True)
-        return keys, np.bincount(place, weights=np.concatenate([self.times[s] for s in spans])).astype(np.int64)
-
 
 def _finish(heads: DataFrame, extents: DataFrame, shape: Shape, search: str, min_support: int, budget: int, n_heads: int) -> DataFrame:
     """Mines the subtrees of all heads, a concept at a time in a task that streams sorted rows."""
     b, longs = shape.words("b"), ["n", "first_row", *shape.payload, *shape.words("w")]
-    lists = [F.map_keys(HISTOGRAM).alias("keys"), F.map_values(HISTOGRAM).alias("times")] if shape.histogram else []
-    empty = [F.array().cast("array<bigint>").alias(c) for c in ("keys", "times")] if shape.histogram else []
     zero = lambda names: [F.lit(0).cast("long").alias(c) for c in names]
-    top = heads.select("group", *b, F.lit(0).alias("is_row"), *shape.words("v"), "failed", *zero(longs), *empty)
-    rows = extents.select("group", *b, F.lit(1).alias("is_row"), *zero(shape.words("v")), F.array().cast(_failed_type(shape)).alias("failed"), *longs, *lists)
+    top = heads.select("group", *b, F.lit(0).alias("is_row"), *shape.words("v"), "failed", *zero(longs))
+    rows = extents.select("group", *b, F.lit(1).alias("is_row"), *zero(shape.words("v")), F.array().cast(_failed_type(shape)).alias("failed"), *longs)
     tasks = max(1, min(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_heads // 2))  # subtrees take time, not room: tasks are not to be joined by their bytes
     both = top.unionByName(rows).repartition(tasks, "group", *b).sortWithinPartitions("group", *b, "is_row")
 
@@ -311,7 +287,7 @@ def _finish(heads: DataFrame, extents: DataFrame, shape: Shape, search: str, min
             yield from subtree(pa.concat_tables(held))
 
     words = [f"{x} long" for x in (*shape.words("d"), *b, *shape.words("v"))]
-    kept = [f"{x} long" for x in ("support", "first_row", *shape.payload)] + (["keys array<long>", "times array<long>"] if shape.histogram else [])
+    kept = [f"{x} long" for x in ("support", "first_row", *shape.payload)]
     counters = [f"{x} long" for x in ("closures", "failures", "pruned")]
     return both.mapInArrow(run, ", ".join(["kind int", "group string", *words, *kept, f"failed {_failed_type(shape)}", *counters]))
 
@@ -327,14 +303,12 @@ def search_concepts(
         raise ValueError("min_support must be at least 1")
     ship_package(rows.sparkSession)
     b, d, v, w = (shape.words(x) for x in "bdvw")
-    order = ["group", *d, "support", "first_row", *shape.sums]
+    order = ["group", *d, "support", "first_row", *shape.payload]
     rows = keep(rows, "rows")
     root = rows.groupBy("group").agg(*_aggregates(shape, "d"))
     zero = {x: F.lit(0).cast("long") for x in (*v, *shape.words("p"))}
     heads = root.where(F.col("support") >= min_support).select("group", *shape.renamed("d", "b")).withColumns(zero).withColumn("failed", F.array().cast(_failed_type(shape)))
     extents = rows.join(heads.drop("failed"), "group")
-    if shape.histogram:
-        root = root.join(_histograms(extents, shape).select("group", HISTOGRAM), "group")
     found, counters, level = [root.where(F.col("support") >= min_support).select(order)], [], 0
     n_heads, largest = rows.groupBy("group").agg(F.count("*").alias("k")).agg(F.count("*"), F.coalesce(F.max("k"), F.lit(0))).head()
     limit = SMALL_ROWS
@@ -352,12 +326,10 @@ def search_concepts(
         heads = keep(_children(kids, heads, shape, search), f"heads-{level}")
         below = heads.select("group", *b, "a", *d, *shape.words("e"), *(F.col(p).alias(f"_{p}") for p in shape.words("p")))
         joined = exploded.join(below, ["group", *b, "a"])
-        extents = joined.select("group", *shape.renamed("d", "b"), *shape.renamed("e", "v"), *(F.col(f"_{p}").alias(p) for p in shape.words("p")), *w, "n", "first_row", *shape.sums)
+        extents = joined.select("group", *shape.renamed("d", "b"), *shape.renamed("e", "v"), *(F.col(f"_{p}").alias(p) for p in shape.words("p")), *w, "n", "first_row", *shape.payload)
         extents = keep(extents, f"extents-{level}")
         heads = heads.select("group", *shape.renamed("d", "b"), *shape.renamed("e", "v"), *shape.words("p"), "failed")
         mined = kids.where("canonical")
-        if shape.histogram:
-            mined = mined.join(_histograms(extents, shape).select("group", *shape.renamed("b", "d"), HISTOGRAM), ["group", *d])
         found.append(mined.select(order))
         _check(found, max_concepts)
         n_heads, largest = extents.groupBy("group", *b).agg(F.count("*").alias("k")).agg(F.count("*"), F.coalesce(F.max("k"), F.lit(0))).head()
@@ -365,8 +337,7 @@ def search_concepts(
     while largest:
         turn += 1
         done = keep(_finish(heads, extents, shape, search, min_support, task_concepts, n_heads), f"subtrees-{turn}")
-        held = F.map_from_arrays("keys", "times").alias(HISTOGRAM)
-        found.append(done.where("kind = 0").select("group", *d, "support", "first_row", *shape.payload, *([held] if shape.histogram else [])))
+        found.append(done.where("kind = 0").select("group", *d, "support", "first_row", *shape.payload))
         _check(found, max_concepts)
         counters.append(_summed(done.withColumn("concepts", (F.col("kind") == 0).cast("int")), level + 1))
         left = done.where("kind = 1").select("group", *b, *d, *(F.col(x).alias(f"_{x}") for x in v), "failed")
@@ -375,7 +346,7 @@ def search_concepts(
             left = keep(left, f"left-{turn}")
             inside = _all([x.bitwiseAND(y) == y for x, y in zip(shape.columns("w"), shape.columns("d"))])
             under = extents.drop(*v).join(left.drop("failed"), ["group", *b]).where(inside)
-            extents = keep(under.select("group", *shape.renamed("d", "b"), *(F.col(f"_{x}").alias(x) for x in v), *shape.words("p"), *w, "n", "first_row", *shape.sums), f"rest-{turn}")
+            extents = keep(under.select("group", *shape.renamed("d", "b"), *(F.col(f"_{x}").alias(x) for x in v), *shape.words("p"), *w, "n", "first_row", *shape.payload), f"rest-{turn}")
             heads = left.select("group", *shape.renamed("d", "b"), *(F.col(f"_{x}").alias(x) for x in v), *(F.lit(0).cast("long").alias(p) for p in shape.words("p")), "failed")
     empty = rows.sparkSession.createDataFrame([], "level int, concepts long, closures long, failures long, pruned long")
     return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, counters, empty)
@@ -391,9 +362,42 @@ def _check(found: list[DataFrame], max_concepts: int | None) -> None:
         raise TooManyConcepts(f"more than {max_concepts} concepts; raise min_support")
 
 
-def mine_compressed(rows: DataFrame, n_attrs: int, payload: list[str], min_support: int, *, histogram: bool = False, **options) -> DataFrame:
+def mine_compressed(rows: DataFrame, n_attrs: int, payload: list[str], min_support: int, **options) -> DataFrame:
     """(group, d*, support, first_row, sums) of every concept of every group of `rows`."""
-    return search_concepts(rows, Shape(n_attrs, tuple(payload), histogram), min_support, **options)[0]
+    return search_concepts(rows, Shape(n_attrs, tuple(payload)), min_support, **options)[0]
+
+
+def label_counts_of(found: DataFrame, rows: DataFrame, counted: DataFrame, n_attrs: int, *, keep: Keep = stored) -> DataFrame:
+    """(group, d*, key, k): the label counts of every compressed row under every concept (group, d*) whose row contains it.
+
+    Concepts meet the distinct intents by their rarest attributes, and the pairs meet the counts, which stay rows: no task holds the
+    labels of a concept.
+    """
+    d, w, e, h = (intents.word_names(n_attrs, x) for x in "dweh")
+    model = found.select("group", intents.from_words([F.col(x) for x in d], n_attrs).alias("intent"), F.lit("").alias("prop"))
+    examples = rows.select("group", intents.from_words([F.col(x) for x in w], n_attrs).alias("intent"), *(F.col(x).alias(y) for x, y in zip(w, e)))
+    met = matches(model, examples, n_attrs, ("group",)).select("group", *(F.col(x).alias(y) for x, y in zip([*h, *e], [*d, *w])))
+    bare = found.where(_all([F.col(x) == 0 for x in d])).select("group", *d).join(rows.select("group", *w), "group")  # every row of its group
+    pairs = keep(met.unionByName(bare), "pairs")
+    return pairs.join(counted.select("group", *w, "key", "k"), ["group", *w]).select("group", *d, "key", "k")
+
+
+def mine_labelled(context: Context, key: Column, min_support: int, *, summed: bool, keep: Keep = stored, **options) -> tuple[DataFrame, DataFrame]:
+    """Concepts by groups of `key` with label counts, and the counters of the search.
+
+    Counts are columns or, for large domains, a map; with `summed` those are summed up as far as merges need them (see summed_counts).
+    """
+    payload, histogram = payload_of(context.labels)
+    shape, key = Shape(context.n_attrs, tuple(payload), histogram), key.alias("group")
+    if not histogram:
+        return search_concepts(compress(context, key), shape, min_support, keep=keep, **options)
+    counted = keep(compress_labels(context, key), "label-counts")
+    rows = keep(compress(context, key, counted=counted), "intents")
+    found, levels = search_concepts(rows, shape, min_support, keep=keep, **options)
+    found = keep(found, "mined")
+    own = ["group", *shape.words("d")]
+    counts = label_counts_of(found, rows, counted, context.n_attrs, keep=keep)
+    return found.join(summed_counts(counts, context.labels.width, *own) if summed else merged_counts(counts, *own), own), levels
 
 
 def root_concept(context: Context) -> DataFrame:
@@ -404,20 +408,19 @@ def root_concept(context: Context) -> DataFrame:
     return rows.select(F.when(F.col("support") == 0, intents.full(context.n_attrs)).otherwise(held).alias("intent"), "support")
 
 
-def _searched(context: Context, min_support: int, algorithm: str, classwise: bool, **options) -> tuple[DataFrame, DataFrame]:
+def _searched(context: Context, min_support: int, algorithm: str, classwise: bool, *, summed: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     if algorithm not in SEARCHES:
         raise ValueError(f"unknown algorithm {algorithm!r}, known are {', '.join(ALGORITHMS)}")
     key = class_key(F.col("prop")) if classwise else F.lit("")
-    payload, histogram = payload_of(context.labels)
-    return search_concepts(compress(context, key.alias("group")), Shape(context.n_attrs, tuple(payload), histogram), min_support, search=SEARCHES[algorithm], **options)
+    return mine_labelled(context, key, min_support, summed=summed, search=SEARCHES[algorithm], **options)
 
 
-def concepts(context: Context, *, min_support: int = 2, algorithm: str = "pfcbo", classwise: bool = False, max_concepts: int | None = None, keep: Keep = stored) -> DataFrame:
-    """(class_key, intent, n, first_row, label counts) of every closed set with enough support."""
-    mined = _searched(context, min_support, algorithm, classwise, max_concepts=max_concepts, keep=keep)[0]
+def concepts(context: Context, *, min_support: int = 2, algorithm: str = "pfcbo", classwise: bool = False, max_concepts: int | None = None, summed: bool = False, keep: Keep = stored) -> DataFrame:
+    """(class_key, intent, n, first_row, label counts) of every closed set with enough support; `summed` as in mine_labelled."""
+    mined = _searched(context, min_support, algorithm, classwise, summed=summed, max_concepts=max_concepts, keep=keep)[0]
     words = [F.col(x) for x in intents.word_names(context.n_attrs, "d")]
-    payload, histogram = payload_of(context.labels)
-    return mined.select(F.col("group").alias("class_key"), intents.from_words(words, context.n_attrs).alias("intent"), F.col("support").alias("n"), "first_row", *payload, *([HISTOGRAM] if histogram else []))
+    counts = [c for c in mined.columns if c not in ("group", "support", "first_row", *intents.word_names(context.n_attrs, "d"))]
+    return mined.select(F.col("group").alias("class_key"), intents.from_words(words, context.n_attrs).alias("intent"), F.col("support").alias("n"), "first_row", *counts)
 
 
 def counters(context: Context, *, min_support: int = 2, algorithm: str = "pfcbo") -> DataFrame:
@@ -452,14 +455,14 @@ def generate(
     """
     if data_structure not in DATA_STRUCTURES:
         raise ValueError(f"unknown data structure {data_structure!r}, known are {', '.join(DATA_STRUCTURES)}")
-    mined = concepts(context, min_support=min_support, algorithm=algorithm, classwise=strategy == "noop" and split_classes, max_concepts=max_concepts, keep=keep)
+    mined = concepts(context, min_support=min_support, algorithm=algorithm, classwise=strategy == "noop" and split_classes, max_concepts=max_concepts, summed=True, keep=keep)
     if strategy == "noop" and not split_classes:
         mined = mined.join(context.rows.select(F.col("row_id").alias("first_row"), F.col("prop").alias("first_prop")), "first_row")
         prop = F.col("first_prop")
     elif strategy == "noop":
         prop = F.transform(F.split("class_key", ","), lambda c: c.cast("int"))
     else:
-        prop = strategy_by_name(strategy)(context.labels)
+        prop = strategy_by_name(strategy)(context.labels, summed=True)
     model = mined.select("intent", prop.alias("prop"), F.col("n").alias("support")).where(~is_conflict(F.col("prop")))
     return model if sampling >= 1.0 else sample_hypotheses(model, sampling, seed)
 

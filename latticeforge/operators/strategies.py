@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..functions.labels import CONFLICT, UNKNOWN, LabelSchema
-from .context import HISTOGRAM, code_key, count_name, payload_of
+from .context import HISTOGRAM, code_key, count_name, payload_of, summary_name
 
-Strategy = Callable[[LabelSchema], Column]
+#: From a label schema, and whether counts of large domains are summed up already (context.summed_counts).
+Strategy = Callable[..., Column]
 
 
 class _Columns:
@@ -62,42 +63,60 @@ class _Map:
         return (-best["less"] - code_key(i, 0)).cast("int"), best["k"]
 
 
-def counts_of(labels: LabelSchema) -> _Columns | _Map:
-    return _Map() if payload_of(labels)[1] else _Columns(labels)
+class _Summed:
+    """What context.summed_counts keeps of the counts of large domains."""
 
+    def zero(self, i: int) -> Column:
+        return F.col(summary_name("zero", i))
 
-def _votes(labels: LabelSchema) -> Column:
+    def unanimous(self, i: int) -> Column:
+        low, high = F.col(summary_name("low", i)), F.col(summary_name("high", i))
+        return F.when(low.isNull(), UNKNOWN).when(low < high, CONFLICT).otherwise((low - code_key(i, 0)).cast("int")).cast("int")
+
+    def mode(self, i: int) -> tuple[Column, Column]:
+        top = F.col(summary_name("top", i))
+        return (-top["less"] - code_key(i, 0)).cast("int"), top["k"]
+
+
+def counts_of(labels: LabelSchema, summed: bool = False) -> _Columns | _Map | _Summed:
+    if payload_of(labels)[1]:
+        return _Summed() if summed else _Map()
+    return _Columns(labels)
+
+
+def _votes(labels: LabelSchema, summed: bool) -> Column:
     """First value minus all others; unknown and conflict vote against."""
-    return 2 * counts_of(labels).count(0, 0) - F.col("n")
+    counts = counts_of(labels, summed)
+    return 2 * (counts.zero(0) if isinstance(counts, _Summed) else counts.count(0, 0)) - F.col("n")
 
 
-def no_counter_examples(labels: LabelSchema) -> Column:
+def no_counter_examples(labels: LabelSchema, summed: bool = False) -> Column:
     """Unanimity, component by component."""
-    counts = counts_of(labels)
+    counts = counts_of(labels, summed)
     return F.array(*(counts.unanimous(i) for i in range(labels.width)))
 
 
-def voting_majority(labels: LabelSchema) -> Column:
+def voting_majority(labels: LabelSchema, summed: bool = False) -> Column:
     """Binary: votes beyond half of n; ordinal: the mode; several components: the mode of each."""
     if labels.width == 1 and labels.domains[0].binary:
         half = F.expr("n div 2")
-        v = _votes(labels)
+        v = _votes(labels, summed)
         return F.array(F.when(v > half, 0).when(v < -half, 1).otherwise(CONFLICT).cast("int"))
-    counts = counts_of(labels)
+    counts = counts_of(labels, summed)
     return F.array(*(counts.mode(i)[0] for i in range(labels.width)))
 
 
 def bounded_voting_majority(bound: int) -> Strategy:
     """As voting_majority, with votes (binary) or the mode's count (ordinal) beyond n - bound."""
 
-    def merge(labels: LabelSchema) -> Column:
+    def merge(labels: LabelSchema, summed: bool = False) -> Column:
         if labels.width > 1:
-            return voting_majority(labels)
+            return voting_majority(labels, summed)
         domain, n = labels.domains[0], F.col("n")
         if domain.binary:
-            v = _votes(labels)
+            v = _votes(labels, summed)
             return F.array(F.when(v > n - bound, 0).when(v < bound - n, 1).otherwise(CONFLICT).cast("int"))
-        code, times = counts_of(labels).mode(0)
+        code, times = counts_of(labels, summed).mode(0)
         return F.array(F.when(n == 1, code).when(times > n - bound, code).otherwise(CONFLICT).cast("int"))
 
     return merge

@@ -197,3 +197,28 @@ def test_scratch_tables_go_after_success_and_after_errors(spark, tmp_path):
         stored(spark.range(3), "kept")
         raise Stopped
     assert there() == before
+
+
+def test_labels_of_large_domains_stay_rows(spark, monkeypatch):
+    """No table of a search holds the labels of an extent in one cell, and merges agree with maps of the counts."""
+    rng = random.Random(8)
+    rows = [(k, sorted(a for a in range(6) if rng.random() < 0.6), rng.choice([-2, -1, 0, 0, 1, 2, 3])) for k in range(80)]
+    labels = LabelSchema.parse("O(a,b,c,d)")
+    df = spark.createDataFrame([(k, i, [p]) for k, i, p in rows], "row_id long, intent array<int>, prop array<int>")
+    c = context_module.Context(df, 6, labels)
+    want = {s: sorted(map(str, mining.generate(c, strategy=s).collect())) for s in ("votingMajority", "noCounterExamples", "boundedVotingMajority:20")}
+    monkeypatch.setattr(context_module, "DENSE_CODES", 2)
+    made = []
+    for small in (256, 0):
+        monkeypatch.setattr(mining, "SMALL_ROWS", small)
+        for name, model in want.items():
+            keep = lambda t, n: made.append((n, t.schema)) or stored(t, n)
+            assert sorted(map(str, mining.generate(c, strategy=name, keep=keep).collect())) == model
+    assert {n for n, _ in made} >= {"rows", "subtrees-1", "label-counts"}
+    assert not [n for n, schema in made if any(f.dataType.typeName() == "map" or f.name in ("keys", "times") for f in schema)]
+    for r in mining.concepts(c).collect():
+        held = {}
+        for _, i, p in rows:
+            if set(r.intent) <= set(i):
+                held[p + 2] = held.get(p + 2, 0) + 1
+        assert r.label_counts == held and sum(held.values()) == r.n
